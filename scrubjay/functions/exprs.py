@@ -6,6 +6,8 @@ of them is a Python UDF.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +134,21 @@ def to_str(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+def round_half_away(c: Column, places: int) -> Column:
+    """Round to ``places`` decimals, half away from zero, on the binary value
+    (``round(x * 10^p) / 10^p``), as SQL engines round doubles."""
+    m = float(10 ** places)
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(m) + F.lit(0.5)) / F.lit(m)
+
+
+def pround(x, places: int):
+    """Driver-side twin of ``round_half_away`` for small collected values."""
+    if x is None or x != x:
+        return None
+    m = float(10 ** places)
+    return math.copysign(math.floor(abs(float(x)) * m + 0.5) / m, float(x)) if x else 0.0
+
+
 def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
@@ -153,4 +170,4 @@ def skew_g1(c: Column) -> Column:
     raw = F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
     ok = (n >= 3) & (F.stddev_samp(c) > 0)
     val = F.when(ok, raw)
-    return F.coalesce(F.when(~F.isnan(val) & (F.abs(val) != float("inf")), F.round(val, 2)), F.lit(0.0))
+    return F.coalesce(F.when(~F.isnan(val) & (F.abs(val) != float("inf")), round_half_away(val, 2)), F.lit(0.0))

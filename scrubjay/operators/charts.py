@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubjay.functions.exprs import col, is_datetime_type, is_numeric_type, is_string_type, safe_corr, to_num
+from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
+                                      round_half_away, safe_corr, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.operators.profile import histogram, numeric_columns
 from scrubjay.plans.table import RID, Table
@@ -63,7 +64,7 @@ def scatter_fit(t: Table, x: str, y: str) -> DataFrame:
         n.alias("n"),
         F.when(n >= 2, F.regr_slope("y", "x")).alias("slope"),
         F.when(n >= 2, F.regr_intercept("y", "x")).alias("intercept"),
-        F.when(n >= 2, F.round(safe_corr(F.col("x"), F.col("y")), 3)).alias("r"),
+        F.when(n >= 2, round_half_away(safe_corr(F.col("x"), F.col("y")), 3)).alias("r"),
         F.min("x").alias("x_min"), F.max("x").alias("x_max"))
 
 
@@ -79,7 +80,7 @@ BOX_SCHEMA = ("grp string, label string, n long, min double, q1 double, median d
 
 
 def _r4(x):
-    return None if x is None else round(float(x), 4)
+    return pround(x, 4)
 
 
 def box(t: Table, value: str, group: str | None = None, method: str = "exact") -> DataFrame:
@@ -163,13 +164,13 @@ def corr_matrix(t: Table, max_columns: int = CORR_MAX_COLUMNS) -> DataFrame:
     stack = ", ".join(f"{q(a)}, {q(b)}, {ref}" for a, b, ref in pairs)
     return (t.df.agg(*aggs)
             .select(F.expr(f"stack({len(pairs)}, {stack}) AS (col_x, col_y, r)"))
-            .select("col_x", "col_y", F.round("r", 4).alias("r")))
+            .select("col_x", "col_y", round_half_away("r", 4).alias("r")))
 
 
 # -- V8 / V9 ----------------------------------------------------------------------------------------------
 def _with_share(top: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0))  # over <= 8 rows
-    return top.withColumn("share_pct", F.round(F.col("value") / F.sum("value").over(w) * 100, 1))
+    return top.withColumn("share_pct", round_half_away(F.col("value") / F.sum("value").over(w) * 100, 1))
 
 
 def pie_counts(t: Table, column: str, k: int = PIE_TOP) -> DataFrame:

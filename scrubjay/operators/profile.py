@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type,
-                                      skew_g1, type_family)
+from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
+                                      round_half_away, skew_g1, type_family)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import RID, Table
 
@@ -61,9 +61,9 @@ def column_stats(t: Table, columns=None, approx_distinct: bool = False) -> DataF
     return out.select(
         "column", "dtype",
         nulls.alias("null_count"),
-        F.when(rows > 0, F.round(nulls / rows * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
+        F.when(rows > 0, round_half_away(nulls / rows * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
         F.col("d").cast("long").alias("unique_count"),
-        F.when(rows > 0, F.round(F.col("d") / rows * 100, 0)).otherwise(F.lit(0.0)).alias("distinct_pct"))
+        F.when(rows > 0, round_half_away(F.col("d") / rows * 100, 0)).otherwise(F.lit(0.0)).alias("distinct_pct"))
 
 
 # -- P3 ---------------------------------------------------------------------------------------
@@ -95,7 +95,7 @@ def numeric_summary(t: Table, columns=None, method: str = "exact") -> DataFrame:
 
 
 def _r4(x):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 4)
+    return pround(x, 4)
 
 
 # -- P4 ------------------------------------------------------------------------------------------
@@ -149,10 +149,10 @@ def histogram(t: Table, column: str, max_bins: int = 24, bins: int | None = None
     counts = t.df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
     frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (hi - lo) / bins
-    return (F.broadcast(frame).join(counts, "bin", "left")  # frame has <= max_bins rows
+    return (frame.join(F.broadcast(counts), "bin", "left")  # both sides have <= bins rows
             .select(F.lit(column).alias("column"), "bin",
-                    F.round(F.lit(lo) + F.col("bin") * F.lit(width), 4).alias("bin_lo"),
-                    F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 4).alias("bin_hi"),
+                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
+                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                     F.lit(_r4(stats["mean"])).alias("mean"), F.lit(_r4(median)).alias("median")))
 
@@ -191,7 +191,7 @@ def box_summary(t: Table, column: str, max_points: int = 40, method: str = "exac
     summary = spark.createDataFrame([(column, _r4(st["lo"]), _r4(q1), _r4(med), _r4(q3), _r4(st["hi"]),
                                       _r4(w["wl"] if w["wl"] is not None else q1),
                                       _r4(w["wh"] if w["wh"] is not None else q3), w["no"])], schema)
-    points = (t.df.where(outside).select(F.lit(column).alias("column"), F.col(RID), F.round(v, 4).alias("value"))
+    points = (t.df.where(outside).select(F.lit(column).alias("column"), F.col(RID), round_half_away(v, 4).alias("value"))
               .orderBy(F.xxhash64(F.col(RID)), F.col(RID)).limit(max_points))
     return summary, points
 

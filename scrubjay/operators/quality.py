@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from scrubjay.functions.dates import DATE_TEXT_PATTERNS, PARSE_FORMATS
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_lower, is_title,
-                                      is_upper, skew_g1, to_num)
+                                      is_upper, pround, skew_g1, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import Table
 from scrubjay.operators.profile import duplicate_count
@@ -128,7 +128,7 @@ def missing(t: Table, sc: Scan | None = None) -> DataFrame:
         n = sc.nulls[c]
         if not n:
             continue
-        pct = round(n / sc.rows * 100, 2)
+        pct = pround(n / sc.rows * 100, 2)
         is_num = is_numeric_type(t.dtype(c))
         sk = sc.skew.get(c, 0.0) if is_num else None
         method, reason = recommend_fill(is_num, sc.nonnull[c], sk or 0.0)
@@ -148,10 +148,10 @@ def type_issues(t: Table, sc: Scan | None = None) -> DataFrame:
         if not n:
             continue
         if ok / n >= TYPE_RATIO:
-            out.append((c, "string", "numeric", ok, round(ok / n * 100, 2)))
+            out.append((c, "string", "numeric", ok, pround(ok / n * 100, 2)))
         elif sc.date_ok[c] / n >= TYPE_RATIO:
             d = sc.date_ok[c]
-            out.append((c, "string", "datetime", d, round(d / n * 100, 2)))
+            out.append((c, "string", "datetime", d, pround(d / n * 100, 2)))
     return t.df.sparkSession.createDataFrame(out, TYPE_SCHEMA)
 
 
@@ -191,10 +191,10 @@ def outliers(t: Table, sc: Scan | None = None, method: str = "exact") -> DataFra
         if not n_out:
             continue
         lo, hi = bounds[c]
-        pct = round(n_out / sc.rows * 100, 2)
+        pct = pround(n_out / sc.rows * 100, 2)
         sk = sc.skew[c]
         m, reason = recommend_outlier(pct, sk)
-        out.append((c, n_out, pct, round(lo, 4), round(hi, 4), "HIGH" if pct > OUTLIER_CAP_PCT else "MED",
+        out.append((c, n_out, pct, pround(lo, 4), pround(hi, 4), "HIGH" if pct > OUTLIER_CAP_PCT else "MED",
                     m, sk, reason))
     return spark.createDataFrame(out, OUTLIER_SCHEMA)
 
@@ -303,7 +303,7 @@ def findings(t: Table, suppress=(), typo_metric: str = "difflib", method: str =
         rows.append(("missing", r["column"], r["severity"], r["count"], r["pct"], None, r["method"], r["reason"]))
     dups = duplicate_count(t).first()["duplicates"]
     if dups:
-        rows.append(("duplicates", "*", "MED", dups, round(dups / sc.rows * 100, 2), None,
+        rows.append(("duplicates", "*", "MED", dups, pround(dups / sc.rows * 100, 2), None,
                      "remove_duplicates", None))
     for r in type_issues(t, sc).collect():
         rows.append(("type_issues", r["column"], "MED", r["convertible"], r["convertible_pct"],

@@ -13,7 +13,10 @@ from scrubjay.plans.table import RID, Table
 from scrubjay.session import ensure_checkpoint_dir
 from scrubjay.suite.fixtures import FIXTURES, TABLES, with_fixtures
 
+import re
+
 QUERIES: dict = {}
+_RESERVED = re.compile(r"(?<![\w\"'])column(?![\w\"'])")
 ORACLE: dict = {}
 
 
@@ -25,7 +28,8 @@ def query(name: str, sql: str | None = None, fixtures: tuple = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_fixtures(sql, *fixtures) if fixtures else sql
+            text = with_fixtures(sql, *fixtures) if fixtures else sql
+            ORACLE[name] = _RESERVED.sub('"column"', text)
         return fn
     return deco
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrubjay.functions.exprs import round_half_away
+
 from scrubjay.operators import quality
 from scrubjay.operators.charts import bar_mean
 from scrubjay.plans.recipe import Recipe, Step
@@ -33,5 +35,5 @@ def flagship_clean_chart(spark, sf):
     r = r.append(Step("fill_missing", "value", {"method": fill.get("value", "median")}))
     r = r.append(Step("handle_outliers", "value", {"method": outl.get("value", "cap")}))
     chart = bar_mean(r.result, "event_type", "value")
-    return chart.select("category", F.round("value", 4).alias("value"))
+    return chart.select("category", round_half_away(F.col("value"), 4).alias("value"))
 

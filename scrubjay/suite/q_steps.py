@@ -9,6 +9,7 @@ from scrubjay.operators.patches import apply_patches, drop_rows
 from scrubjay.operators.quality import typo_candidates
 from scrubjay.operators.steps import apply_step
 from scrubjay.plans.recipe import Recipe, Step
+from scrubjay.functions.exprs import round_half_away
 from scrubjay.plans.table import RID
 from scrubjay.sources.pages import slice_rows
 from scrubjay.suite import sqlfrag as S
@@ -25,7 +26,7 @@ def _step(spark, sf, fx, typ, column=None, params=None):
 
 
 def _r4(df, *names):
-    return df.select(*[F.round(c, 4).alias(c) if c in names else F.col("`" + c + "`") for c in df.columns])
+    return df.select(*[round_half_away(F.col(c), 4).alias(c) if c in names else F.col("`" + c + "`") for c in df.columns])
 
 
 # -- projections ----------------------------------------------------------------------------------
