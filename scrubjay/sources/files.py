@@ -135,6 +135,10 @@ def with_row_id_unordered(df: DataFrame) -> DataFrame:
     return with_row_id(df)
 
 
+# Timestamps are written as text with microseconds.
+TS_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 # -- S6: CSV sink ---------------------------------------------------------------------
 def write_csv(table: Table, path: str, mode: str = "overwrite", ordered: bool = True) -> None:
     """Header, no row id, nulls as empty fields; multi-part output.
@@ -146,4 +150,5 @@ def write_csv(table: Table, path: str, mode: str = "overwrite", ordered: bool =
         df = df.repartitionByRange(*table.sort_exprs()).sortWithinPartitions(*table.sort_exprs())
     out = df.select(*[col(c) for c in table.columns])
     (out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-        .option("nullValue", "").option("emptyValue", '""').csv(path))
+        .option("nullValue", "").option("emptyValue", '""')
+        .option("timestampFormat", TS_TEXT_FORMAT).option("timestampNTZFormat", TS_TEXT_FORMAT).csv(path))

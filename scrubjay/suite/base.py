@@ -60,3 +60,19 @@ def scratch_dir(spark: SparkSession) -> str:
     a cluster, never a machine-local temporary folder)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "scratch-" + uuid.uuid4().hex)
+
+
+# Unique integer keys usable as row ids (deterministic, so filters still push
+# down to the scan); other tables get load-order ids.
+TABLE_KEYS = {"events": "event_id", "orders": "o_orderkey", "part": "p_partkey", "documents": "doc_id",
+              "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
+def loaded(spark: SparkSession, sf_dir: str, name: str) -> Table:
+    """A driver table as a Table (the key column stays a data column)."""
+    df = table(spark, sf_dir, name)
+    key = TABLE_KEYS.get(name)
+    if key:
+        return Table(df.withColumn(RID, F.col(key).cast("long")))
+    from scrubjay.sources.rowid import with_load_order_id
+    return Table(with_load_order_id(df, RID))
