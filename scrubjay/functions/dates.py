@@ -28,6 +28,30 @@ PARSE_FORMATS = (
     ("yyyyMMdd", "%Y%m%d"),
 )
 
+# Cheap shape checks run before each parse attempt, so text that cannot match
+# a format never reaches the (exception-driven) failure path of the parser.
+_D12 = r"\d{1,2}"
+PARSE_GUARDS = {
+    "yyyy-M-d": rf"^\d{{4}}-{_D12}-{_D12}$",
+    "yyyy-M-d H:m:s": rf"^\d{{4}}-{_D12}-{_D12} {_D12}:{_D12}:{_D12}$",
+    "yyyy-M-d'T'H:m:s": rf"^\d{{4}}-{_D12}-{_D12}T{_D12}:{_D12}:{_D12}$",
+    "M/d/yyyy": rf"^{_D12}/{_D12}/\d{{4}}$",
+    "d/M/yyyy": rf"^{_D12}/{_D12}/\d{{4}}$",
+    "M-d-yyyy": rf"^{_D12}-{_D12}-\d{{4}}$",
+    "d-M-yyyy": rf"^{_D12}-{_D12}-\d{{4}}$",
+    "MMMM d, yyyy": rf"^[A-Za-z]{{3,9}} {_D12}, \d{{4}}$",
+    "MMM d, yyyy": rf"^[A-Za-z]{{3,9}} {_D12}, \d{{4}}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+
+
+def try_parse(c: Column, java: str) -> Column:
+    """``try_to_timestamp`` behind the format's shape check."""
+    guard = PARSE_GUARDS.get(java)
+    parsed = F.try_to_timestamp(c, F.lit(java))
+    return F.when(c.rlike(guard), parsed) if guard else parsed
+
+
 # Strftime directive -> Java DateTimeFormatter letters.
 STRFTIME_TO_JAVA = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%B": "MMMM", "%b": "MMM",
@@ -47,7 +71,7 @@ DATE_TEXT_PATTERNS = (
 
 
 def parse_text(c: Column, formats=PARSE_FORMATS) -> Column:
-    tried = [F.try_to_timestamp(c, F.lit(java)) for java, _ in formats]
+    tried = [try_parse(c, java) for java, _ in formats]
     return F.coalesce(*tried).cast("timestamp_ntz")
 
 

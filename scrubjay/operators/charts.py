@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
                                       round_half_away, safe_corr, to_num)
+from scrubjay.functions.moments import correlations
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.operators.profile import histogram, numeric_columns
 from scrubjay.plans.table import RID, Table
@@ -145,26 +146,20 @@ def line(t: Table, y: str, x: str | None = None) -> DataFrame:
 # -- V7 -------------------------------------------------------------------------------------------------
 def corr_matrix(t: Table, max_columns: int = CORR_MAX_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson matrix of the first 12 numeric columns, as
-    ``(col_x, col_y, r)``; all pairs in one aggregate, null for a constant."""
+    ``(col_x, col_y, r)`` (null for a constant column).  Plain sums in
+    bounded-width aggregates; at most 144 result rows."""
     cols = numeric_columns(t)[:max_columns]
     spark = t.df.sparkSession
+    schema = "col_x string, col_y string, r double"
     if len(cols) < 2:
-        return spark.createDataFrame([], "col_x string, col_y string, r double")
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            aggs.append(safe_corr(col(a).cast("double"), col(b).cast("double")).alias(f"c{i}_{j}"))
-            pairs.append((a, b, f"c{i}_{j}"))
-            if i != j:
-                pairs.append((b, a, f"c{i}_{j}"))
-
-    def q(s):
-        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    stack = ", ".join(f"{q(a)}, {q(b)}, {ref}" for a, b, ref in pairs)
-    return (t.df.agg(*aggs)
-            .select(F.expr(f"stack({len(pairs)}, {stack}) AS (col_x, col_y, r)"))
-            .select("col_x", "col_y", round_half_away("r", 4).alias("r")))
+        return spark.createDataFrame([], schema)
+    rs = correlations(t.df, {c: col(c).cast("double") for c in cols})
+    rows = []
+    for (a, b), r in rs.items():
+        rows.append((a, b, pround(r, 4)))
+        if a != b:
+            rows.append((b, a, pround(r, 4)))
+    return spark.createDataFrame(rows, schema)
 
 
 # -- V8 / V9 ----------------------------------------------------------------------------------------------

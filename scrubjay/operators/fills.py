@@ -29,26 +29,25 @@ def directional_fill(t: Table, columns, forward: bool = True, block_rows: int =
         df = t.df
         key = F.col(RID)
     df = df.withColumn("__sj_blk", F.floor(key / F.lit(block_rows)))
-    if forward:
-        w_in = Window.partitionBy("__sj_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w_in = Window.partitionBy("__sj_blk").orderBy(key).rowsBetween(0, Window.unboundedFollowing)
+    # both directions use a running frame (a frame ending at UNBOUNDED
+    # FOLLOWING is re-evaluated per row); backward fill runs in descending order
+    w_in = Window.partitionBy("__sj_blk").orderBy(key.asc() if forward else key.desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     inner = {}
     edge_aggs = []
     for i, c in enumerate(columns):
         cc = col(c)
-        inner[c] = (F.last(cc, ignorenulls=True) if forward else F.first(cc, ignorenulls=True)).over(w_in)
+        inner[c] = F.last(cc, ignorenulls=True).over(w_in)
         picked = F.when(cc.isNotNull(), F.struct(key.alias("k"), cc.alias("v")))
         edge = F.max(picked) if forward else F.min(picked)
         edge_aggs.append(edge.getField("v").alias(f"__sj_e{i}"))
     blocks = df.groupBy("__sj_blk").agg(*edge_aggs)
-    if forward:
-        w_blk = Window.orderBy("__sj_blk").rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        w_blk = Window.orderBy("__sj_blk").rowsBetween(1, Window.unboundedFollowing)
+    # one row per block: an unpartitioned running window over it is small
+    w_blk = Window.orderBy(F.col("__sj_blk").asc() if forward else F.col("__sj_blk").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     carry = blocks.select("__sj_blk", *[
-        (F.last(f"__sj_e{i}", ignorenulls=True) if forward else F.first(f"__sj_e{i}", ignorenulls=True))
-        .over(w_blk).alias(f"__sj_c{i}") for i in range(len(columns))]).cache()
+        F.last(f"__sj_e{i}", ignorenulls=True).over(w_blk).alias(f"__sj_c{i}")
+        for i in range(len(columns))]).cache()
     n_blocks = carry.count()  # one row per block of BLOCK_ROWS rows
     right = F.broadcast(carry) if n_blocks <= BROADCAST_BLOCKS_MAX else carry
     filled = df.select(*[inner[c].alias(c) if c in inner else col(c) for c in df.columns])

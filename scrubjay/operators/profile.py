@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
-                                      round_half_away, skew_g1, type_family)
+                                      round_half_away, type_family)
+from scrubjay.functions.moments import moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import RID, Table
 
@@ -76,21 +77,17 @@ def numeric_summary(t: Table, columns=None, method: str = "exact") -> DataFrame:
              "q25 double, median double, q75 double"
     if not columns:
         return spark.createDataFrame([], schema)
-    aggs = []
-    for i, c in enumerate(columns):
-        v = col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = t.df.agg(*aggs).first()
-    stats = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    mom = moments(t.df, {c: col(c).cast("double") for c in columns})
+    stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in columns}
     qs = quantiles(t.df, [(c, col(c), None) for c in columns], [0.25, 0.5, 0.75], method=method, stats=stats)
     out = []
-    for i, c in enumerate(columns):
-        if not row[f"n{i}"]:
+    for c in columns:
+        m = mom[c]
+        if not m["n"]:
             continue
         q = qs[c]
-        out.append((c, row[f"n{i}"], _r4(row[f"a{i}"]), _r4(row[f"s{i}"]), _r4(row[f"lo{i}"]),
-                    _r4(row[f"hi{i}"]), _r4(q[0]), _r4(q[1]), _r4(q[2])))
+        out.append((c, m["n"], _r4(m["mean"]), _r4(std_from(m)), _r4(m["min"]), _r4(m["max"]),
+                    _r4(q[0]), _r4(q[1]), _r4(q[2])))
     return spark.createDataFrame(out, schema)
 
 
@@ -200,11 +197,9 @@ def box_summary(t: Table, column: str, max_points: int = 40, method: str = "exac
 def skew(t: Table, columns=None) -> DataFrame:
     """``(column, skew)``: corrected sample skewness, 2 decimals, 0 if undefined."""
     columns = list(columns or numeric_columns(t))
-    if not columns:
-        return t.df.sparkSession.createDataFrame([], "column string, skew double")
-    agg = t.df.agg(*[skew_g1(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
-    stack = ", ".join(f"{_lit_str(c)}, s{i}" for i, c in enumerate(columns))
-    return agg.select(F.expr(f"stack({len(columns)}, {stack}) AS (column, skew)"))
+    spark = t.df.sparkSession
+    mom = moments(t.df, {c: col(c).cast("double") for c in columns}) if columns else {}
+    return spark.createDataFrame([(c, skew_from(mom[c])) for c in columns], "column string, skew double")
 
 
 # -- P8 ------------------------------------------------------------------------------------------------

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubjay.functions.dates import DATE_TEXT_PATTERNS, PARSE_FORMATS
+from scrubjay.functions.dates import DATE_TEXT_PATTERNS, PARSE_FORMATS, try_parse
+from scrubjay.functions.moments import agg_dict, moments, skew_from
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_lower, is_title,
-                                      is_upper, pround, skew_g1, to_num)
+                                      is_upper, pround, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import Table
 from scrubjay.operators.profile import duplicate_count
@@ -55,36 +56,35 @@ class Scan:
 
 
 def scan(t: Table) -> Scan:
-    """One aggregate job with every per-column count the detectors need."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    """Every per-column count the detectors need, as plain counts in
+    bounded-width aggregates, plus two-pass moments for skewness."""
     num = [c for c in t.columns if is_numeric_type(t.dtype(c))]
     txt = [c for c in t.columns if is_string_type(t.dtype(c))]
+    items = [("rows", F.count(F.lit(1)), 1)]
     for i, c in enumerate(t.columns):
-        aggs.append(F.count(col(c)).alias(f"nn{i}"))
-    for i, c in enumerate(num):
-        v = col(c).cast("double")
-        aggs += [skew_g1(v).alias(f"sk{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+        items.append((f"nn{i}", F.count(col(c)), 1))
     for i, c in enumerate(txt):
         s = col(c)
-        aggs.append(F.count(to_num(s, T.StringType())).alias(f"num{i}"))
-        aggs.append(F.greatest(*[F.count(F.try_to_timestamp(s, F.lit(j))) for j, _ in PARSE_FORMATS])
-                    .alias(f"dt{i}"))
+        items.append((f"num{i}", F.count(to_num(s, T.StringType())), 1))
+        for j, (java, _) in enumerate(PARSE_FORMATS):
+            items.append((f"dt{i}_{j}", F.count(try_parse(s, java)), 1))
         for k, (_, pat) in enumerate(DATE_TEXT_PATTERNS):
-            aggs.append(F.count(F.when(s.rlike(pat), 1)).alias(f"p{i}_{k}"))
-        aggs += [F.count(F.when(is_lower(s), 1)).alias(f"lo{i}"),
-                 F.count(F.when(is_upper(s), 1)).alias(f"up{i}"),
-                 F.count(F.when(is_title(s), 1)).alias(f"ti{i}")]
-    row = t.df.agg(*aggs).first()
+            items.append((f"p{i}_{k}", F.count(F.when(s.rlike(pat), 1)), 1))
+        items += [(f"lo{i}", F.count(F.when(is_lower(s), 1)), 1),
+                  (f"up{i}", F.count(F.when(is_upper(s), 1)), 1),
+                  (f"ti{i}", F.count(F.when(is_title(s), 1)), 1)]
+    row = agg_dict(t.df, items)
     sc = Scan(rows=row["rows"], columns=list(t.columns))
     for i, c in enumerate(t.columns):
         sc.nonnull[c] = row[f"nn{i}"]
         sc.nulls[c] = row["rows"] - row[f"nn{i}"]
-    for i, c in enumerate(num):
-        sc.skew[c] = row[f"sk{i}"]
-        sc.minmax[c] = (row[f"mn{i}"], row[f"mx{i}"])
+    mom = moments(t.df, {c: col(c).cast("double") for c in num}) if num else {}
+    for c in num:
+        sc.skew[c] = skew_from(mom[c])
+        sc.minmax[c] = (mom[c]["min"], mom[c]["max"])
     for i, c in enumerate(txt):
         sc.numeric_ok[c] = row[f"num{i}"]
-        sc.date_ok[c] = row[f"dt{i}"]
+        sc.date_ok[c] = max(row[f"dt{i}_{j}"] for j in range(len(PARSE_FORMATS)))
         sc.patterns[c] = {name: row[f"p{i}_{k}"] for k, (name, _) in enumerate(DATE_TEXT_PATTERNS)}
         sc.casing[c] = (row[f"lo{i}"], row[f"up{i}"], row[f"ti{i}"])
     return sc
