@@ -55,11 +55,12 @@ class Scan:
     minmax: dict = field(default_factory=dict)
 
 
-def scan(t: Table) -> Scan:
+def scan(t: Table, text: bool = True) -> Scan:
     """Every per-column count the detectors need, as plain counts in
-    bounded-width aggregates, plus two-pass moments for skewness."""
+    bounded-width aggregates, plus two-pass moments for skewness.
+    ``text=False`` skips the text checks (type, format, casing findings)."""
     num = [c for c in t.columns if is_numeric_type(t.dtype(c))]
-    txt = [c for c in t.columns if is_string_type(t.dtype(c))]
+    txt = [c for c in t.columns if is_string_type(t.dtype(c))] if text else []
     items = [("rows", F.count(F.lit(1)), 1)]
     for i, c in enumerate(t.columns):
         items.append((f"nn{i}", F.count(col(c)), 1))
@@ -122,7 +123,7 @@ MISSING_SCHEMA = "column string, count long, pct double, severity string, method
 
 
 def missing(t: Table, sc: Scan | None = None) -> DataFrame:
-    sc = sc or scan(t)
+    sc = sc or scan(t, text=False)
     out = []
     for c in t.columns:
         n = sc.nulls[c]
@@ -173,7 +174,7 @@ def outlier_bounds(t: Table, sc: Scan, method: str = "exact") -> dict:
 
 
 def outliers(t: Table, sc: Scan | None = None, method: str = "exact") -> DataFrame:
-    sc = sc or scan(t)
+    sc = sc or scan(t, text=False)
     bounds = outlier_bounds(t, sc, method)
     spark = t.df.sparkSession
     if not bounds:

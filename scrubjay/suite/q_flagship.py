@@ -28,7 +28,7 @@ GROUP BY event_type ORDER BY value DESC, category LIMIT 15
 @query("flagship_clean_chart", sql=FLAGSHIP_SQL, fixtures=("ev_dirty",))
 def flagship_clean_chart(spark, sf):
     t = fixture(spark, sf, "ev_dirty")
-    sc = quality.scan(t)
+    sc = quality.scan(t, text=False)  # profile: nulls, moments
     fill = {r["column"]: r["method"] for r in quality.missing(t, sc).collect()}
     outl = {r["column"]: r["method"] for r in quality.outliers(t, sc).collect()}
     r = Recipe(t)
