@@ -11,7 +11,7 @@ from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is
                                       round_half_away, safe_corr, to_num)
 from scrubjay.functions.moments import correlations
 from scrubjay.functions.quantiles import quantiles
-from scrubjay.operators.profile import histogram, numeric_columns
+from scrubjay.operators.profile import capped_distinct, histogram, numeric_columns
 from scrubjay.plans.table import RID, Table
 
 # Chart limits.
@@ -188,13 +188,10 @@ def chart_slots(t: Table) -> DataFrame:
     """``(column, is_num, is_cat)``: numeric slot for numbers; category slot
     for non-numbers and numbers with at most 20 distinct values."""
     cols = t.columns
-    agg = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    def q(s):
-        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    stack = ", ".join(f"{q(c)}, {str(is_numeric_type(t.dtype(c))).lower()}, d{i}" for i, c in enumerate(cols))
-    return agg.select(F.expr(f"stack({len(cols)}, {stack}) AS (column, is_num, distinct_count)")) \
-        .select("column", "is_num",
-                (~F.col("is_num") | (F.col("distinct_count") <= CATEGORY_MAX_DISTINCT)).alias("is_cat"))
+    nums = [c for c in cols if is_numeric_type(t.dtype(c))]
+    d = capped_distinct(t.df, nums, CATEGORY_MAX_DISTINCT)
+    rows = [(c, c in d, c not in d or d[c] <= CATEGORY_MAX_DISTINCT) for c in cols]
+    return t.df.sparkSession.createDataFrame(rows, "column string, is_num boolean, is_cat boolean")
 
 
 # -- V10 -------------------------------------------------------------------------------------------------------
@@ -213,9 +210,9 @@ def auto_charts(t: Table) -> DataFrame:
         parts.append(h.select(F.lit("histogram").alias("chart"), "column",
                               F.col("bin").cast("string").alias("label"), F.col("count").cast("double").alias("value")))
     if texts:
-        d = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-        for i, c in enumerate(texts):
-            if d[f"d{i}"] <= AUTO_BAR_MAX_DISTINCT:
+        d = capped_distinct(t.df, texts, AUTO_BAR_MAX_DISTINCT)
+        for c in texts:
+            if d[c] <= AUTO_BAR_MAX_DISTINCT:
                 parts.append(bar_counts(t, c).select(F.lit("bar").alias("chart"), F.lit(c).alias("column"),
                                                      F.col("category").alias("label"), "value"))
     if len(nums) >= 2:

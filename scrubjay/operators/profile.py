@@ -22,6 +22,24 @@ from scrubjay.plans.table import RID, Table
 DISTINCT_BATCH = 8  # several count(distinct) in one agg expand rows: batch them
 
 
+def capped_distinct(df: DataFrame, columns, cap: int) -> dict:
+    """Exact distinct counts where they can be at most ``cap``; ``cap + 1`` for
+    the rest.  A HyperLogLog estimate (5% error) first rules out columns well
+    above the cap, so no exact distinct shuffles a high-cardinality column."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    approx = df.agg(*[F.approx_count_distinct(col(c)).alias(f"a{i}") for i, c in enumerate(columns)]).first()
+    near = [c for i, c in enumerate(columns) if approx[f"a{i}"] <= 2 * cap]
+    out = {c: cap + 1 for c in columns}
+    for start in range(0, len(near), DISTINCT_BATCH):
+        batch = near[start:start + DISTINCT_BATCH]
+        row = df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(batch)]).first()
+        for i, c in enumerate(batch):
+            out[c] = min(row[f"d{i}"], cap + 1)
+    return out
+
+
 def numeric_columns(t: Table) -> list[str]:
     return [c for c in t.columns if is_numeric_type(t.dtype(c))]
 
@@ -129,14 +147,18 @@ def histogram(t: Table, column: str, max_bins: int = 24, bins: int | None = None
     ``(column, bin, bin_lo, bin_hi, count, mean, median)``."""
     v = col(column).cast("double")
     stats = t.df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                     F.avg(v).alias("mean"), F.countDistinct(v).alias("d")).first()
+                     F.avg(v).alias("mean")).first()
     spark = t.df.sparkSession
     schema = "column string, bin int, bin_lo double, bin_hi double, count long, mean double, median double"
     n = stats["n"]
     if not n:
         return spark.createDataFrame([], schema)
     if bins is None:
-        bins = max(1, min(max_bins, stats["d"])) if rule == "distinct" else min(50, max(10, n // 20))
+        if rule == "distinct":
+            d = capped_distinct(t.df.select(v.alias("__sj_v")), ["__sj_v"], max_bins)["__sj_v"]
+            bins = max(1, min(max_bins, d))
+        else:
+            bins = min(50, max(10, n // 20))
     lo, hi = float(stats["lo"]), float(stats["hi"])
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5

@@ -25,7 +25,7 @@ from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_l
                                       is_upper, pround, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import Table
-from scrubjay.operators.profile import duplicate_count
+from scrubjay.operators.profile import capped_distinct, duplicate_count
 
 # Rule thresholds of the quality report.
 TYPE_RATIO = 0.7
@@ -67,14 +67,22 @@ def scan(t: Table, text: bool = True) -> Scan:
     for i, c in enumerate(txt):
         s = col(c)
         items.append((f"num{i}", F.count(to_num(s, T.StringType())), 1))
-        for j, (java, _) in enumerate(PARSE_FORMATS):
-            items.append((f"dt{i}_{j}", F.count(try_parse(s, java)), 1))
+        items.append((f"dig{i}", F.count(F.when(s.rlike(r"\d"), 1)), 1))
         for k, (_, pat) in enumerate(DATE_TEXT_PATTERNS):
             items.append((f"p{i}_{k}", F.count(F.when(s.rlike(pat), 1)), 1))
         items += [(f"lo{i}", F.count(F.when(is_lower(s), 1)), 1),
                   (f"up{i}", F.count(F.when(is_upper(s), 1)), 1),
                   (f"ti{i}", F.count(F.when(is_title(s), 1)), 1)]
     row = agg_dict(t.df, items)
+    # the date test only matters where the numeric test failed, and every date
+    # format needs digits: parse only columns where 70% of values have one
+    dated = [(i, c) for i, c in enumerate(txt)
+             if row[f"nn{t.columns.index(c)}"]
+             and row[f"num{i}"] / row[f"nn{t.columns.index(c)}"] < TYPE_RATIO
+             and row[f"dig{i}"] / row[f"nn{t.columns.index(c)}"] >= TYPE_RATIO]
+    dt_items = [(f"dt{i}_{j}", F.count(try_parse(col(c), java)), 1)
+                for i, c in dated for j, (java, _) in enumerate(PARSE_FORMATS)]
+    dts = agg_dict(t.df, dt_items) if dt_items else {}
     sc = Scan(rows=row["rows"], columns=list(t.columns))
     for i, c in enumerate(t.columns):
         sc.nonnull[c] = row[f"nn{i}"]
@@ -85,7 +93,7 @@ def scan(t: Table, text: bool = True) -> Scan:
         sc.minmax[c] = (mom[c]["min"], mom[c]["max"])
     for i, c in enumerate(txt):
         sc.numeric_ok[c] = row[f"num{i}"]
-        sc.date_ok[c] = max(row[f"dt{i}_{j}"] for j in range(len(PARSE_FORMATS)))
+        sc.date_ok[c] = max((dts.get(f"dt{i}_{j}", 0) for j in range(len(PARSE_FORMATS))), default=0)
         sc.patterns[c] = {name: row[f"p{i}_{k}"] for k, (name, _) in enumerate(DATE_TEXT_PATTERNS)}
         sc.casing[c] = (row[f"lo{i}"], row[f"up{i}"], row[f"ti{i}"])
     return sc
@@ -122,7 +130,7 @@ def missing_severity(pct: float) -> str:
 MISSING_SCHEMA = "column string, count long, pct double, severity string, method string, skew double, reason string"
 
 
-def missing(t: Table, sc: Scan | None = None) -> DataFrame:
+def missing_rows(t: Table, sc: Scan | None = None) -> list:
     sc = sc or scan(t, text=False)
     out = []
     for c in t.columns:
@@ -134,14 +142,18 @@ def missing(t: Table, sc: Scan | None = None) -> DataFrame:
         sk = sc.skew.get(c, 0.0) if is_num else None
         method, reason = recommend_fill(is_num, sc.nonnull[c], sk or 0.0)
         out.append((c, n, pct, missing_severity(pct), method, sk, reason))
-    return t.df.sparkSession.createDataFrame(out, MISSING_SCHEMA)
+    return out
+
+
+def missing(t: Table, sc: Scan | None = None) -> DataFrame:
+    return t.df.sparkSession.createDataFrame(missing_rows(t, sc), MISSING_SCHEMA)
 
 
 # -- Q3 ------------------------------------------------------------------------------------------
 TYPE_SCHEMA = "column string, current string, suggested string, convertible long, convertible_pct double"
 
 
-def type_issues(t: Table, sc: Scan | None = None) -> DataFrame:
+def type_issues_rows(t: Table, sc: Scan | None = None) -> list:
     sc = sc or scan(t)
     out = []
     for c, ok in sc.numeric_ok.items():
@@ -153,7 +165,11 @@ def type_issues(t: Table, sc: Scan | None = None) -> DataFrame:
         elif sc.date_ok[c] / n >= TYPE_RATIO:
             d = sc.date_ok[c]
             out.append((c, "string", "datetime", d, pround(d / n * 100, 2)))
-    return t.df.sparkSession.createDataFrame(out, TYPE_SCHEMA)
+    return out
+
+
+def type_issues(t: Table, sc: Scan | None = None) -> DataFrame:
+    return t.df.sparkSession.createDataFrame(type_issues_rows(t, sc), TYPE_SCHEMA)
 
 
 # -- Q4 ------------------------------------------------------------------------------------------
@@ -174,11 +190,14 @@ def outlier_bounds(t: Table, sc: Scan, method: str = "exact") -> dict:
 
 
 def outliers(t: Table, sc: Scan | None = None, method: str = "exact") -> DataFrame:
+    return t.df.sparkSession.createDataFrame(outliers_rows(t, sc, method), OUTLIER_SCHEMA)
+
+
+def outliers_rows(t: Table, sc: Scan | None = None, method: str = "exact") -> list:
     sc = sc or scan(t, text=False)
     bounds = outlier_bounds(t, sc, method)
-    spark = t.df.sparkSession
     if not bounds:
-        return spark.createDataFrame([], OUTLIER_SCHEMA)
+        return []
     names = list(bounds)
     aggs = []
     for i, c in enumerate(names):
@@ -197,7 +216,7 @@ def outliers(t: Table, sc: Scan | None = None, method: str = "exact") -> DataFra
         m, reason = recommend_outlier(pct, sk)
         out.append((c, n_out, pct, pround(lo, 4), pround(hi, 4), "HIGH" if pct > OUTLIER_CAP_PCT else "MED",
                     m, sk, reason))
-    return spark.createDataFrame(out, OUTLIER_SCHEMA)
+    return out
 
 
 # -- Q5 / Q6 ------------------------------------------------------------------------------------------
@@ -205,17 +224,21 @@ DATE_FMT_SCHEMA = "column string, format string, count long"
 CASING_SCHEMA = "column string, lower long, upper long, title long, mixed long"
 
 
-def date_formats(t: Table, sc: Scan | None = None) -> DataFrame:
+def date_formats_rows(t: Table, sc: Scan | None = None) -> list:
     sc = sc or scan(t)
     out = []
     for c, found in sc.patterns.items():
         hit = {k: v for k, v in found.items() if v}
         if len(hit) > 1:
             out += [(c, k, v) for k, v in hit.items()]
-    return t.df.sparkSession.createDataFrame(out, DATE_FMT_SCHEMA)
+    return out
 
 
-def casing(t: Table, sc: Scan | None = None) -> DataFrame:
+def date_formats(t: Table, sc: Scan | None = None) -> DataFrame:
+    return t.df.sparkSession.createDataFrame(date_formats_rows(t, sc), DATE_FMT_SCHEMA)
+
+
+def casing_rows(t: Table, sc: Scan | None = None) -> list:
     sc = sc or scan(t)
     out = []
     for c, (lo, up, ti) in sc.casing.items():
@@ -224,7 +247,11 @@ def casing(t: Table, sc: Scan | None = None) -> DataFrame:
         n = sc.nonnull[c]
         if n > CASING_MIN_VALUES and max(lo, up, ti) < n * CASING_DOMINANT:
             out.append((c, lo, up, ti, n - lo - up - ti))
-    return t.df.sparkSession.createDataFrame(out, CASING_SCHEMA)
+    return out
+
+
+def casing(t: Table, sc: Scan | None = None) -> DataFrame:
+    return t.df.sparkSession.createDataFrame(casing_rows(t, sc), CASING_SCHEMA)
 
 
 # -- Q7 ------------------------------------------------------------------------------------------------
@@ -252,8 +279,8 @@ def typo_candidates(t: Table, columns=None, metric: str = "difflib", cutoff: flo
     spark = t.df.sparkSession
     if not cols:
         return spark.createDataFrame([], TYPO_SCHEMA)
-    dc = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    keep = [c for i, c in enumerate(cols) if TYPO_MIN_DISTINCT <= dc[f"d{i}"] <= TYPO_MAX_DISTINCT]
+    dc = capped_distinct(t.df, cols, TYPO_MAX_DISTINCT)
+    keep = [c for c in cols if TYPO_MIN_DISTINCT <= dc[c] <= TYPO_MAX_DISTINCT]
     if not keep:
         return spark.createDataFrame([], TYPO_SCHEMA)
     parts = [t.df.where(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count("*").alias("n"))
@@ -300,28 +327,25 @@ def findings(t: Table, suppress=(), typo_metric: str = "difflib", method: str =
     sc = scan(t)
     spark = t.df.sparkSession
     rows = []
-    for r in missing(t, sc).collect():
-        rows.append(("missing", r["column"], r["severity"], r["count"], r["pct"], None, r["method"], r["reason"]))
+    for c, n, pct, sev, m, _, reason in missing_rows(t, sc):
+        rows.append(("missing", c, sev, n, pct, None, m, reason))
     dups = duplicate_count(t).first()["duplicates"]
     if dups:
         rows.append(("duplicates", "*", "MED", dups, pround(dups / sc.rows * 100, 2), None,
                      "remove_duplicates", None))
-    for r in type_issues(t, sc).collect():
-        rows.append(("type_issues", r["column"], "MED", r["convertible"], r["convertible_pct"],
-                     f"string -> {r['suggested']}", r["suggested"], None))
-    for r in outliers(t, sc, method).collect():
-        rows.append(("outliers", r["column"], r["severity"], r["count"], r["pct"],
-                     f"IQR [{r['lower_bound']}, {r['upper_bound']}]", r["method"], r["reason"]))
+    for c, _, sug, conv, conv_pct in type_issues_rows(t, sc):
+        rows.append(("type_issues", c, "MED", conv, conv_pct, f"string -> {sug}", sug, None))
+    for c, n, pct, lo, hi, sev, m, _, reason in outliers_rows(t, sc, method):
+        rows.append(("outliers", c, sev, n, pct, f"IQR [{lo}, {hi}]", m, reason))
     fmt = {}
-    for r in date_formats(t, sc).collect():
-        fmt.setdefault(r["column"], []).append((r["format"], r["count"]))
+    for c, f, n in date_formats_rows(t, sc):
+        fmt.setdefault(c, []).append((f, n))
     for c, items in fmt.items():
         rows.append(("inconsistent_formats", c, "LOW", sum(n for _, n in items), None,
                      " | ".join(f"{k}:{n}" for k, n in items), "date_format", None))
-    for r in casing(t, sc).collect():
-        rows.append(("inconsistent_formats", r["column"], "LOW", r["mixed"], None,
-                     f"lower:{r['lower']} upper:{r['upper']} title:{r['title']} mixed:{r['mixed']}",
-                     "casing", None))
+    for c, lo, up, ti, mixed in casing_rows(t, sc):
+        rows.append(("inconsistent_formats", c, "LOW", mixed, None,
+                     f"lower:{lo} upper:{up} title:{ti} mixed:{mixed}", "casing", None))
     typos = {}
     for r in typo_candidates(t, metric=typo_metric).orderBy("column", "value").collect():
         typos.setdefault(r["column"], []).append((r["value"], r["match"]))

@@ -29,8 +29,8 @@ GROUP BY event_type ORDER BY value DESC, category LIMIT 15
 def flagship_clean_chart(spark, sf):
     t = fixture(spark, sf, "ev_dirty")
     sc = quality.scan(t, text=False)  # profile: nulls, moments
-    fill = {r["column"]: r["method"] for r in quality.missing(t, sc).collect()}
-    outl = {r["column"]: r["method"] for r in quality.outliers(t, sc).collect()}
+    fill = {r[0]: r[4] for r in quality.missing_rows(t, sc)}
+    outl = {r[0]: r[6] for r in quality.outliers_rows(t, sc)}
     r = Recipe(t)
     r = r.append(Step("fill_missing", "value", {"method": fill.get("value", "median")}))
     r = r.append(Step("handle_outliers", "value", {"method": outl.get("value", "cap")}))
