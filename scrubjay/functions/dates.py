@@ -30,18 +30,21 @@ PARSE_FORMATS = (
 
 # Cheap shape checks run before each parse attempt, so text that cannot match
 # a format never reaches the (exception-driven) failure path of the parser.
-_D12 = r"\d{1,2}"
+_M = r"(0?[1-9]|1[0-2])"            # month 1-12
+_D = r"(0?[1-9]|[12][0-9]|3[01])"   # day 1-31
+_T = r"([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]"
+_Y = r"[0-9]{4}"
 PARSE_GUARDS = {
-    "yyyy-M-d": rf"^\d{{4}}-{_D12}-{_D12}$",
-    "yyyy-M-d H:m:s": rf"^\d{{4}}-{_D12}-{_D12} {_D12}:{_D12}:{_D12}$",
-    "yyyy-M-d'T'H:m:s": rf"^\d{{4}}-{_D12}-{_D12}T{_D12}:{_D12}:{_D12}$",
-    "M/d/yyyy": rf"^{_D12}/{_D12}/\d{{4}}$",
-    "d/M/yyyy": rf"^{_D12}/{_D12}/\d{{4}}$",
-    "M-d-yyyy": rf"^{_D12}-{_D12}-\d{{4}}$",
-    "d-M-yyyy": rf"^{_D12}-{_D12}-\d{{4}}$",
-    "MMMM d, yyyy": rf"^[A-Za-z]{{3,9}} {_D12}, \d{{4}}$",
-    "MMM d, yyyy": rf"^[A-Za-z]{{3,9}} {_D12}, \d{{4}}$",
-    "yyyyMMdd": r"^\d{8}$",
+    "yyyy-M-d": rf"^{_Y}-{_M}-{_D}$",
+    "yyyy-M-d H:m:s": rf"^{_Y}-{_M}-{_D} {_T}$",
+    "yyyy-M-d'T'H:m:s": rf"^{_Y}-{_M}-{_D}T{_T}$",
+    "M/d/yyyy": rf"^{_M}/{_D}/{_Y}$",
+    "d/M/yyyy": rf"^{_D}/{_M}/{_Y}$",
+    "M-d-yyyy": rf"^{_M}-{_D}-{_Y}$",
+    "d-M-yyyy": rf"^{_D}-{_M}-{_Y}$",
+    "MMMM d, yyyy": rf"^[A-Za-z]{{3,9}} {_D}, {_Y}$",
+    "MMM d, yyyy": rf"^[A-Za-z]{{3}} {_D}, {_Y}$",
+    "yyyyMMdd": rf"^{_Y}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$",
 }
 
 
