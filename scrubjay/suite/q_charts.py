@@ -126,3 +126,10 @@ def chart_slots(spark, sf):
        OH)
 def chart_auto(spark, sf):
     return C.auto_charts(fixture(spark, sf, "ord_holes"))
+
+
+@query("chart_scatter_points",
+       "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem "
+       "WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
+def chart_scatter_points(spark, sf):
+    return C.scatter_points(loaded(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("x", "y")

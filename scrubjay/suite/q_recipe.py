@@ -112,3 +112,14 @@ def recipe_undo_dependent(spark, sf):
 @query("recipe_reset", "SELECT * FROM ev_dirty", EV)
 def recipe_reset(spark, sf):
     return out(_build(spark, sf, CHAIN).reset().result)
+
+
+@query("recipe_apply_metrics",
+       "SELECT count(*) FILTER (WHERE event_type IS NULL) AS rows_removed, CAST(0 AS BIGINT) AS cells_changed, "
+       "CAST(0 AS BIGINT) AS cols_removed, CAST(0 AS BIGINT) AS cols_added FROM ev_dirty", EV)
+def recipe_apply_metrics(spark, sf):
+    """R1: applying a step reports rows removed and cells changed."""
+    r = Recipe(fixture(spark, sf, "ev_dirty"))
+    _, m = r.apply(Step("filter_rows", "event_type", {"condition": "not_null"}))
+    return spark.range(1).select(*[F.lit(m[k]).cast("long").alias(k)
+                                   for k in ("rows_removed", "cells_changed", "cols_removed", "cols_added")])
