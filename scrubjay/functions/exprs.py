@@ -100,14 +100,21 @@ def is_title(c: Column) -> Column:
     return has_cased(c) & ~c.rlike(_NOT_TITLE)
 
 
+def epoch_nanos(c: Column, dt: T.DataType) -> Column:
+    """Nanoseconds since the epoch of a date/timestamp, reading wall-clock
+    (``timestamp_ntz``, ``date``) values as UTC whatever the session time zone."""
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c) * 1000
+    wall = c.cast("timestamp_ntz").cast("string")
+    return F.unix_micros(F.to_timestamp(F.concat(wall, F.lit("Z")), "yyyy-MM-dd HH:mm:ss[.SSSSSS]X")) * 1000
+
+
 def to_num(c: Column, dt: T.DataType) -> Column:
     """Coerce any column to double the way ``pd.to_numeric(errors='coerce')`` does."""
     if is_numeric_type(dt) or isinstance(dt, T.BooleanType):
         return c.cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return (F.unix_micros(c.cast("timestamp")) * 1000).cast("double")
-    if isinstance(dt, T.DateType):
-        return (F.unix_micros(c.cast("timestamp")) * 1000).cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return epoch_nanos(c, dt).cast("double")
     if is_string_type(dt):
         return F.when(c.rlike(NUMBER_PATTERN), F.regexp_replace(c, STRIP_PATTERN, "").try_cast("double"))
     return F.lit(None).cast("double")

@@ -149,6 +149,21 @@ def missing(t: Table, sc: Scan | None = None) -> DataFrame:
     return t.df.sparkSession.createDataFrame(missing_rows(t, sc), MISSING_SCHEMA)
 
 
+def missing_histograms(t: Table, sc: Scan | None = None) -> DataFrame:
+    """The distribution shown with each numeric missing-value finding (at
+    least 3 values): the profile histogram (P5) of those columns, stacked."""
+    from scrubjay.operators.profile import histogram
+    sc = sc or scan(t, text=False)
+    cols = [c for c in t.columns if is_numeric_type(t.dtype(c)) and sc.nulls[c] and sc.nonnull[c] >= 3]
+    if not cols:
+        return t.df.sparkSession.createDataFrame(
+            [], "column string, bin int, bin_lo double, bin_hi double, count long, mean double, median double")
+    out = histogram(t, cols[0])
+    for c in cols[1:]:
+        out = out.unionByName(histogram(t, c))
+    return out
+
+
 # -- Q3 ------------------------------------------------------------------------------------------
 TYPE_SCHEMA = "column string, current string, suggested string, convertible long, convertible_pct double"
 

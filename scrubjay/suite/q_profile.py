@@ -239,3 +239,10 @@ def qual_column_status(spark, sf):
        "FROM fd", EV)
 def qual_fix_plan(spark, sf):
     return Q.fix_plan(_findings(spark, sf)[1])
+
+
+@query("qual_missing_dist",
+       "SELECT * FROM (" + G.histogram("ev_dirty", "value", "greatest(1, least(24, d))") + ") UNION ALL SELECT * FROM ("
+       + G.histogram("ev_dirty", "value_sparse", "greatest(1, least(24, d))") + ")", EV)
+def qual_missing_dist(spark, sf):
+    return Q.missing_histograms(fixture(spark, sf, "ev_dirty"))
