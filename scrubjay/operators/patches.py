@@ -14,10 +14,16 @@ from scrubjay.plans.table import RID, Table
 BROADCAST_IDS_MAX = 100_000
 
 
+def small_side(df: DataFrame, limit: int = BROADCAST_IDS_MAX) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``limit`` rows (counted, so the
+    size bound is proven); otherwise leave the join to a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def _ids_frame(t: Table, ids) -> DataFrame:
     if isinstance(ids, DataFrame):
-        return ids.select(F.col(RID).cast("long").alias(RID))
-    ids = [int(i) for i in ids]
+        return small_side(ids.select(F.col(RID).cast("long").alias(RID)).distinct())
+    ids = sorted({int(i) for i in ids})
     frame = t.df.sparkSession.createDataFrame([(i,) for i in ids], f"{RID} long")
     return F.broadcast(frame) if len(ids) <= BROADCAST_IDS_MAX else frame
 
@@ -62,6 +68,7 @@ def apply_patches(t: Table, patches: DataFrame, strict: bool = True) -> Table:
     piv = patches.groupBy(F.col(RID).cast("long").alias(RID)).agg(*[
         F.max(F.when(F.col("column") == c, F.struct(F.col("seq"), F.col("value").alias("v"))))
         .alias(f"__sj_p{i}") for i, c in enumerate(names)])
+    piv = small_side(piv)  # usually a handful of edited rows: broadcast, no shuffle of the table
     if strict:
         missing = piv.join(t.df.select(RID), RID, "left_anti").limit(1).collect()
         if missing:
