@@ -170,16 +170,3 @@ def safe_corr(x: Column, y: Column) -> Column:
     xm = F.when(y.isNotNull(), x)
     ym = F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
-
-
-def skew_g1(c: Column) -> Column:
-    """Bias-corrected sample skewness (pandas ``Series.skew``); 0 when undefined.
-
-    Spark's ``skewness`` is the population form; scale by sqrt(n(n-1))/(n-2).
-    Rounded to 2 decimals as the quality report shows it.
-    """
-    n = F.count(c).cast("double")
-    raw = F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
-    ok = (n >= 3) & (F.stddev_samp(c) > 0)
-    val = F.when(ok, raw)
-    return F.coalesce(F.when(~F.isnan(val) & (F.abs(val) != float("inf")), round_half_away(val, 2)), F.lit(0.0))
