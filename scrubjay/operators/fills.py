@@ -1,61 +1,92 @@
 """Forward / backward fill in current row order without a global window.
 
-Rows are cut into blocks of at most ``BLOCK_ROWS`` consecutive positions
-(``floor(position / BLOCK_ROWS)``; positions are unique, so no block can grow
-with skew).  Phase 1 fills inside each block with a window partitioned by
-block.  Phase 2 takes, per block, its last (first) non-null value, and a
-running ``last``/``first ignore nulls`` over that one-row-per-block frame gives
-the carry into each block; the carry frame is joined back (broadcast while it
-is small).  Equal to a global ordered window, at any scale.
+Rows are cut into blocks of consecutive positions (``floor(position /
+block_rows)``; positions are unique, so no block can grow with skew, and
+``block_rows`` is sized from the key span so there are a few blocks per core
+but never more than ``MAX_BLOCKS``).
+
+1. Inside each block a running ``last(ignorenulls)`` window fills the gaps
+   (backward fill runs the same frame in descending order: a frame ending at
+   UNBOUNDED FOLLOWING would be re-evaluated per row).
+2. Each block's edge value (its last non-null for ffill, first for bfill) comes
+   from a hash aggregate of positions only (``max``/``min`` of longs) plus a
+   broadcast join that picks those few rows, so the full data is never sorted
+   for it.
+3. A running ``last(ignorenulls)`` over the one-row-per-block frame gives the
+   carry into each block, joined back by block (broadcast; the frame has at
+   most ``MAX_BLOCKS`` rows).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import col
 from scrubjay.plans.table import RID, Table
 
-BLOCK_ROWS = 1 << 20
-BROADCAST_BLOCKS_MAX = 200_000
+MIN_BLOCK_ROWS = 1 << 12
+MAX_BLOCKS = 200_000
+BLOCKS_PER_CORE = 4
+
 
+def _block_rows(df, key, spark) -> int:
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if span["lo"] is None:
+        return MIN_BLOCK_ROWS
+    width = span["hi"] - span["lo"] + 1
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    target = math.ceil(width / (cores * BLOCKS_PER_CORE))
+    return int(max(MIN_BLOCK_ROWS, target, math.ceil(width / MAX_BLOCKS)))
 
-def directional_fill(t: Table, columns, forward: bool = True, block_rows: int = BLOCK_ROWS) -> Table:
+
+def directional_fill(t: Table, columns, forward: bool = True, block_rows: int | None = None) -> Table:
     if t.order:
         df = t.positions("__sj_pos")
-        key = F.col("__sj_pos")
+        key_name = "__sj_pos"
     else:
         df = t.df
-        key = F.col(RID)
-    df = df.withColumn("__sj_blk", F.floor(key / F.lit(block_rows)))
-    # both directions use a running frame (a frame ending at UNBOUNDED
-    # FOLLOWING is re-evaluated per row); backward fill runs in descending order
+        key_name = RID
+    key = F.col(key_name)
+    spark = df.sparkSession
+    block_rows = block_rows or _block_rows(df, key, spark)
+    df = df.withColumn("__sj_blk", F.expr(f"{key_name} div {int(block_rows)}"))
     w_in = Window.partitionBy("__sj_blk").orderBy(key.asc() if forward else key.desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    inner = {}
-    edge_aggs = []
-    for i, c in enumerate(columns):
-        cc = col(c)
-        inner[c] = F.last(cc, ignorenulls=True).over(w_in)
-        picked = F.when(cc.isNotNull(), F.struct(key.alias("k"), cc.alias("v")))
-        edge = F.max(picked) if forward else F.min(picked)
-        edge_aggs.append(edge.getField("v").alias(f"__sj_e{i}"))
-    blocks = df.groupBy("__sj_blk").agg(*edge_aggs)
+    columns = list(columns)
+    inner = {c: F.last(col(c), ignorenulls=True).over(w_in) for c in columns}
+
+    # edge positions per block: a hash aggregate over longs
+    pick = F.max if forward else F.min
+    edge_pos = df.groupBy("__sj_blk").agg(*[
+        pick(F.when(col(c).isNotNull(), key)).alias(f"__sj_p{i}") for i, c in enumerate(columns)]).cache()
+    n_blocks = edge_pos.count()
+    right = F.broadcast(edge_pos) if n_blocks <= MAX_BLOCKS else edge_pos
+    # the rows at those positions (at most columns x blocks rows) carry the edge values
+    hit = F.lit(False)
+    for i in range(len(columns)):
+        hit = hit | F.coalesce(key == F.col(f"__sj_p{i}"), F.lit(False))
+    at_edge = df.join(right, "__sj_blk").where(hit)
+    edges = at_edge.groupBy("__sj_blk").agg(*[
+        F.first(F.when(key == F.col(f"__sj_p{i}"), col(c)), ignorenulls=True).alias(f"__sj_e{i}")
+        for i, c in enumerate(columns)])
+    blocks = edge_pos.select("__sj_blk").join(edges, "__sj_blk", "left")
     # one row per block: an unpartitioned running window over it is small
     w_blk = Window.orderBy(F.col("__sj_blk").asc() if forward else F.col("__sj_blk").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = blocks.select("__sj_blk", *[
         F.last(f"__sj_e{i}", ignorenulls=True).over(w_blk).alias(f"__sj_c{i}")
         for i in range(len(columns))]).cache()
-    n_blocks = carry.count()  # one row per block of BLOCK_ROWS rows
-    right = F.broadcast(carry) if n_blocks <= BROADCAST_BLOCKS_MAX else carry
+    carry.count()
+    right = F.broadcast(carry) if n_blocks <= MAX_BLOCKS else carry
     filled = df.select(*[inner[c].alias(c) if c in inner else col(c) for c in df.columns])
     joined = filled.join(right, "__sj_blk", "left")
     out = []
     for c in t.df.columns:
         if c in inner:
-            i = list(columns).index(c)
+            i = columns.index(c)
             out.append(F.coalesce(col(c), F.col(f"__sj_c{i}")).alias(c))
         else:
             out.append(col(c))
