@@ -104,3 +104,10 @@ def test_streaming_row_local_recipe(spark, tmp_dir):
     assert out.exceptAll(static).count() == 0
     with pytest.raises(ValueError):
         apply_to_stream(ev, [Step("fill_missing", "num_text", {"method": "median"})])
+
+
+def test_ffill_plan_has_no_sort_aggregate_over_data(spark):
+    t = fixture(spark, SF_SMALL, "ev_dirty")
+    plan = _plan(directional_fill(t, ["value_sparse"]).df)
+    assert "SortAggregate" not in plan
+    assert "Window" in plan and "hashpartitioning(__sj_blk" in plan
