@@ -7,13 +7,10 @@ driver as a handful of literals.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
+from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, pround,
                                       round_half_away, type_family)
 from scrubjay.functions.moments import moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles

@@ -13,7 +13,7 @@ from scrubjay.functions.exprs import round_half_away
 from scrubjay.plans.table import RID
 from scrubjay.sources.pages import slice_rows
 from scrubjay.suite import sqlfrag as S
-from scrubjay.suite.base import fixture, fixture_df, out, query, table
+from scrubjay.suite.base import fixture, fixture_df, out, query
 
 EV = ("ev_dirty",)
 OH = ("ord_holes",)
