@@ -341,9 +341,25 @@ FIX_OPERATIONS = {
 }
 
 
-def findings(t: Table, suppress=(), typo_metric: str = "difflib", method: str = "exact") -> DataFrame:
+def findings(t: Table, suppress=(), typo_metric: str = "difflib", method: str = "exact",
+             persist: bool = False) -> DataFrame:
     """All sections as one long frame, minus suppressed ``(section, column)``
-    keys (duplicates use column ``*``)."""
+    keys (duplicates use column ``*``).
+
+    The report makes several passes over the table; ``persist=True`` keeps
+    the data columns (memory, spilling to disk) for the duration of the call."""
+    if persist:
+        from pyspark import StorageLevel
+        kept = t.with_df(t.df.persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            # the report is built from collected aggregates, so the cache can go afterwards
+            return _findings_rows_frame(kept, suppress, typo_metric, method)
+        finally:
+            kept.df.unpersist()
+    return _findings_rows_frame(t, suppress, typo_metric, method)
+
+
+def _findings_rows_frame(t: Table, suppress, typo_metric, method) -> DataFrame:
     sc = scan(t)
     spark = t.df.sparkSession
     rows = []

@@ -196,7 +196,7 @@ FINDINGS_SQL = G.findings("ev_dirty", EV_NUM, EV_OTHER, EV_STR, EV_COLS)
 
 def _findings(spark, sf, suppress=()):
     t = fixture(spark, sf, "ev_dirty")
-    return t, Q.findings(t, suppress=suppress, typo_metric="levenshtein")
+    return t, Q.findings(t, suppress=suppress, typo_metric="levenshtein", persist=True)
 
 
 @query("qual_findings", "SELECT * FROM (" + FINDINGS_SQL + ")", EV)
