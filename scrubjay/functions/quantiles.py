@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 4096
 FINAL_ROWS = 4096
 MAX_PASSES = 64
 
