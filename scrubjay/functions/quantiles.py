@@ -11,7 +11,9 @@ scale.  Instead we select order statistics by refinement:
    aggregation that copes with hot values) and narrows every bracket to the bin
    holding its rank, with that bin's exact min and max;
 3. a bracket whose min equals max is solved; one holding at most ``FINAL_ROWS``
-   rows is solved by pulling those few values to the driver.
+   rows is solved by pulling those few values to the driver;
+4. a bracket still large after ``MAX_PASSES`` (values spread over hundreds of
+   binary orders of magnitude) is ranked by range-partitioned positions.
 
 Each pass is a column-pruned scan; the driver only ever sees
 ``probes x BINS`` histogram rows or ``probes x FINAL_ROWS`` values.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 BINS = 4096
 FINAL_ROWS = 4096
-MAX_PASSES = 64
+MAX_PASSES = 16
 
 
 @dataclass
@@ -90,11 +92,16 @@ def exact_quantiles(df: DataFrame, targets, probs, stats=None):
         brackets: dict[tuple, list[tuple[int, int]]] = {}
         for key, b in open_.items():
             brackets.setdefault((b.target, b.lo, b.hi, b.below, b.count), []).append(key)
-        small = [bk for bk in brackets if bk[4] <= FINAL_ROWS or passes > MAX_PASSES]
+        small = [bk for bk in brackets if bk[4] <= FINAL_ROWS]
         large = [bk for bk in brackets if bk not in small]
         if small:
             _solve_small(df, vals, small, brackets, open_, solved)
-        if large:
+        if large and passes > MAX_PASSES:
+            # pathological spreads (values over hundreds of binary orders of
+            # magnitude) shrink slowly under equal-width bins: rank by sort
+            for bk in large:
+                _solve_by_sort(df, vals, bk, brackets, open_, solved)
+        elif large:
             _refine(df, vals, large, brackets, open_, solved)
 
     out = {}
@@ -133,6 +140,21 @@ def _solve_small(df, vals, small, brackets, open_, solved):
             del open_[key]
 
 
+def _solve_by_sort(df, vals, bk, brackets, open_, solved):
+    """Exact ranks inside one bracket via range-partitioned positions (no
+    collection of the bracket); ties share a value, so the pick is exact."""
+    from scrubjay.sources.rowid import with_row_id
+    t, lo, hi, below, cnt = bk
+    v = vals[t]
+    inside = df.where(_in_bracket(v, lo, hi)).select(v.alias("__sj_v"))
+    ranked = with_row_id(inside, order_by=[F.col("__sj_v").asc()], name="__sj_pos")
+    wanted = sorted({key[1] - below for key in brackets[bk]})
+    found = {r["__sj_pos"]: r["__sj_v"] for r in ranked.where(F.col("__sj_pos").isin(wanted)).collect()}
+    for key in brackets[bk]:
+        solved[key] = found[key[1] - below]
+        del open_[key]
+
+
 def _refine(df, vals, large, brackets, open_, solved):
     entries = []
     for pid, (t, lo, hi, below, cnt) in enumerate(large):

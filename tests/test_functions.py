@@ -123,3 +123,16 @@ def test_difflib_ratio_udf(spark):
 def test_pround_half_away():
     assert pround(2.5, 0) == 3.0 and pround(-2.5, 0) == -3.0 and pround(1.23456, 4) == 1.2346
     assert pround(None, 2) is None
+
+
+def test_exact_quantiles_sort_fallback(spark, monkeypatch):
+    """Values spread over many binary orders of magnitude converge slowly under
+    equal-width bins; the distributed sort fallback must give the same answer."""
+    import scrubjay.functions.quantiles as q
+    monkeypatch.setattr(q, "FINAL_ROWS", 8)
+    monkeypatch.setattr(q, "MAX_PASSES", 1)
+    x = [2.0 ** -k for k in range(0, 600, 3)] + [1e300, -1e-300]
+    df = spark.createDataFrame([(v,) for v in x], "v double").repartition(5)
+    probs = [0.1, 0.5, 0.9]
+    got = exact_quantiles(df, [("v", F.col("v"), None)], probs)["v"]
+    assert got == pytest.approx(list(np.quantile(np.array(x), probs)), rel=1e-12)
