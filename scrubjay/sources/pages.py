@@ -9,12 +9,21 @@ from scrubjay.functions.exprs import col, is_datetime_type
 from scrubjay.plans.table import RID, Table
 
 
+# Up to this many leading rows a page is a distributed top-k (each task keeps
+# at most start + size rows); deeper pages filter range-partitioned positions.
+TOP_K_MAX = 100_000
+
+
 def slice_rows(t: Table, page: int = 0, size: int = 100) -> DataFrame:
-    """Rows ``[page*size, (page+1)*size)`` of the current order, with their
-    position.  A top-k with offset: each task keeps at most ``(page+1)*size``
-    rows, nothing else reaches the driver.  Timestamps render as text."""
+    """Rows ``[page*size, (page+1)*size)`` of the current order.  Timestamps
+    render as text; nothing but the page reaches the driver."""
     start = int(page) * int(size)
-    picked = t.df.orderBy(*t.sort_exprs()).offset(start).limit(int(size))
+    if start + int(size) <= TOP_K_MAX:
+        picked = t.df.orderBy(*t.sort_exprs()).offset(start).limit(int(size))
+    else:
+        pos = t.positions("__sj_pos")
+        picked = (pos.where((F.col("__sj_pos") >= start) & (F.col("__sj_pos") < start + int(size)))
+                  .drop("__sj_pos"))
     out = []
     for f in picked.schema.fields:
         if f.name == RID:

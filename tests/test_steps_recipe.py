@@ -151,3 +151,12 @@ def test_typos_difflib_brute_force(spark):
         if m and counts[v] < counts[m[0]]:
             want.add((v, m[0]))
     assert got == want and len(got) == 5
+
+
+def test_deep_page_uses_positions(spark, monkeypatch):
+    import scrubjay.sources.pages as pages
+    t = apply_step(fixture(spark, SF_SMALL, "ev_dirty"), "sort_values", "value", {"direction": "desc"})
+    shallow = [r[RID] for r in pages.slice_rows(t, page=3, size=50).collect()]
+    monkeypatch.setattr(pages, "TOP_K_MAX", 10)
+    deep = [r[RID] for r in pages.slice_rows(t, page=3, size=50).collect()]
+    assert sorted(shallow) == sorted(deep) and len(deep) == 50
