@@ -360,30 +360,42 @@ def findings(t: Table, suppress=(), typo_metric: str = "difflib", method: str =
 
 
 def _findings_rows_frame(t: Table, suppress, typo_metric, method) -> DataFrame:
-    sc = scan(t)
+    from concurrent.futures import ThreadPoolExecutor
     spark = t.df.sparkSession
+
+    def column_sections():
+        sc = scan(t)
+        return sc, missing_rows(t, sc), type_issues_rows(t, sc), outliers_rows(t, sc, method), \
+            date_formats_rows(t, sc), casing_rows(t, sc)
+
+    # three independent chains of jobs, submitted concurrently from the driver
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f_cols = pool.submit(column_sections)
+        f_dups = pool.submit(lambda: duplicate_count(t).first()["duplicates"])
+        f_typo = pool.submit(lambda: typo_candidates(t, metric=typo_metric).orderBy("column", "value").collect())
+        sc, miss, types, outl, fmts, cases = f_cols.result()
+        dups, typo_rows = f_dups.result(), f_typo.result()
     rows = []
-    for c, n, pct, sev, m, _, reason in missing_rows(t, sc):
+    for c, n, pct, sev, m, _, reason in miss:
         rows.append(("missing", c, sev, n, pct, None, m, reason))
-    dups = duplicate_count(t).first()["duplicates"]
     if dups:
         rows.append(("duplicates", "*", "MED", dups, pround(dups / sc.rows * 100, 2), None,
                      "remove_duplicates", None))
-    for c, _, sug, conv, conv_pct in type_issues_rows(t, sc):
+    for c, _, sug, conv, conv_pct in types:
         rows.append(("type_issues", c, "MED", conv, conv_pct, f"string -> {sug}", sug, None))
-    for c, n, pct, lo, hi, sev, m, _, reason in outliers_rows(t, sc, method):
+    for c, n, pct, lo, hi, sev, m, _, reason in outl:
         rows.append(("outliers", c, sev, n, pct, f"IQR [{lo}, {hi}]", m, reason))
     fmt = {}
-    for c, f, n in date_formats_rows(t, sc):
+    for c, f, n in fmts:
         fmt.setdefault(c, []).append((f, n))
     for c, items in fmt.items():
         rows.append(("inconsistent_formats", c, "LOW", sum(n for _, n in items), None,
                      " | ".join(f"{k}:{n}" for k, n in items), "date_format", None))
-    for c, lo, up, ti, mixed in casing_rows(t, sc):
+    for c, lo, up, ti, mixed in cases:
         rows.append(("inconsistent_formats", c, "LOW", mixed, None,
                      f"lower:{lo} upper:{up} title:{ti} mixed:{mixed}", "casing", None))
     typos = {}
-    for r in typo_candidates(t, metric=typo_metric).orderBy("column", "value").collect():
+    for r in typo_rows:
         typos.setdefault(r["column"], []).append((r["value"], r["match"]))
     for c, pairs in typos.items():
         rows.append(("typo_candidates", c, "LOW", len(pairs), None,
