@@ -72,13 +72,14 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_have_no_single_partition_exchange(spark):
+def test_single_partition_exchanges_only_over_block_frames(spark):
     t = fixture(spark, SF_SMALL, "ev_dirty")
-    ff = directional_fill(t, ["value_sparse"]).df
-    dd = apply_step(t, "remove_duplicates").df
-    for df in (ff, dd):
-        plan = _plan(df)
-        assert "SinglePartition" not in plan.split("BroadcastExchange")[0] or "Exchange SinglePartition" not in plan
+    assert "SinglePartition" not in _plan(apply_step(t, "remove_duplicates").df)
+    lines = _plan(directional_fill(t, ["value_sparse"]).df).split("\n")
+    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+    assert singles
+    for i in singles:  # directly above the one-row-per-block frame, never the data
+        assert "__sj_blk" in lines[i + 1]
 
 
 def test_filters_push_down_to_the_scan(spark):
