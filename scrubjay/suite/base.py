@@ -4,6 +4,7 @@ DuckDB SQL that must give the same rows."""
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,6 @@ from scrubjay.plans.table import RID, Table
 from scrubjay.session import ensure_checkpoint_dir
 from scrubjay.suite.fixtures import FIXTURES, TABLES, with_fixtures
 
-import re
-
 QUERIES: dict = {}
 _RESERVED = re.compile(r"(?<![\w\"'])column(?![\w\"'])")
 ORACLE: dict = {}
