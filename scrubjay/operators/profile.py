@@ -1,8 +1,8 @@
-"""Column profiling (P1-P8): one aggregate per batch of columns, long outputs.
+"""Column profiling (P1-P8), as long ``(column, ...)`` outputs.
 
-Per-column numbers are produced by a single ``agg`` and unpivoted with
-``stack`` inside Spark; only quantiles and histogram bounds travel through the
-driver as a handful of literals.
+Per-column numbers come from bounded-width aggregates over all columns at
+once (plain counts and sums, so they stay code-generated); only these small
+aggregates, quantiles and histogram bounds travel through the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, pround,
                                       round_half_away, type_family)
-from scrubjay.functions.moments import moments, skew_from, std_from
+from scrubjay.functions.moments import agg_dict, moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import RID, Table
 
@@ -50,36 +50,34 @@ def categorical_columns(t: Table) -> list[str]:
     return [c for c in t.columns if not is_numeric_type(t.dtype(c))]
 
 
-def _lit_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 # -- P1 / P2 ------------------------------------------------------------------------------
-def column_stats(t: Table, columns=None, approx_distinct: bool = False) -> DataFrame:
-    """``(column, dtype, null_count, null_pct, unique_count, distinct_pct)``."""
+def column_stats(t: Table, columns=None, approx_distinct: bool = False, distinct: bool = True) -> DataFrame:
+    """``(column, dtype, null_count, null_pct, unique_count, distinct_pct)``.
+
+    Null counts are plain counts in one aggregate; exact distinct counts
+    expand rows per column, so they run in batches of ``DISTINCT_BATCH``
+    (``approx_distinct`` uses HyperLogLog; ``distinct=False`` skips them)."""
     columns = list(columns or t.columns)
-    parts = []
-    for start in range(0, len(columns), DISTINCT_BATCH):
-        batch = columns[start:start + DISTINCT_BATCH]
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for i, c in enumerate(batch):
-            dc = F.approx_count_distinct(col(c)) if approx_distinct else F.countDistinct(col(c))
-            aggs += [F.count(col(c)).alias(f"nn{i}"), dc.alias(f"d{i}")]
-        agg = t.df.agg(*aggs)
-        stack = ", ".join(f"{_lit_str(c)}, {_lit_str(type_family(t.dtype(c)))}, nn{i}, d{i}"
-                          for i, c in enumerate(batch))
-        parts.append(agg.select("__rows", F.expr(f"stack({len(batch)}, {stack}) AS (column, dtype, nn, d)")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rows = F.col("__rows")
-    nulls = rows - F.col("nn")
-    return out.select(
-        "column", "dtype",
-        nulls.alias("null_count"),
-        F.when(rows > 0, round_half_away(nulls / rows * 100, 2)).otherwise(F.lit(0.0)).alias("null_pct"),
-        F.col("d").cast("long").alias("unique_count"),
-        F.when(rows > 0, round_half_away(F.col("d") / rows * 100, 0)).otherwise(F.lit(0.0)).alias("distinct_pct"))
+    spark = t.df.sparkSession
+    fams = {c: type_family(t.dtype(c)) for c in columns}
+    nn = agg_dict(t.df, [("__rows", F.count(F.lit(1)), 1)] +
+                  [(f"nn{i}", F.count(col(c)), 1) for i, c in enumerate(columns)])
+    d = {}
+    if distinct:
+        for start in range(0, len(columns), DISTINCT_BATCH):
+            batch = list(enumerate(columns))[start:start + DISTINCT_BATCH]
+            fn = F.approx_count_distinct if approx_distinct else F.countDistinct
+            row = t.df.agg(*[fn(col(c)).alias(f"d{i}") for i, c in batch]).first()
+            d.update({c: row[f"d{i}"] for i, c in batch})
+    rows = nn["__rows"]
+    out = []
+    for i, c in enumerate(columns):
+        nulls = rows - nn[f"nn{i}"]
+        u = d.get(c)
+        out.append((c, fams[c], nulls, pround(nulls / rows * 100, 2) if rows else 0.0,
+                    u, (pround(u / rows * 100, 0) if rows else 0.0) if u is not None else None))
+    return spark.createDataFrame(out, "column string, dtype string, null_count long, null_pct double, "
+                                      "unique_count long, distinct_pct double")
 
 
 # -- P3 ---------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ EV_OTHER = ["ts"] + EV_STR
     f"SELECT '{c}' AS column, count(*) - count({c}) AS null_count, "
     f"round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct FROM ev_dirty" for c in EV_COLS]), EV)
 def prof_nulls(spark, sf):
-    return P.column_stats(fixture(spark, sf, "ev_dirty")).select("column", "null_count", "null_pct")
+    return P.column_stats(fixture(spark, sf, "ev_dirty"), distinct=False).select("column", "null_count", "null_pct")
 
 
 @query("prof_distinct", G.union([
