@@ -160,3 +160,14 @@ def test_deep_page_uses_positions(spark, monkeypatch):
     monkeypatch.setattr(pages, "TOP_K_MAX", 10)
     deep = [r[RID] for r in pages.slice_rows(t, page=3, size=50).collect()]
     assert sorted(shallow) == sorted(deep) and len(deep) == 50
+
+
+def test_recipe_save_load_rerun(spark, tmp_dir):
+    import os
+    t = fixture(spark, SF_SMALL, "ev_dirty")
+    r = Recipe(t).append(Step("trim_whitespace", "type_pad")).append(Step("drop_column", "date_text"))
+    path = os.path.join(tmp_dir, "recipe")
+    r.save(spark, path)
+    again = Recipe.load(spark, t, path)
+    assert [s.type for s in again.steps] == ["trim_whitespace", "drop_column"]
+    assert again.result.df.exceptAll(r.result.df).count() == 0
