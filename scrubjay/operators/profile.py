@@ -108,6 +108,23 @@ def _r4(x):
     return pround(x, 4)
 
 
+def column_profile(t: Table, method: str = "exact") -> DataFrame:
+    """One row per column: P1 + P2 for every column and the P3 numeric
+    summary for numeric ones (null elsewhere) - the per-column stats panel."""
+    base = {r["column"]: r for r in column_stats(t).collect()}            # one row per column
+    nums = {r["column"]: r for r in numeric_summary(t, method=method).collect()}
+    rows = []
+    for c in t.columns:
+        b, n = base[c], nums.get(c)
+        rows.append((c, b["dtype"], b["null_count"], b["null_pct"], b["unique_count"], b["distinct_pct"],
+                     *((n["mean"], n["std"], n["min"], n["max"], n["q25"], n["median"], n["q75"])
+                       if n else (None,) * 7)))
+    return t.df.sparkSession.createDataFrame(
+        rows, "column string, dtype string, null_count long, null_pct double, unique_count long, "
+              "distinct_pct double, mean double, std double, min double, max double, q25 double, "
+              "median double, q75 double")
+
+
 # -- P4 ------------------------------------------------------------------------------------------
 def top_values(t: Table, columns=None, k: int = 5) -> DataFrame:
     """``(column, value, count, rank)``: the k most frequent values per column,

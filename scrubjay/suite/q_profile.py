@@ -246,3 +246,22 @@ def qual_fix_plan(spark, sf):
        + G.histogram("ev_dirty", "value_sparse", "greatest(1, least(24, d))") + ")", EV)
 def qual_missing_dist(spark, sf):
     return Q.missing_histograms(fixture(spark, sf, "ev_dirty"))
+
+
+def _profile_sql(c):
+    fam = "num" if c in EV_NUM else ("dt" if c == "ts" else "str")
+    base = (f"SELECT '{c}' AS column, '{fam}' AS dtype, count(*) - count({c}) AS null_count, "
+            f"round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct, count(DISTINCT {c}) AS unique_count, "
+            f"round(count(DISTINCT {c}) / count(*) * 100, 0) AS distinct_pct, ")
+    if c in EV_NUM:
+        return base + (f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+                       f"round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, "
+                       f"round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median, "
+                       f"round(quantile_cont({c}, 0.75), 4) AS q75 FROM ev_dirty")
+    return base + ", ".join(f"CAST(NULL AS DOUBLE) AS {k}" for k in
+                            ("mean", "std", "min", "max", "q25", "median", "q75")) + " FROM ev_dirty"
+
+
+@query("prof_column_profile", G.union([_profile_sql(c) for c in EV_COLS]), EV)
+def prof_column_profile(spark, sf):
+    return P.column_profile(fixture(spark, sf, "ev_dirty"))
