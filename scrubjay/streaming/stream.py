@@ -20,7 +20,7 @@ from scrubjay.plans.table import Table
 def streamable(step: Step) -> bool:
     if step.type == "fill_missing":
         return step.params.get("method") in ("empty_string", "custom")
-    if step.type == "drop_missing_rows":
+    if step.type in ("drop_missing_rows", "split_datetime"):  # the latter without its "nothing parses" check
         return True
     return step.type in ROW_LOCAL
 

@@ -96,7 +96,8 @@ def test_streaming_row_local_recipe(spark, tmp_dir):
     ev.write.parquet(src)
     steps = [Step("trim_whitespace", "type_pad"), Step("standardize_case", "type_pad", {"case": "upper"}),
              Step("convert_type", "num_text", {"target": "numeric"}),
-             Step("standardize_date", "date_text", {"format": "%Y-%m-%d"})]
+             Step("standardize_date", "date_text", {"format": "%Y-%m-%d"}),
+             Step("split_datetime", "date_text", {"components": ["year", "month"]})]
     q = clean_stream(spark, src, ev.schema, steps, sink, ck)
     q.awaitTermination(120)
     out = spark.read.parquet(sink)
