@@ -1,12 +1,15 @@
 """Quality findings (Q1-Q12).
 
-``scan(table)`` runs one aggregate over every column (null counts, skewness,
-numeric/date convertibility, date-pattern and casing counts); the quartiles
-for the outlier rule come from the shared exact-quantile passes and the outlier
-counts from one more aggregate.  Duplicates are a grouped count; typo
-candidates compare each distinct value with the 30 most frequent others of
-low-cardinality text columns only, so the pair frame is bounded by
-200 x 30 per column whatever the table size.
+``scan(table)`` gathers every per-column count in bounded-width aggregates of
+plain counts (nulls, numeric/date convertibility, date-pattern and casing
+counts) plus two-pass moments for skewness; date parsing runs only on columns
+that can pass the date test.  The quartiles for the outlier rule come from the
+shared exact-quantile passes and the outlier counts from one more aggregate.
+Duplicates are a grouped count.  Typo candidates compare each distinct value
+with the 30 most frequent others of low-cardinality text columns only (a
+HyperLogLog pre-check skips the rest), so the pair frame is bounded by
+200 x 30 per column whatever the table size.  ``findings`` submits the three
+independent chains (column sections, duplicates, typos) concurrently.
 """
 
 from __future__ import annotations
