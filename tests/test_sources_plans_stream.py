@@ -113,3 +113,27 @@ def test_ffill_plan_has_no_sort_aggregate_over_data(spark):
     plan = _plan(directional_fill(t, ["value_sparse"]).df)
     assert "SortAggregate" not in plan
     assert "Window" in plan and "hashpartitioning(__sj_blk" in plan
+
+
+def test_load_order_ids_across_split_and_packed_files(spark, tmp_dir):
+    """Files of very different sizes: big ones split, small ones packed into
+    one partition. Ids must follow (file name, row within file)."""
+    import glob
+
+    import pyarrow.parquet as pq
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    out = os.path.join(tmp_dir, "multi")
+    (ev.withColumn("g", F.when(F.col("event_id") < 50, F.col("event_id") % 5).otherwise(5))
+       .repartition("g").sortWithinPartitions("event_id").drop("g").write.parquet(out))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = spark.read.parquet(out)
+        assert df.rdd.getNumPartitions() > 1
+        got = [r["event_id"] for r in with_load_order_id(df).orderBy(RID).select("event_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = []
+    for f in sorted(glob.glob(os.path.join(out, "*.parquet"))):
+        want += pq.read_table(f, columns=["event_id"]).column("event_id").to_pylist()
+    assert got == want
