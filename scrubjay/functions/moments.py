@@ -41,14 +41,19 @@ def agg_dict(df: DataFrame, items, budget: int = FIELD_BUDGET) -> dict:
     return out
 
 
-def moments(df: DataFrame, cols: dict) -> dict:
+def moments(df: DataFrame, cols: dict, extra=(), extra_out: dict | None = None) -> dict:
     """``cols``: ``{key: double Column}``.  Returns ``{key: dict(n, mean, min,
-    max, m2, m3)}`` with ``m2``/``m3`` the sums of squared/cubed deviations."""
-    first = []
+    max, m2, m3)}`` with ``m2``/``m3`` the sums of squared/cubed deviations.
+
+    ``extra`` aggregates (``(name, Column, fields)``) ride along in the first
+    pass; their values land in ``extra_out``."""
+    first = list(extra)
     for i, (k, v) in enumerate(cols.items()):
         first += [(f"n{i}", F.count(v), 1), (f"s{i}", F.sum(v), 1),
                   (f"lo{i}", F.min(v), 1), (f"hi{i}", F.max(v), 1)]
     a = agg_dict(df, first)
+    if extra_out is not None:
+        extra_out.update({name: a[name] for name, _, _ in extra})
     second = []
     means = {}
     for i, (k, v) in enumerate(cols.items()):

@@ -110,15 +110,33 @@ def _r4(x):
 
 def column_profile(t: Table, method: str = "exact") -> DataFrame:
     """One row per column: P1 + P2 for every column and the P3 numeric
-    summary for numeric ones (null elsewhere) - the per-column stats panel."""
-    base = {r["column"]: r for r in column_stats(t).collect()}            # one row per column
-    nums = {r["column"]: r for r in numeric_summary(t, method=method).collect()}
+    summary for numeric ones (null elsewhere) - the per-column stats panel.
+    Null counts ride in the first moments pass; quantiles reuse its bounds."""
+    cols = t.columns
+    nums = numeric_columns(t)
+    counts = {}
+    extra = [("__rows", F.count(F.lit(1)), 1)] + [(f"__nn{i}", F.count(col(c)), 1) for i, c in enumerate(cols)]
+    mom = moments(t.df, {c: col(c).cast("double") for c in nums}, extra=extra, extra_out=counts)
+    stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in nums}
+    qs = quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
+    d = {}
+    for start in range(0, len(cols), DISTINCT_BATCH):
+        batch = list(enumerate(cols))[start:start + DISTINCT_BATCH]
+        row = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in batch]).first()
+        d.update({c: row[f"d{i}"] for i, c in batch})
+    rows_n = counts["__rows"]
     rows = []
-    for c in t.columns:
-        b, n = base[c], nums.get(c)
-        rows.append((c, b["dtype"], b["null_count"], b["null_pct"], b["unique_count"], b["distinct_pct"],
-                     *((n["mean"], n["std"], n["min"], n["max"], n["q25"], n["median"], n["q75"])
-                       if n else (None,) * 7)))
+    for i, c in enumerate(cols):
+        nulls = rows_n - counts[f"__nn{i}"]
+        base = (c, type_family(t.dtype(c)), nulls, pround(nulls / rows_n * 100, 2) if rows_n else 0.0,
+                d[c], pround(d[c] / rows_n * 100, 0) if rows_n else 0.0)
+        m = mom.get(c)
+        if m and m["n"]:
+            q = qs[c]
+            num = (_r4(m["mean"]), _r4(std_from(m)), _r4(m["min"]), _r4(m["max"]), _r4(q[0]), _r4(q[1]), _r4(q[2]))
+        else:
+            num = (None,) * 7
+        rows.append(base + num)
     return t.df.sparkSession.createDataFrame(
         rows, "column string, dtype string, null_count long, null_pct double, unique_count long, "
               "distinct_pct double, mean double, std double, min double, max double, q25 double, "
