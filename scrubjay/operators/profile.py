@@ -112,18 +112,28 @@ def column_profile(t: Table, method: str = "exact") -> DataFrame:
     """One row per column: P1 + P2 for every column and the P3 numeric
     summary for numeric ones (null elsewhere) - the per-column stats panel.
     Null counts ride in the first moments pass; quantiles reuse its bounds."""
+    from concurrent.futures import ThreadPoolExecutor
     cols = t.columns
     nums = numeric_columns(t)
     counts = {}
-    extra = [("__rows", F.count(F.lit(1)), 1)] + [(f"__nn{i}", F.count(col(c)), 1) for i, c in enumerate(cols)]
-    mom = moments(t.df, {c: col(c).cast("double") for c in nums}, extra=extra, extra_out=counts)
-    stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in nums}
-    qs = quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
-    d = {}
-    for start in range(0, len(cols), DISTINCT_BATCH):
-        batch = list(enumerate(cols))[start:start + DISTINCT_BATCH]
-        row = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in batch]).first()
-        d.update({c: row[f"d{i}"] for i, c in batch})
+
+    def numeric_chain():
+        extra = [("__rows", F.count(F.lit(1)), 1)] + [(f"__nn{i}", F.count(col(c)), 1) for i, c in enumerate(cols)]
+        mom = moments(t.df, {c: col(c).cast("double") for c in nums}, extra=extra, extra_out=counts)
+        stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in nums}
+        return mom, quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
+
+    def distinct_chain():
+        d = {}
+        for start in range(0, len(cols), DISTINCT_BATCH):
+            batch = list(enumerate(cols))[start:start + DISTINCT_BATCH]
+            row = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in batch]).first()
+            d.update({c: row[f"d{i}"] for i, c in batch})
+        return d
+
+    with ThreadPoolExecutor(max_workers=2) as pool:  # independent jobs, submitted together
+        f_num, f_d = pool.submit(numeric_chain), pool.submit(distinct_chain)
+        (mom, qs), d = f_num.result(), f_d.result()
     rows_n = counts["__rows"]
     rows = []
     for i, c in enumerate(cols):
