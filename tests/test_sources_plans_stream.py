@@ -137,3 +137,15 @@ def test_load_order_ids_across_split_and_packed_files(spark, tmp_dir):
     for f in sorted(glob.glob(os.path.join(out, "*.parquet"))):
         want += pq.read_table(f, columns=["event_id"]).column("event_id").to_pylist()
     assert got == want
+
+
+def test_csv_sink_format(spark, tmp_dir):
+    import glob
+    rows = [(0, "a,b", None), (1, 'say "hi"', 2.5)]
+    t = Table.from_df(spark.createDataFrame(rows, "id long, s string, x double"), rid="id")
+    out = os.path.join(tmp_dir, "sink")
+    write_csv(t, out)
+    text = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(out, "part-*"))))
+    lines = [ln for ln in text.splitlines() if ln]
+    assert lines.count("s,x") >= 1 and "_rid" not in text  # header, no row id
+    assert '"a,b",' in lines and '"say ""hi""",2.5' in lines  # null -> empty field, doubled quotes

@@ -171,3 +171,15 @@ def test_recipe_save_load_rerun(spark, tmp_dir):
     again = Recipe.load(spark, t, path)
     assert [s.type for s in again.steps] == ["trim_whitespace", "drop_column"]
     assert again.result.df.exceptAll(r.result.df).count() == 0
+
+
+def test_recipe_rerun_on_new_data(spark):
+    from tests.conftest import SF_ORACLE
+    steps = [Step("trim_whitespace", "type_pad"), Step("fill_missing", "value", {"method": "median"})]
+    r = Recipe(fixture(spark, SF_SMALL, "ev_dirty"))
+    for s in steps:
+        r = r.append(s)
+    bigger = r.rerun(fixture(spark, SF_ORACLE, "ev_dirty"))
+    assert bigger.steps == r.steps
+    assert bigger.result.df.count() > r.result.df.count()
+    assert bigger.result.df.where("value IS NULL").count() == 0
