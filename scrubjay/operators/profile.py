@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, pround,
                                       round_half_away, type_family)
@@ -19,6 +20,51 @@ from scrubjay.plans.table import RID, Table
 DISTINCT_BATCH = 8  # several count(distinct) in one agg expand rows: batch them
 
 
+def distinct_counts(df: DataFrame, columns) -> dict:
+    """Exact distinct counts of many columns in ONE pass.
+
+    Every non-null cell is unpivoted to ``(column, value)`` with the value in a
+    typed slot (integers, booleans, dates and instants as a long; floats as a
+    double with -0.0 folded into 0.0; text, wall-clock timestamps and decimals
+    as exact text), so equal values meet in one group and unequal ones never
+    do.  A hash aggregate removes repeats (map-side first, so a hot value costs
+    nothing), then a second one counts per column."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    entries = []
+    for i, c in enumerate(columns):
+        dt, v = schema[c], col(c)
+        s = lg = db = None
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            lg = v.cast("long")
+        elif isinstance(dt, T.BooleanType):
+            lg = v.cast("int").cast("long")
+        elif isinstance(dt, T.DateType):
+            lg = F.unix_date(v).cast("long")
+        elif isinstance(dt, T.TimestampType):
+            lg = F.unix_micros(v)
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            db = F.when(v == 0, F.lit(0.0)).otherwise(v.cast("double"))
+        elif isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
+            s = v
+        elif isinstance(dt, (T.ArrayType, T.StructType, T.MapType)):
+            s = F.to_json(v)
+        else:  # timestamp_ntz, decimal, binary: exact text forms
+            s = F.hex(v) if isinstance(dt, T.BinaryType) else v.cast("string")
+        entries.append(F.when(v.isNotNull(), F.struct(
+            F.lit(i).alias("k"),
+            (s if s is not None else F.lit(None).cast("string")).alias("s"),
+            (lg if lg is not None else F.lit(None).cast("long")).alias("l"),
+            (db if db is not None else F.lit(None).cast("double")).alias("d"))))
+    pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    counted = pairs.distinct().groupBy("k").agg(F.count("*").alias("n")).collect()
+    out = {c: 0 for c in columns}
+    out.update({columns[r["k"]]: r["n"] for r in counted})
+    return out
+
+
 def capped_distinct(df: DataFrame, columns, cap: int) -> dict:
     """Exact distinct counts where they can be at most ``cap``; ``cap + 1`` for
     the rest.  A HyperLogLog estimate (5% error) first rules out columns well
@@ -63,12 +109,11 @@ def column_stats(t: Table, columns=None, approx_distinct: bool = False, distinct
     nn = agg_dict(t.df, [("__rows", F.count(F.lit(1)), 1)] +
                   [(f"nn{i}", F.count(col(c)), 1) for i, c in enumerate(columns)])
     d = {}
-    if distinct:
-        for start in range(0, len(columns), DISTINCT_BATCH):
-            batch = list(enumerate(columns))[start:start + DISTINCT_BATCH]
-            fn = F.approx_count_distinct if approx_distinct else F.countDistinct
-            row = t.df.agg(*[fn(col(c)).alias(f"d{i}") for i, c in batch]).first()
-            d.update({c: row[f"d{i}"] for i, c in batch})
+    if distinct and approx_distinct:
+        row = t.df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+        d = {c: row[f"d{i}"] for i, c in enumerate(columns)}
+    elif distinct:
+        d = distinct_counts(t.df, columns)
     rows = nn["__rows"]
     out = []
     for i, c in enumerate(columns):
@@ -124,12 +169,7 @@ def column_profile(t: Table, method: str = "exact") -> DataFrame:
         return mom, quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
 
     def distinct_chain():
-        d = {}
-        for start in range(0, len(cols), DISTINCT_BATCH):
-            batch = list(enumerate(cols))[start:start + DISTINCT_BATCH]
-            row = t.df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in batch]).first()
-            d.update({c: row[f"d{i}"] for i, c in batch})
-        return d
+        return distinct_counts(t.df, cols)
 
     with ThreadPoolExecutor(max_workers=2) as pool:  # independent jobs, submitted together
         f_num, f_d = pool.submit(numeric_chain), pool.submit(distinct_chain)

@@ -136,3 +136,19 @@ def test_exact_quantiles_sort_fallback(spark, monkeypatch):
     probs = [0.1, 0.5, 0.9]
     got = exact_quantiles(df, [("v", F.col("v"), None)], probs)["v"]
     assert got == pytest.approx(list(np.quantile(np.array(x), probs)), rel=1e-12)
+
+
+def test_distinct_counts_one_pass_matches_count_distinct(spark):
+    import datetime as _dt
+    from scrubjay.operators.profile import distinct_counts
+    rows = [(1, 0.0, "a", True, _dt.datetime(2024, 1, 1), _dt.date(2024, 1, 1)),
+            (1, -0.0, "a", False, _dt.datetime(2024, 1, 1, 0, 0, 1), _dt.date(2024, 1, 2)),
+            (2, float("nan"), "b", None, None, None),
+            (None, float("nan"), None, True, _dt.datetime(2024, 1, 1), _dt.date(2024, 1, 1)),
+            (3, 1.5, "1", False, None, None)]
+    df = spark.createDataFrame(rows, "i long, d double, s string, b boolean, t timestamp_ntz, dt date") \
+        .withColumn("lt", F.col("t").cast("timestamp")).withColumn("arr", F.array("i", "i"))
+    cols = df.columns
+    got = distinct_counts(df, cols)
+    want = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first().asDict()
+    assert got == want
