@@ -17,8 +17,6 @@ from scrubjay.functions.moments import agg_dict, moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import RID, Table
 
-DISTINCT_BATCH = 8  # several count(distinct) in one agg expand rows: batch them
-
 
 def distinct_counts(df: DataFrame, columns) -> dict:
     """Exact distinct counts of many columns in ONE pass.
@@ -75,11 +73,8 @@ def capped_distinct(df: DataFrame, columns, cap: int) -> dict:
     approx = df.agg(*[F.approx_count_distinct(col(c)).alias(f"a{i}") for i, c in enumerate(columns)]).first()
     near = [c for i, c in enumerate(columns) if approx[f"a{i}"] <= 2 * cap]
     out = {c: cap + 1 for c in columns}
-    for start in range(0, len(near), DISTINCT_BATCH):
-        batch = near[start:start + DISTINCT_BATCH]
-        row = df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(batch)]).first()
-        for i, c in enumerate(batch):
-            out[c] = min(row[f"d{i}"], cap + 1)
+    if near:
+        out.update({c: min(n, cap + 1) for c, n in distinct_counts(df, near).items()})
     return out
 
 
@@ -100,9 +95,9 @@ def categorical_columns(t: Table) -> list[str]:
 def column_stats(t: Table, columns=None, approx_distinct: bool = False, distinct: bool = True) -> DataFrame:
     """``(column, dtype, null_count, null_pct, unique_count, distinct_pct)``.
 
-    Null counts are plain counts in one aggregate; exact distinct counts
-    expand rows per column, so they run in batches of ``DISTINCT_BATCH``
-    (``approx_distinct`` uses HyperLogLog; ``distinct=False`` skips them)."""
+    Null counts are plain counts in one aggregate; exact distinct counts of
+    all columns take one more pass (``distinct_counts``); ``approx_distinct``
+    uses HyperLogLog and ``distinct=False`` skips them."""
     columns = list(columns or t.columns)
     spark = t.df.sparkSession
     fams = {c: type_family(t.dtype(c)) for c in columns}
