@@ -303,11 +303,12 @@ def typo_candidates(t: Table, columns=None, metric: str = "difflib", cutoff: flo
     near = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * TYPO_MAX_DISTINCT]
     if not near:
         return spark.createDataFrame([], TYPO_SCHEMA)
-    parts = [t.df.where(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count("*").alias("n"))
-             .select(F.lit(c).alias("column"), "value", "n") for c in near]
-    vc = parts[0]
-    for p in parts[1:]:
-        vc = vc.unionByName(p)
+    # value counts of all remaining columns in one pass: unpivot to (column, value)
+    pairs = F.explode(F.filter(F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(c).alias("column"),
+                                                                             col(c).alias("value")))
+                                         for c in near]), lambda e: e.isNotNull()))
+    vc = (t.df.select(pairs.alias("e")).select("e.column", "e.value")
+          .groupBy("column", "value").agg(F.count("*").alias("n")))
     per_col = Window.partitionBy("column")  # bounded: <= ~400 rows per column
     vc = (vc.withColumn("d", F.count(F.lit(1)).over(per_col))
             .where((F.col("d") >= TYPO_MIN_DISTINCT) & (F.col("d") <= TYPO_MAX_DISTINCT))
