@@ -10,8 +10,8 @@ from tools.check_oracle import canon
 
 import __spark_entry__ as entry
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = dict(entry.registry.QUERIES)
+ORACLE = dict(entry.registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
