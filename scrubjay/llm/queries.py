@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from scrubjay.llm import bpe, token_files
+from scrubjay.llm import bpe, mixing, secrets, token_files
 from scrubjay.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -20,6 +20,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_secret_scan", secrets.oracle())
+def op1(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mixing", mixing.ORACLE)
+def op4(spark, sf_dir):
+    mix = mixing.schedule(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", mixing.taken(mix).alias("taken"))
+
+
 @query("op7_token_files")
 def op7(spark, sf_dir):
     files = token_files.write_token_files(table(spark, sf_dir, "documents"),
