@@ -69,14 +69,12 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .where("a <> b").distinct(), tag)
     while True:
-        # large star: every larger neighbour of a node links to the smallest of its neighbourhood
-        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = (links.join(low, F.col("b") == F.col("n")).select("a", F.col("m").alias("b"))
-                 .unionAll(low.where("m <> n").select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct())
+        # large star: every node links to the smallest neighbour of its smaller neighbours
+        low = (links.select(F.col("b").alias("n"), F.col("b").alias("m"))
+               .unionAll(links.select(F.col("a").alias("n"), F.col("b").alias("m"))).groupBy("n").agg(F.min("m").alias("m")))
+        large = links.join(low, F.col("b") == F.col("n")).select("a", F.col("m").alias("b")).distinct()
         large = written(large, tag)
-        # small star: a node's smaller neighbours all link to the smallest of them
+        # small star: a node and its smaller neighbours all link to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
         small = (large.join(least.where("k > 1").select(F.col("a").alias("n"), "m"), F.col("a") == F.col("n"))
                  .where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

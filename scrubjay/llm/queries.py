@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from scrubjay.llm import bpe, mixing, secrets, token_files
-from scrubjay.llm.common import scratch_path, table
+from scrubjay.llm import bpe, langid, licenses, mixing, secrets, token_files, topk, toxicity
+from scrubjay.llm.common import fold, scratch_path, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -25,12 +26,37 @@ def op1(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("windows")
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_mixing", mixing.ORACLE)
 def op4(spark, sf_dir):
     mix = mixing.schedule(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", mixing.taken(mix).alias("taken"))
 
 
+@query("op5_topk", topk.ORACLE)
+def op5(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op7_token_files")
 def op7(spark, sf_dir):
     files = token_files.write_token_files(table(spark, sf_dir, "documents"),
