@@ -1,8 +1,62 @@
-"""A training-corpus pipeline over ``documents`` from the operators of ``scrubjay.llm``."""
+"""A training-corpus pipeline over ``documents`` from the operators of ``scrubjay.llm``.
 
-STAGES: list = []
+Each stage gets all that its predecessor kept, and returns the columns of
+``documents`` (the last one the encoded result). Null and empty texts pass
+every filter; an empty table passes through; columns beyond those the
+operators read are carried along.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from scrubjay.llm import bpe, minhash, mixing, secrets, toxicity
+from scrubjay.llm.common import scratch_path, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score the threshold or more go; the model learns from the labelled rows that are there."""
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return minhash.keep_first(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become marks in the text; all documents stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, whole, in mixed order."""
+    return mixing.copies(docs, mixing.schedule(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, one row per document of the mix."""
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL cannot express the learned filter of the first stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = scratch_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,34 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def runs(batches, column: int):
+    """Tables of consecutive rows with one value in ``column`` of sorted Arrow batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(column).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in itertools.pairwise(cut):
+            if held and value[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = value[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root

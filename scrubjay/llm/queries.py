@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from scrubjay.llm import bpe, langid, licenses, mixing, secrets, token_files, topk, toxicity
+from scrubjay.llm import bpe, covertree, langid, licenses, minhash, mixing, secrets, token_files, topk, toxicity
 from scrubjay.llm.common import fold, scratch_path, table
 
 QUERIES: dict = {}
@@ -64,6 +64,16 @@ def op7(spark, sf_dir):
     return token_files.read_token_files(spark, files)
 
 
+@query("op8_covertree", covertree.ORACLE)
+def op8(spark, sf_dir):
+    return covertree.link(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_minhash", minhash.ORACLE)
+def op9(spark, sf_dir):
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def op10(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
