@@ -14,6 +14,7 @@ import contextlib
 import functools
 import itertools
 import json
+import os
 import posixpath
 import uuid
 import zlib
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scrubjay.llm.bpe import Lexicon
-from scrubjay.llm.pretokens import BYTE_LEVEL, Splitter
+from scrubjay.llm import textnum
+from scrubjay.llm.pretokens import byte_level_starts
+from scrubjay.llm.textnum import Lookup
 
-#: Pretokens a task remembers; past this the cache starts anew (results do not change).
-CACHE = 300_000
-#: Characters of text whose new pretokens go to the tokenizer together.
+#: Pretokens a worker remembers (about 50 bytes each); past this it starts anew (results do not change).
+CACHE = 1_500_000
+#: Pretokens met since the large table of known ones was last built anew.
+YOUNG = 150_000
+#: Characters of text whose pretokens are found together.
 BLOCK_CHARS = 4_000_000
 
 
@@ -39,24 +43,69 @@ class PretokenEncoder:
     """Ids of whole texts; each distinct pretoken goes through the tokenizer once."""
 
     def __init__(self, raw: bytes, dtype: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.specials = {t["content"]: t["id"] for t in json.loads(raw)["added_tokens"]}
-        self.splitter = Splitter(BYTE_LEVEL, list(self.specials))
+        self.specials = [t["content"] for t in json.loads(raw)["added_tokens"]]
         self.dtype = dtype
         self._forget()
 
     def _forget(self) -> None:
-        self.words = Lexicon({s: k for k, s in enumerate(self.specials)})
-        self.ids = [np.array([i], self.dtype).tobytes() for i in self.specials.values()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE:
+        self.old = self.young = Lookup(np.empty(0, np.uint64))
+        self.size = np.empty(0, np.int64)
+        self.ids = np.empty(0, self.dtype)
+
+    def _find(self, word: np.ndarray) -> np.ndarray:
+        place = self.old.find(word)
+        rest = np.flatnonzero(place < 0)
+        late = self.young.find(word[rest])
+        place[rest] = np.where(late >= 0, late + len(self.old.keys), -1)
+        return place
+
+    def _learn(self, word: np.ndarray) -> None:
+        young = np.concatenate([self.young.keys, word])
+        if len(young) > YOUNG:
+            self.old, young = Lookup(np.concatenate([self.old.keys, young])), young[:0]
+        self.young = Lookup(young)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        special = [i for s in self.specials for i, t in enumerate(texts) if s in t]
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        out = self._plain(plain)
+        for i in special:  # contents of special tokens: the library cuts the text itself
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype)
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "".join(texts)
+        if not joined:
+            return [np.empty(0, self.dtype)] * len(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        length = np.array([len(t) for t in texts])
+        at = np.cumsum(length) - length
+        start = byte_level_starts(points, at[length > 0])
+        end = np.append(start[1:], len(points))
+        word = textnum.segments(points.astype(np.uint64) + np.uint64(1), start, end)
+        if len(self.size) > CACHE:
             self._forget()
-        docs = [list(map(self.words.__getitem__, self.splitter.split(t))) for t in texts]
-        new = list(self.words)[len(self.ids):] if len(self.words) > len(self.ids) else []
-        for e in self.tokenizer.encode_batch(new, add_special_tokens=False):
-            self.ids.append(np.array(e.ids, self.dtype).tobytes())
-        return [b"".join([self.ids[w] for w in d]) for d in docs]
+        place = self._find(word)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first = np.unique(word[missing], return_index=True)
+            first = missing[first]
+            coded = self.tokenizer.encode_batch_fast(
+                [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)
+            ids = [e.ids for e in coded]
+            self.size = np.concatenate([self.size, [len(x) for x in ids]])
+            self.ids = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(ids)), self.dtype)])
+            self._learn(new)
+            place[missing] = self._find(word[missing])
+        offset, size = (np.cumsum(self.size) - self.size)[place], self.size[place]
+        done = np.cumsum(size)
+        flat = self.ids[np.repeat(offset - done + size, size) + np.arange(int(done[-1]))]
+        bound = np.append(0, done)[np.searchsorted(start, np.append(at, len(points)))]
+        return [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,7 +169,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        part, width, sizes, ids, nulls = first.column(2)[0].as_py(), len(end), [], [], 0
+        part, sizes, ids, nulls = first.column(2)[0].as_py(), [], [], 0
         name = posixpath.join(base, f"part-{part:06d}")
         with _whole(fs, name + ".ids") as f:
             for batch in itertools.chain([first], batches):
@@ -133,9 +182,9 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
                     while stop < len(texts) and chars < BLOCK_CHARS:
                         chars += len(texts[stop])
                         stop += 1
-                    for b in enc.encode(texts[at:stop]):
-                        f.write(b + end)
-                        sizes.append(len(b) // width + 1)
+                    for x in enc.encode(texts[at:stop]):
+                        f.write(x.tobytes() + end)
+                        sizes.append(len(x) + 1)
                     at = stop
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype="<u8")]).astype("<u8")
         with _whole(fs, name + ".offsets") as f:
