@@ -62,9 +62,6 @@ STRFTIME_TO_JAVA = {
     "%a": "EEE", "%j": "DDD", "%%": "%",
 }
 
-# Output formats offered for standardize_date.
-OUTPUT_FORMATS = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%B %d, %Y")
-
 # Date-like text patterns checked for mixed formats.
 DATE_TEXT_PATTERNS = (
     ("YYYY-MM-DD", r"^\d{4}-\d{2}-\d{2}$"),

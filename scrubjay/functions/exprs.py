@@ -71,12 +71,20 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP_PATTERN, "")
 
 
+# Letters with case; Python title-cases words of these alone.
+_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+
+
+def _capital(x: Column) -> Column:
+    """First character in upper case; what it expands to beyond one letter is lower."""
+    up = F.upper(F.substring(x, 1, 1))
+    return F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 8)), F.substring(x, 2, 1 << 30))
+
+
 def title(c: Column) -> Column:
-    """Python ``str.title``: upper-case every letter that follows a non-letter."""
-    parts = F.split(F.lower(c), r"(?<=\P{L})(?=\p{L})")
-    return F.array_join(
-        F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))),
-        "")
+    """Python ``str.title``: upper-case every cased letter that follows no cased letter."""
+    parts = F.split(F.lower(c), rf"(?<!{_CASED})(?={_CASED})")
+    return F.array_join(F.transform(parts, _capital), "")
 
 
 def has_cased(c: Column) -> Column:
@@ -93,7 +101,7 @@ def is_upper(c: Column) -> Column:
 
 # title(c) == c exactly when no upper-case letter follows a letter and no
 # lower-case letter starts a word: one regex scan instead of split/transform.
-_NOT_TITLE = r"\p{L}\p{Lu}|(?<!\p{L})\p{Ll}"
+_NOT_TITLE = rf"{_CASED}\p{{Lu}}|(?<!{_CASED})\p{{Ll}}"
 
 
 def is_title(c: Column) -> Column:
@@ -121,16 +129,25 @@ def to_num(c: Column, dt: T.DataType) -> Column:
 
 
 def double_to_str(c: Column) -> Column:
-    """Format a double like Python's ``str(float)`` (plain decimals below 1e16)."""
-    a = F.abs(c)
+    """Format a double like Python's ``str(float)``: plain decimals from 1e-4 to below 1e16."""
+    a, text = F.abs(c), c.cast("string")
+    sign = F.when(c < 0, "-").otherwise("")
+    # the fewest of 15 to 17 digits that read back as the same value
+    wide = [F.format_string(f"%.{n}e", c) for n in (14, 15, 16)]
+    exact = F.when(wide[0].try_cast("double") == c, wide[0]).when(wide[1].try_cast("double") == c, wide[1]).otherwise(wide[2])
+    digits = F.regexp_replace(F.regexp_extract(exact, r"^-?([0-9.]+)e", 1), r"\.?0+$", "")
+    far = F.concat(sign, digits, F.lit("e"), F.regexp_extract(exact, r"e([+-]\d+)$", 1))
+    # 1e-4 to 1e-3: one leading digit four places behind the point
+    small = F.concat(sign, F.lit("0.000"), F.regexp_replace(digits, r"\.", ""))
     return (F.when(c.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .when((a >= 1e16) | ((a < 1e-4) & (a > 0)), c.cast("string"))
-            .when(c == F.floor(c), F.concat(F.floor(c).cast("long").cast("string"), F.lit(".0")))
+            .when((a >= 1e16) | ((a < 1e-4) & (a > 0)), far)
+            .when((a < 1e-3) & (a > 0), small)
+            .when((c == F.floor(c)) & (a > 0), F.concat(F.floor(c).cast("long").cast("string"), F.lit(".0")))
             .when(a >= 1e7, F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", ""))
-            .otherwise(c.cast("string")))
+            .otherwise(text))
 
 
 def to_str(c: Column, dt: T.DataType) -> Column:
@@ -142,7 +159,8 @@ def to_str(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        micros = F.date_format(c, "SSSSSS")
+        return F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
     return c.cast("string")
 
 
@@ -161,10 +179,6 @@ def pround(x, places: int):
     return math.copysign(math.floor(abs(float(x)) * m + 0.5) / m, float(x)) if x else 0.0
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.nanvl(c, F.lit(None).cast("double"))
-
-
 def safe_corr(x: Column, y: Column) -> Column:
     """Pairwise-complete Pearson r; null (not an error) for a constant column."""
     xm = F.when(y.isNotNull(), x)

@@ -16,7 +16,8 @@ scale.  Instead we select order statistics by refinement:
    binary orders of magnitude) is ranked by range-partitioned positions.
 
 Each pass is a column-pruned scan; the driver only ever sees
-``probes x BINS`` histogram rows or ``probes x FINAL_ROWS`` values.
+``probes x BINS`` histogram rows or ``probes x FINAL_ROWS`` values (this grows
+with the columns and ranks asked for, never with rows).
 Targets may carry a condition, so grouped quantiles (a handful of groups) use
 the same passes.
 """
@@ -127,7 +128,7 @@ def _solve_small(df, vals, small, brackets, open_, solved):
     for pid, (t, lo, hi, below, cnt) in enumerate(small):
         v = vals[t]
         entries.append(F.when(_in_bracket(v, lo, hi), F.struct(F.lit(pid).alias("p"), v.alias("v"))))
-    rows = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+    rows = (df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL")
               .select("e.p", "e.v").collect())
     per: dict[int, list[float]] = {}
     for r in rows:
@@ -173,7 +174,7 @@ def _refine(df, vals, large, brackets, open_, solved):
              .otherwise(scaled).cast("int"))
         entries.append(F.when(_in_bracket(v, lo, hi),
                               F.struct(F.lit(pid).alias("p"), b.alias("b"), v.alias("v"))))
-    hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+    hist = (df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL")
               .select("e.p", "e.b", "e.v")
               .groupBy("p", "b")
               .agg(F.count("*").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))

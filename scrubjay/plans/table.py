@@ -30,6 +30,13 @@ class Table:
     order: tuple = field(default=())  # ((column, ascending), ...), most significant first
 
     # -- construction -------------------------------------------------------
+    @staticmethod
+    def allow(name: str) -> str:
+        """``name`` if a data column may have it; the row id's and internal names are refused."""
+        if is_internal(name):
+            raise ValueError(f"column name {name!r} is reserved")
+        return name
+
     @staticmethod
     def from_df(df: DataFrame, rid: str | None = None) -> "Table":
         """Wrap a frame; ``rid`` names an existing unique integer key to use as
@@ -69,10 +76,13 @@ class Table:
 
     def positions(self, name: str = "_pos") -> DataFrame:
         """Attach the 0-based position of each row in the current order."""
-        from scrubjay.sources.rowid import with_row_id
-        if not self.order:
-            return with_row_id(self.df, order_by=[F.col(RID).asc()], name=name)
-        return with_row_id(self.df, order_by=self.sort_exprs(), name=name)
+        return self.df.join(self.position_index(name), RID)
+
+    def position_index(self, name: str = "_pos") -> DataFrame:
+        """(row id, position): only the row id and the sort keys are moved."""
+        from scrubjay.sources.rowid import positions
+        keys = [c for c, _ in self.order if c in self.df.columns]
+        return positions(self.df, self.sort_exprs(), RID, keys, name)
 
     def data(self) -> DataFrame:
         """User-visible columns (no row id)."""

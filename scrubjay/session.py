@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -53,13 +55,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scrubjay-ckpt-", dir="/tmp"))
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before building row ids")
 
 
-def reliable_checkpoint(df):
-    """Cut lineage with a reliable checkpoint (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: list[tuple] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the checkpoint folder; deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_delete_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _delete_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            sc = spark.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may already be gone; the folder is scratch
+            return
+
+
+def staged(df: DataFrame, tag: str = "staged") -> DataFrame:
+    """``df`` written once as a table on shared storage and read back.
+
+    Cuts the lineage like a reliable checkpoint but evaluates ``df`` a single
+    time and keeps it columnar, so later readers prune columns."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from the reference (dates become dates, ``NA`` stays text).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from scrubjay.functions.exprs import (NA_TOKENS, NUMBER_PATTERN, col, is_float_type,
                                       is_string_type, strip, to_num)
 from scrubjay.plans.table import RID, Table, is_internal
-from scrubjay.sources.rowid import with_load_order_id
+from scrubjay.sources.rowid import with_load_order_id, with_row_id
 
 
 # -- S4: null normalisation -----------------------------------------------------
@@ -39,7 +41,8 @@ def normalise_nulls(df: DataFrame, tokens=NA_TOKENS, inf_to_null: bool = False)
 
 
 # -- S7: type inference -------------------------------------------------------------
-_INT_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+_INT_PATTERN = r"^\s*[+-]?\d+\s*$"
+_WIDE_PATTERN = r"^\s*[+-]?0*\d{1,38}\s*$"
 _BOOL_PATTERN = r"(?i)^\s*(true|false)\s*$"
 
 
@@ -47,7 +50,9 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
     """Retype text columns whose every non-null value is boolean / integer / number.
 
     One aggregate over all candidate columns decides; a column becomes numeric
-    only when no non-null value would be lost.
+    only when no non-null value would be lost.  Integers that do not all fit 64
+    bits become decimals of 38 digits, longer ones stay text; a column is a
+    double only where some value has a fraction or an exponent.
     """
     cands = [f.name for f in df.schema.fields
              if is_string_type(f.dataType) and not is_internal(f.name)
@@ -60,6 +65,8 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
         aggs += [F.count(c).alias(f"n{i}"),
                  F.count(F.when(c.rlike(_BOOL_PATTERN), 1)).alias(f"b{i}"),
                  F.count(F.when(c.rlike(_INT_PATTERN), 1)).alias(f"i{i}"),
+                 F.count(F.when(c.rlike(_INT_PATTERN), strip(c).try_cast("long"))).alias(f"l{i}"),
+                 F.count(F.when(c.rlike(_WIDE_PATTERN), 1)).alias(f"w{i}"),
                  F.count(F.when(c.rlike(NUMBER_PATTERN), 1)).alias(f"d{i}")]
     row = df.agg(*aggs).first()
     kinds = {}
@@ -69,8 +76,12 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
             continue
         if allow_bool and row[f"b{i}"] == n:
             kinds[name] = "boolean"
-        elif row[f"i{i}"] == n:
+        elif row[f"l{i}"] == n:
             kinds[name] = "long"
+        elif row[f"w{i}"] == n:
+            kinds[name] = "decimal(38,0)"
+        elif row[f"i{i}"] == n:
+            continue
         elif row[f"d{i}"] == n:
             kinds[name] = "double"
     if not kinds:
@@ -81,8 +92,8 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
         k = kinds.get(f.name)
         if k == "boolean":
             out.append((F.lower(strip(c)) == "true").alias(f.name))
-        elif k == "long":
-            out.append(strip(c).try_cast("long").alias(f.name))
+        elif k in ("long", "decimal(38,0)"):
+            out.append(strip(c).try_cast(k).alias(f.name))
         elif k == "double":
             out.append(to_num(c, T.StringType()).alias(f.name))
         else:
@@ -91,9 +102,13 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
 
 
 # -- S1: CSV ------------------------------------------------------------------------
-def read_table_csv(spark: SparkSession, path: str, infer: bool = True) -> Table:
-    """Headered CSV -> Table with load-order row ids and inferred types."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
+def read_table_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True) -> Table:
+    """Headered CSV -> Table with load-order row ids and inferred types.
+
+    ``multiline=False`` promises fields without line breaks, so a large file
+    is read by many tasks; otherwise a file is one task.  The text is parsed
+    once and staged (``with_load_order_id``); ids and types come from there."""
+    raw = (spark.read.option("header", True).option("multiLine", multiline)
            .option("quote", '"').option("escape", '"')
            .option("inferSchema", False).csv(path))
     raw = with_load_order_id(raw, RID)
@@ -117,22 +132,29 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, []))
 
 
-def read_records_json(spark: SparkSession, path: str, multiline: bool = True) -> Table:
-    """A JSON array of records, an object whose ``data`` key holds the list, or
-    one record.  Use ``multiline=False`` for JSON Lines (splittable at scale)."""
+def read_records_json(spark: SparkSession, path: str, multiline: bool | None = None) -> Table:
+    """JSON records with load-order row ids: JSON Lines, a JSON array of
+    records, an object whose ``data`` key holds the list, or one record.
+
+    JSON Lines (``multiline=False``) are split among tasks; one document over
+    several lines (``multiline=True``) is one task.  Without either, the first
+    line decides: a file whose first line is a whole object is read as lines."""
+    if multiline is None:
+        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        multiline = not (head and _whole_object(head[0][0]))
     raw = spark.read.option("multiLine", multiline).option("primitivesAsString", False).json(path)
     fields = {f.name: f.dataType for f in raw.schema.fields}
     data_t = fields.get("data")
     if isinstance(data_t, T.ArrayType) and isinstance(data_t.elementType, T.StructType):
         raw = raw.select(F.explode("data").alias("__sj_rec")).select("__sj_rec.*")
-    flat = flatten_structs(raw)
-    flat = with_row_id_unordered(flat)
-    return Table(normalise_nulls(flat))
+    return Table(normalise_nulls(with_row_id(flatten_structs(raw))))
 
 
-def with_row_id_unordered(df: DataFrame) -> DataFrame:
-    from scrubjay.sources.rowid import with_row_id
-    return with_row_id(df)
+def _whole_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
 
 
 # Timestamps are written as text with microseconds.

@@ -5,31 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubjay.functions.exprs import col, is_datetime_type
+from scrubjay.functions.exprs import col, is_datetime_type, to_str
 from scrubjay.plans.table import RID, Table
 
-
 # Up to this many leading rows a page is a distributed top-k (each task keeps
-# at most start + size rows); deeper pages filter range-partitioned positions.
+# at most start + size rows); deeper pages look up their positions.
 TOP_K_MAX = 100_000
 
 
-def slice_rows(t: Table, page: int = 0, size: int = 100) -> DataFrame:
-    """Rows ``[page*size, (page+1)*size)`` of the current order.  Timestamps
-    render as text; nothing but the page reaches the driver."""
-    start = int(page) * int(size)
-    if start + int(size) <= TOP_K_MAX:
-        picked = t.df.orderBy(*t.sort_exprs()).offset(start).limit(int(size))
-    else:
-        pos = t.positions("__sj_pos")
-        picked = (pos.where((F.col("__sj_pos") >= start) & (F.col("__sj_pos") < start + int(size)))
-                  .drop("__sj_pos"))
+def slice_rows(t: Table, page: int = 0, size: int = 100, pos: str | None = None, top_k_max: int = TOP_K_MAX,
+               changed: DataFrame | None = None) -> DataFrame:
+    """Rows ``[page*size, (page+1)*size)`` of the current order, in that order.
+
+    Timestamps render as text; nothing but the page reaches the driver.
+    ``pos`` names a column for each row's position. ``changed`` takes the
+    cells of ``diff_cells``: the page then has ``_changed``, the sorted names
+    of each row's changed columns."""
+    start, size = int(page) * int(size), int(size)
+    index = None
+    if start + size <= top_k_max:
+        picked = t.df.orderBy(*t.sort_exprs()).offset(start).limit(size)
+        if pos:
+            ids = [r[RID] for r in picked.select(RID).collect()]  # one page of ids
+            index = t.df.sparkSession.createDataFrame([(i, start + k) for k, i in enumerate(ids)], f"{RID} long, __sj_pos long")
+    if index is None and start + size > top_k_max:
+        index = t.position_index("__sj_pos").where((F.col("__sj_pos") >= start) & (F.col("__sj_pos") < start + size))
+    if index is not None:  # at most one page of rows: the table itself is not shuffled
+        picked = t.df.join(F.broadcast(index), RID).orderBy("__sj_pos")
+    if changed is not None:
+        marks = (changed.join(F.broadcast(picked.select(RID)), RID, "left_semi").groupBy(RID)
+                 .agg(F.sort_array(F.collect_set("column")).alias("__sj_changed")))
+        order = ["__sj_pos"] if index is not None else t.sort_exprs()
+        picked = picked.join(F.broadcast(marks), RID, "left").orderBy(*order)
     out = []
     for f in picked.schema.fields:
-        if f.name == RID:
+        if f.name == "__sj_pos":
+            if pos:
+                out.append(F.col("__sj_pos").alias(pos))
+        elif f.name == "__sj_changed":
+            out.append(F.coalesce("__sj_changed", F.array().cast("array<string>")).alias("_changed"))
+        elif f.name == RID:
             out.append(F.col(RID))
         elif is_datetime_type(f.dataType):
-            out.append(F.date_format(col(f.name), "yyyy-MM-dd HH:mm:ss").alias(f.name))
+            out.append(to_str(col(f.name), f.dataType).alias(f.name))
         else:
             out.append(col(f.name))
     return picked.select(*out)

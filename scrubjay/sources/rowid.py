@@ -1,65 +1,93 @@
-"""Row ids and positions without an unpartitioned window.
-
-``monotonically_increasing_id`` numbers rows inside each partition; the
-offset of each partition (or file split) is a running sum over a frame with
-one row per partition, which is tiny and broadcast back.  Two cases:
-
-* load order of a file scan: ids follow ``(file, split start, row in split)``.
-  Split-to-partition assignment is deterministic for a given file listing, so
-  no sort and no materialisation are needed;
-* any other order: range-partition and sort within partitions by the keys,
-  then checkpoint (range bounds are sampled, a recompute could move rows
-  between partitions) and number from the checkpointed partitions.
+"""Row ids and positions without an unpartitioned window over rows.
+
+* Load order of a Parquet scan: a row is known by its file and its index in
+  the file (``_metadata.row_index``), whatever splits a scan is cut into, so
+  the files' row counts alone place it.
+* Load order of other files: the rows are staged once as a table that carries
+  each row's split and place; counting and numbering read that table.
+* Any other order: range-partition and sort by the keys, stage the numbered
+  result (range bounds are sampled, a recompute could move rows), and number
+  from it. With a unique ``key`` only the key and the order columns are staged.
+
+Offsets are one row per file, split or partition. A row without an offset is an
+error, never dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubjay.session import reliable_checkpoint
+from scrubjay.session import staged
+
+# Offsets are two numbers a group (files are known by a 64-bit hash of their
+# path): 32 MB at most are broadcast, beyond that the join shuffles.
+BROADCAST_OFFSETS_MAX = 2_000_000
+
 
-# Above this many partitions/splits the offsets frame is joined by shuffle
-# instead of broadcast.
-BROADCAST_OFFSETS_MAX = 200_000
+def _number(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df``, whose rows know their group (``__sj_rg``) and place (``__sj_ri``), numbered group by group."""
+    counted = df.groupBy("__sj_rg").agg(F.count("*").alias("__sj_n"), F.min("__sj_ri").alias("__sj_first"), F.min(order).alias("__sj_o"))
+    before = Window.orderBy("__sj_o").rowsBetween(Window.unboundedPreceding, -1)  # one row per file, split or partition
+    shift = F.coalesce(F.sum("__sj_n").over(before), F.lit(0)) - F.col("__sj_first")
+    offsets = staged(counted.select("__sj_rg", "__sj_o", shift.alias("__sj_off")), "offsets")
+    totals = offsets.agg(F.count("*").alias("n"), F.countDistinct("__sj_o").alias("d")).first()
+    if totals["n"] != totals["d"]:
+        raise RuntimeError("two files share a path hash: row ids would collide")
+    offsets = offsets.drop("__sj_o")
+    joined = df.join(F.broadcast(offsets) if totals["n"] <= BROADCAST_OFFSETS_MAX else offsets, "__sj_rg", "left")
+    lost = F.raise_error(F.lit("a row's file or partition was not there when rows were counted")).cast("long")
+    number = F.when(F.col("__sj_off").isNull(), lost).otherwise(F.col("__sj_off") + F.col("__sj_ri"))
+    return joined.withColumn(name, number.cast("long")).select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if not c.startswith("__sj_r")], name)
 
 
-def _attach_offsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                    mid: str, name: str) -> DataFrame:
-    groups = df.groupBy(*group_cols).agg(F.count("*").alias("__sj_n"), F.min(mid).alias("__sj_m0"))
-    w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select(*group_cols, "__sj_m0",
-                            F.coalesce(F.sum("__sj_n").over(w), F.lit(0)).alias("__sj_off")).cache()
-    n_groups = offsets.count()  # one row per partition or split: small, kept cached
-    right = F.broadcast(offsets) if n_groups <= BROADCAST_OFFSETS_MAX else offsets
-    out = df.join(right, on=group_cols, how="inner")
-    return out.withColumn(name, (F.col("__sj_off") + F.col(mid) - F.col("__sj_m0")).cast("long")) \
-              .drop("__sj_off", "__sj_m0", mid, *group_cols)
+def _place() -> Column:
+    """A row's index in its partition."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def with_load_order_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Ids in file order for a frame straight from a file read (needs ``_metadata``)."""
-    tagged = df.select("*",
-                       F.col("_metadata.file_path").alias("__sj_fp"),
-                       F.col("_metadata.file_block_start").alias("__sj_fb"),
-                       F.monotonically_increasing_id().alias("__sj_mid"))
-    return _attach_offsets(tagged, ["__sj_fp", "__sj_fb"], ["__sj_fp", "__sj_fb"], "__sj_mid", name)
+    """Ids 0..n-1 in file order for a frame straight from a file read."""
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    try:
+        tagged = df.select("*", F.xxhash64(path).alias("__sj_rg"), path.alias("__sj_rp"), F.col("_metadata.row_index").alias("__sj_ri"))
+        return _number(tagged, F.col("__sj_rp"), name)
+    except AnalysisException:  # only Parquet knows a row's index in its file
+        pass
+    try:
+        tagged = df.select("*", F.xxhash64(path, start).alias("__sj_rg"), F.struct(path, start).alias("__sj_rp"), _place().alias("__sj_ri"))
+    except AnalysisException:  # not read from files
+        return with_row_id(df, name=name)
+    return _number(staged(tagged, "loaded"), F.col("__sj_rp"), name)
 
 
-def with_row_id(df: DataFrame, order_by=None, name: str = "_rid", partitions: int | None = None) -> DataFrame:
-    """Attach a 0-based contiguous id following ``order_by`` (Columns or names).
+def with_row_id(df: DataFrame, order_by=None, name: str = "_rid", partitions: int | None = None,
+                key: str | None = None, columns=()) -> DataFrame:
+    """Attach a 0-based contiguous id following ``order_by`` (Columns).
 
-    Without ``order_by`` the current partition order is numbered (after a
-    checkpoint, so the numbering is stable).  The key must be unique for the
-    result to be deterministic.
+    Without ``order_by`` the current partition order is numbered. The order
+    must be total for the result to be deterministic. ``key`` names a unique,
+    non-null column and ``columns`` those that ``order_by`` reads: then only
+    these are staged, and the numbers are joined back by the key.
     """
+    if order_by and key:
+        return df.join(positions(df, order_by, key, columns, name, partitions), key)
+    return _number(_staged_order(df, order_by, partitions), F.col("__sj_rg"), name)
+
+
+def positions(df: DataFrame, order_by, key: str, columns=(), name: str = "_pos", partitions: int | None = None) -> DataFrame:
+    """(key, name): the place of every row in the order, without the other columns."""
+    thin = df.select(*["`" + c.replace("`", "``") + "`" for c in dict.fromkeys([key, *columns])])
+    ordered = _staged_order(thin, order_by, partitions, keep=key)
+    return _number(ordered, F.col("__sj_rg"), name)
+
+
+def _staged_order(df: DataFrame, order_by, partitions: int | None, keep: str | None = None) -> DataFrame:
     if order_by:
-        keys = list(order_by)
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    else:
-        ranged = df
-    ranged = ranged.withColumn("__sj_pid", F.spark_partition_id()) \
-                   .withColumn("__sj_mid", F.monotonically_increasing_id())
-    ranged = reliable_checkpoint(ranged)
-    return _attach_offsets(ranged, ["__sj_pid"], ["__sj_pid"], "__sj_mid", name)
+        df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    if keep:
+        df = df.select(keep)
+    return staged(df.withColumn("__sj_rg", F.spark_partition_id().cast("long")).withColumn("__sj_ri", _place()), "positions")

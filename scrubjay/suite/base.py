@@ -5,13 +5,12 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.plans.table import RID, Table
-from scrubjay.session import ensure_checkpoint_dir
+from scrubjay.session import scratch_path
 from scrubjay.suite.fixtures import FIXTURES, TABLES, with_fixtures
 
 QUERIES: dict = {}
@@ -56,9 +55,8 @@ def out(t: Table, *columns: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the session's checkpoint folder (shared storage on
-    a cluster, never a machine-local temporary folder)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "scratch-" + uuid.uuid4().hex)
+    a cluster), deleted when the driver ends."""
+    return scratch_path(spark, "scratch")
 
 
 # Unique integer keys usable as row ids (deterministic, so filters still push

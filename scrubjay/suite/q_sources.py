@@ -8,10 +8,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from scrubjay.functions.exprs import NA_TOKENS
 from scrubjay.plans.table import RID
 from scrubjay.sources.files import normalise_nulls, read_records_json, read_table_csv, reinfer_types, write_csv
-from scrubjay.sources.rowid import with_row_id
+from scrubjay.sources.rowid import with_load_order_id, with_row_id
 from scrubjay.suite.base import fixture_df, loaded, query, scratch_dir, table
 
 EV = ("ev_dirty",)
@@ -54,7 +53,9 @@ def src_flatten(spark, sf):
     return t.df.select("`a.b`", "`a.c.d`", F.array_join(F.col("e").cast("array<string>"), ",").alias("e"))
 
 
-_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+# Fixed values, written out apart from the engine's own list: what pandas ``read_csv`` takes for null.
+_TOKENS = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', "
+           "'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
 
 
 @query("src_nulls",
@@ -71,7 +72,8 @@ def src_nulls(spark, sf):
        "SELECT rid, row_number() OVER (ORDER BY user_id, ts DESC, rid) - 1 AS pos FROM ev_dirty", EV)
 def src_row_id(spark, sf):
     ev = fixture_df(spark, sf, "ev_dirty")
-    keyed = with_row_id(ev, order_by=[F.col("user_id").asc(), F.col("ts").desc(), F.col("rid").asc()], name="pos")
+    keyed = with_row_id(ev, order_by=[F.col("user_id").asc(), F.col("ts").desc(), F.col("rid").asc()], name="pos",
+                        key="rid", columns=["user_id", "ts"])
     return keyed.select("rid", "pos")
 
 
@@ -81,3 +83,18 @@ def src_row_id(spark, sf):
 def src_reinfer(spark, sf):
     raw = fixture_df(spark, sf, "raw_header").where(F.col("rid") != 0)
     return reinfer_types(raw.withColumnRenamed("rid", RID)).withColumnRenamed(RID, "rid")
+
+
+@query("src_load_order_id",
+       "SELECT row_number() OVER () - 1 AS id, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+def src_load_order_id(spark, sf):
+    return with_load_order_id(table(spark, sf, "lineitem"), "id").select("id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query("src_reinfer_bigint",
+       "SELECT rid, CAST(id19 AS BIGINT) AS id19, CAST(CAST(id21 AS HUGEINT) AS VARCHAR) AS id21, id45, CAST(half AS DOUBLE) AS half FROM raw_long",
+       ("raw_long",))
+def src_reinfer_bigint(spark, sf):
+    """Integers beyond 64 bits stay exact: decimals up to 38 digits, text beyond."""
+    df = reinfer_types(fixture_df(spark, sf, "raw_long").withColumnRenamed("rid", RID)).withColumnRenamed(RID, "rid")
+    return df.withColumn("id21", F.col("id21").cast("string"))
