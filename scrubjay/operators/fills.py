@@ -1,15 +1,15 @@
 """Forward / backward fill in current row order without a global window.
 
-Rows are cut into blocks of consecutive positions (``floor(position /
-block_rows)``; positions are unique, so no block can grow with skew, and
-``block_rows`` is sized from the key span so there are a few blocks per core
-but never more than ``MAX_BLOCKS``).
+Rows are cut into blocks of consecutive keys, ``floor(key / block_rows)``, a
+few blocks per core and never more than ``MAX_BLOCKS``.  The key is the row id
+if its blocks, counted, are even; a sparse or clustered row id is replaced by
+the dense position in the order, which makes every block ``block_rows`` rows.
 
 1. Inside each block a running ``last(ignorenulls)`` window fills the gaps
    (backward fill runs the same frame in descending order: a frame ending at
    UNBOUNDED FOLLOWING would be re-evaluated per row).
 2. Each block's edge value (its last non-null for ffill, first for bfill) comes
-   from a hash aggregate of positions only (``max``/``min`` of longs) plus a
+   from a hash aggregate of keys only (``max``/``min`` of longs) plus a
    broadcast join that picks those few rows, so the full data is never sorted
    for it.
 3. A running ``last(ignorenulls)`` over the one-row-per-block frame gives the
@@ -25,34 +25,38 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import col
+from scrubjay.operators.patches import small_side
 from scrubjay.plans.table import RID, Table
+from scrubjay.session import staged
 
 MIN_BLOCK_ROWS = 1 << 12
 MAX_BLOCKS = 200_000
 BLOCKS_PER_CORE = 4
 
 
-def _block_rows(df, key, spark) -> int:
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if span["lo"] is None:
-        return MIN_BLOCK_ROWS
-    width = span["hi"] - span["lo"] + 1
+def _target(rows: int, spark) -> int:
     cores = max(1, spark.sparkContext.defaultParallelism)
-    target = math.ceil(width / (cores * BLOCKS_PER_CORE))
-    return int(max(MIN_BLOCK_ROWS, target, math.ceil(width / MAX_BLOCKS)))
+    return max(MIN_BLOCK_ROWS, math.ceil(rows / (cores * BLOCKS_PER_CORE)), math.ceil(rows / MAX_BLOCKS))
+
+
+def _keyed(t: Table, block_rows: int | None):
+    """(frame with ``__sj_blk``, name of the key within a block)."""
+    spark = t.df.sparkSession
+    span = t.df.agg(F.count(F.lit(1)).alias("n"), F.min(RID).alias("lo"), F.max(RID).alias("hi")).first()
+    rows = block_rows or _target(span["n"], spark)
+    if not t.order and span["n"]:
+        width = max(rows, math.ceil((span["hi"] - span["lo"] + 1) / MAX_BLOCKS))
+        block = F.expr(f"{RID} div {width}")
+        # bounded by MAX_BLOCKS: the fullest block decides whether the row id will do
+        fullest = t.df.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
+        if fullest <= 2 * rows:
+            return t.df.withColumn("__sj_blk", block), RID
+    return t.positions("__sj_pos").withColumn("__sj_blk", F.expr(f"__sj_pos div {rows}")), "__sj_pos"
 
 
 def directional_fill(t: Table, columns, forward: bool = True, block_rows: int | None = None) -> Table:
-    if t.order:
-        df = t.positions("__sj_pos")
-        key_name = "__sj_pos"
-    else:
-        df = t.df
-        key_name = RID
+    df, key_name = _keyed(t, block_rows)
     key = F.col(key_name)
-    spark = df.sparkSession
-    block_rows = block_rows or _block_rows(df, key, spark)
-    df = df.withColumn("__sj_blk", F.expr(f"{key_name} div {int(block_rows)}"))
     w_in = Window.partitionBy("__sj_blk").orderBy(key.asc() if forward else key.desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     columns = list(columns)
@@ -60,10 +64,9 @@ def directional_fill(t: Table, columns, forward: bool = True, block_rows: int |
 
     # edge positions per block: a hash aggregate over longs
     pick = F.max if forward else F.min
-    edge_pos = df.groupBy("__sj_blk").agg(*[
-        pick(F.when(col(c).isNotNull(), key)).alias(f"__sj_p{i}") for i, c in enumerate(columns)]).cache()
-    n_blocks = edge_pos.count()
-    right = F.broadcast(edge_pos) if n_blocks <= MAX_BLOCKS else edge_pos
+    edge_pos = staged(df.groupBy("__sj_blk").agg(*[
+        pick(F.when(col(c).isNotNull(), key)).alias(f"__sj_p{i}") for i, c in enumerate(columns)]), "edges")
+    right = F.broadcast(edge_pos)  # at most MAX_BLOCKS rows of longs
     # the rows at those positions (at most columns x blocks rows) carry the edge values
     hit = F.lit(False)
     for i in range(len(columns)):
@@ -76,11 +79,10 @@ def directional_fill(t: Table, columns, forward: bool = True, block_rows: int |
     # one row per block: an unpartitioned running window over it is small
     w_blk = Window.orderBy(F.col("__sj_blk").asc() if forward else F.col("__sj_blk").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select("__sj_blk", *[
+    carry = staged(blocks.select("__sj_blk", *[
         F.last(f"__sj_e{i}", ignorenulls=True).over(w_blk).alias(f"__sj_c{i}")
-        for i in range(len(columns))]).cache()
-    carry.count()
-    right = F.broadcast(carry) if n_blocks <= MAX_BLOCKS else carry
+        for i in range(len(columns))]), "carry")
+    right = small_side(carry)  # carried values may be long texts
     filled = df.select(*[inner[c].alias(c) if c in inner else col(c) for c in df.columns])
     joined = filled.join(right, "__sj_blk", "left")
     out = []

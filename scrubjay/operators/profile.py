@@ -7,7 +7,7 @@ aggregates, quantiles and histogram bounds travel through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +18,13 @@ from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import RID, Table
 
 
-def distinct_counts(df: DataFrame, columns) -> dict:
-    """Exact distinct counts of many columns in ONE pass.
-
-    Every non-null cell is unpivoted to ``(column, value)`` with the value in a
-    typed slot (integers, booleans, dates and instants as a long; floats as a
-    double with -0.0 folded into 0.0; text, wall-clock timestamps and decimals
-    as exact text), so equal values meet in one group and unequal ones never
-    do.  A hash aggregate removes repeats (map-side first, so a hot value costs
-    nothing), then a second one counts per column."""
-    columns = list(columns)
-    if not columns:
-        return {}
+def typed_cells(df: DataFrame, columns, text: bool = False) -> DataFrame:
+    """Every non-null cell as ``(k, s, l, d)``: the column's place and the value
+    in a typed slot (integers, booleans, dates and instants as a long; floats
+    as a double with -0.0 folded into 0.0; text, wall-clock timestamps and
+    decimals as exact text), so equal values meet and unequal ones never do.
+    ``text`` adds ``t``, the value as text that casts back.  The unpivot is an
+    explode of an array and a filter, which stay in generated code."""
     schema = {f.name: f.dataType for f in df.schema.fields}
     entries = []
     for i, c in enumerate(columns):
@@ -51,13 +46,24 @@ def distinct_counts(df: DataFrame, columns) -> dict:
             s = F.to_json(v)
         else:  # timestamp_ntz, decimal, binary: exact text forms
             s = F.hex(v) if isinstance(dt, T.BinaryType) else v.cast("string")
-        entries.append(F.when(v.isNotNull(), F.struct(
-            F.lit(i).alias("k"),
-            (s if s is not None else F.lit(None).cast("string")).alias("s"),
-            (lg if lg is not None else F.lit(None).cast("long")).alias("l"),
-            (db if db is not None else F.lit(None).cast("double")).alias("d"))))
-    pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    counted = pairs.distinct().groupBy("k").agg(F.count("*").alias("n")).collect()
+        slots = [F.lit(i).alias("k"),
+                 (s if s is not None else F.lit(None).cast("string")).alias("s"),
+                 (lg if lg is not None else F.lit(None).cast("long")).alias("l"),
+                 (db if db is not None else F.lit(None).cast("double")).alias("d")]
+        if text:
+            slots.append((F.to_json(v) if isinstance(dt, (T.ArrayType, T.StructType, T.MapType)) else v.cast("string")).alias("t"))
+        entries.append(F.when(v.isNotNull(), F.struct(*slots)))
+    return df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
+def distinct_counts(df: DataFrame, columns) -> dict:
+    """Exact distinct counts of many columns in one pass: typed cells, a hash
+    aggregate that removes repeats (map-side first, so a hot value costs
+    nothing), then one that counts per column."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    counted = typed_cells(df, columns).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()
     out = {c: 0 for c in columns}
     out.update({columns[r["k"]]: r["n"] for r in counted})
     return out
@@ -65,8 +71,10 @@ def distinct_counts(df: DataFrame, columns) -> dict:
 
 def capped_distinct(df: DataFrame, columns, cap: int) -> dict:
     """Exact distinct counts where they can be at most ``cap``; ``cap + 1`` for
-    the rest.  A HyperLogLog estimate (5% error) first rules out columns well
-    above the cap, so no exact distinct shuffles a high-cardinality column."""
+    the rest.  A HyperLogLog estimate first rules out columns well above the
+    cap, so no exact distinct shuffles a high-cardinality column.  Its relative
+    standard error is 5%: an estimate of over twice the cap for a column at the
+    cap would be off by 20 standard errors."""
     columns = list(columns)
     if not columns:
         return {}
@@ -148,10 +156,12 @@ def _r4(x):
     return pround(x, 4)
 
 
-def column_profile(t: Table, method: str = "exact") -> DataFrame:
+def column_profile(t: Table, method: str = "exact", approx_distinct: bool = False) -> DataFrame:
     """One row per column: P1 + P2 for every column and the P3 numeric
     summary for numeric ones (null elsewhere) - the per-column stats panel.
-    Null counts ride in the first moments pass; quantiles reuse its bounds."""
+    Null counts ride in the first moments pass; quantiles reuse its bounds.
+    ``approx_distinct`` replaces the exact distinct counts, which shuffle every
+    distinct cell, by HyperLogLog sketches."""
     from concurrent.futures import ThreadPoolExecutor
     cols = t.columns
     nums = numeric_columns(t)
@@ -164,6 +174,9 @@ def column_profile(t: Table, method: str = "exact") -> DataFrame:
         return mom, quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
 
     def distinct_chain():
+        if approx_distinct:
+            row = t.df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+            return {c: row[f"d{i}"] for i, c in enumerate(cols)}
         return distinct_counts(t.df, cols)
 
     with ThreadPoolExecutor(max_workers=2) as pool:  # independent jobs, submitted together
@@ -191,69 +204,71 @@ def column_profile(t: Table, method: str = "exact") -> DataFrame:
 # -- P4 ------------------------------------------------------------------------------------------
 def top_values(t: Table, columns=None, k: int = 5) -> DataFrame:
     """``(column, value, count, rank)``: the k most frequent values per column,
-    ties by value.  Each column is a grouped count plus a distributed top-k."""
+    ties by value, for all columns in one pass: unpivot, count, ranked window."""
     columns = list(columns or categorical_columns(t))
     spark = t.df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, value string, count long, rank int")
-    parts = []
-    for c in columns:
-        counts = (t.df.where(col(c).isNotNull())
-                  .groupBy(col(c).cast("string").alias("value")).agg(F.count("*").alias("count")))
-        top = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(k)
-        parts.append(top.select(F.lit(c).alias("column"), "value", "count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # rank inside <= k rows per column (bounded)
-    from pyspark.sql import Window
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]))
+    counts = (t.df.select(cells.alias("e")).select("e.column", "e.value").where(F.col("value").isNotNull())
+              .groupBy("column", "value").agg(F.count("*").alias("count")))
+    # the limit is applied in every task before the column's values meet
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return out.withColumn("rank", F.row_number().over(w))
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # -- P5 / V1 ---------------------------------------------------------------------------------------
+HISTOGRAM_SCHEMA = "column string, bin int, bin_lo double, bin_hi double, count long, mean double, median double"
+
+
 def histogram(t: Table, column: str, max_bins: int = 24, bins: int | None = None,
               rule: str = "distinct", method: str = "exact") -> DataFrame:
-    """Equal-width histogram with the last bin closed, plus mean/median markers.
+    """The histogram of one column (see ``histograms``)."""
+    return histograms(t, [column], max_bins, bins, rule, method)
+
+
+def histograms(t: Table, columns=None, max_bins: int = 24, bins: int | None = None,
+               rule: str = "distinct", method: str = "exact") -> DataFrame:
+    """Equal-width histograms of numeric columns with the last bin closed, plus
+    mean/median markers; all columns share every pass.
 
     ``rule='distinct'``: ``max(1, min(max_bins, nunique))`` bins (profile);
     ``rule='chart'``: ``min(50, max(10, n // 20))`` bins (histogram chart).
-    A constant column spans ``value +- 0.5``.  Output
-    ``(column, bin, bin_lo, bin_hi, count, mean, median)``."""
-    v = col(column).cast("double")
-    stats = t.df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                     F.avg(v).alias("mean")).first()
+    A constant column spans ``value +- 0.5``; one without values is left out.
+    Output ``(column, bin, bin_lo, bin_hi, count, mean, median)``."""
+    columns = list(columns or numeric_columns(t))
     spark = t.df.sparkSession
-    schema = "column string, bin int, bin_lo double, bin_hi double, count long, mean double, median double"
-    n = stats["n"]
-    if not n:
-        return spark.createDataFrame([], schema)
-    if bins is None:
-        if rule == "distinct":
-            d = capped_distinct(t.df.select(v.alias("__sj_v")), ["__sj_v"], max_bins)["__sj_v"]
-            bins = max(1, min(max_bins, d))
-        else:
-            bins = min(50, max(10, n // 20))
-    lo, hi = float(stats["lo"]), float(stats["hi"])
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    median = quantiles(t.df, [(column, v, None)], [0.5], method=method,
-                       stats={column: (n, stats["lo"], stats["hi"])})[column][0]
-    b = F.least(F.floor((v - F.lit(lo)) * F.lit(bins / (hi - lo))), F.lit(bins - 1)).cast("int")
-    counts = t.df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
-    frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / bins
-    return (frame.join(F.broadcast(counts), "bin", "left")  # both sides have <= bins rows
-            .select(F.lit(column).alias("column"), "bin",
-                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-                    F.lit(_r4(stats["mean"])).alias("mean"), F.lit(_r4(median)).alias("median")))
+    v = {c: col(c).cast("double") for c in columns}
+    st = agg_dict(t.df, [(f"{k}{i}", f(v[c]), 1) for i, c in enumerate(columns)
+                         for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg))]) if columns else {}
+    stats = {c: (st[f"n{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(columns) if st[f"n{i}"]}
+    if not stats:
+        return spark.createDataFrame([], HISTOGRAM_SCHEMA)
+    medians = quantiles(t.df, [(c, v[c], None) for c in stats], [0.5], method=method, stats=stats)
+    if bins is None and rule == "distinct":
+        vals = t.df.select(*[v[c].alias(f"__sj_v{i}") for i, c in enumerate(stats)])
+        distinct = capped_distinct(vals, vals.columns, max_bins)
+        n_bins = {c: max(1, min(max_bins, distinct[f"__sj_v{i}"])) for i, c in enumerate(stats)}
+    else:
+        n_bins = {c: bins or min(50, max(10, n // 20)) for c, (n, _, _) in stats.items()}
+    edges, cells = {}, []
+    for c, (_, lo, hi) in stats.items():
+        lo, hi = (float(lo) - 0.5, float(hi) + 0.5) if lo == hi else (float(lo), float(hi))
+        edges[c] = (lo, (hi - lo) / n_bins[c])
+        b = F.when(v[c].isNotNull(),  # ``least`` passes over nulls
+                   F.least(F.floor((v[c] - F.lit(lo)) * F.lit(n_bins[c] / (hi - lo))), F.lit(n_bins[c] - 1))).cast("int")
+        cells.append(F.struct(F.lit(c).alias("column"), b.alias("bin")))
+    counted = (t.df.select(F.explode(F.array(*cells)).alias("e")).select("e.column", "e.bin").where(F.col("bin").isNotNull())
+               .groupBy("column", "bin").count().collect())  # at most the bins of each column
+    found = {(r["column"], r["bin"]): r["count"] for r in counted}
+    mean = {c: st[f"mean{i}"] for i, c in enumerate(columns)}
+    rows = [(c, b, lo + b * width, lo + (b + 1) * width, found.get((c, b), 0), _r4(mean[c]), _r4(medians[c][0]))
+            for c, (lo, width) in edges.items() for b in range(n_bins[c])]
+    return spark.createDataFrame(rows, HISTOGRAM_SCHEMA)
 
 
 def trim_bins(hist: DataFrame) -> DataFrame:
     """Drop empty bins before the first and after the last non-empty bin (per column)."""
-    from pyspark.sql import Window
     w = Window.partitionBy("column")  # a histogram has <= 50 rows per column
     nonempty = F.when(F.col("count") > 0, F.col("bin"))
     return (hist.withColumn("__first", F.min(nonempty).over(w))
@@ -286,7 +301,7 @@ def box_summary(t: Table, column: str, max_points: int = 40, method: str = "exac
                                       _r4(w["wl"] if w["wl"] is not None else q1),
                                       _r4(w["wh"] if w["wh"] is not None else q3), w["no"])], schema)
     points = (t.df.where(outside).select(F.lit(column).alias("column"), F.col(RID), round_half_away(v, 4).alias("value"))
-              .orderBy(F.xxhash64(F.col(RID)), F.col(RID)).limit(max_points))
+              .orderBy(F.md5(F.col(RID).cast("string")), F.col(RID)).limit(max_points))
     return summary, points
 
 
@@ -300,22 +315,51 @@ def skew(t: Table, columns=None) -> DataFrame:
 
 
 # -- P8 ------------------------------------------------------------------------------------------------
-def duplicate_count(t: Table) -> DataFrame:
+def row_hash(t: Table):
+    """A struct of two 64-bit hashes of the whole row, nulls told apart by place."""
+    cells = [c for name in t.columns for c in (col(name).isNull(), _hashable(col(name), t.dtype(name)))]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(7), *reversed(cells)).alias("b"))
+
+
+def _hashable(c, dt):
+    """Equal values hash alike: -0.0 as 0.0, maps as text."""
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return F.when(c == 0, F.lit(0.0).cast(dt)).otherwise(c)
+    return F.to_json(c) if isinstance(dt, T.MapType) else c
+
+
+def repeated_rows(t: Table, hashed=row_hash) -> DataFrame:
+    """Row ids of rows that repeat an earlier row (by row id) in every column, nulls equal.
+
+    The first shuffle carries a hash and the row id; full rows are compared
+    only among rows whose hash is shared, so a collision costs time, never a
+    wrong answer."""
+    keyed = t.df.withColumn("__sj_h", hashed(t))
+    shared = keyed.select("__sj_h", RID).groupBy("__sj_h").agg(F.count("*").alias("__sj_n")).where("__sj_n > 1").select("__sj_h")
+    alike = keyed.join(shared, "__sj_h", "left_semi")
+    names = {c: f"__sj_g{i}" for i, c in enumerate(t.columns)}
+    first = (alike.groupBy(F.col("__sj_h").alias("__sj_gh"), *[col(c).alias(g) for c, g in names.items()])
+             .agg(F.min(RID).alias("__sj_first"), F.count("*").alias("__sj_n")).where("__sj_n > 1"))
+    # back to the rows of those groups: all columns again, so that no collision takes a row along
+    same = (F.col("__sj_h") == F.col("__sj_gh")) & (F.col(RID) > F.col("__sj_first"))
+    for c, g in names.items():
+        same = same & col(c).eqNullSafe(F.col(g))
+    return alike.join(first, same, "inner").select(RID)
+
+
+def duplicate_count(t: Table, hashed=row_hash) -> DataFrame:
     """One row ``duplicates``: rows repeating an earlier row in every column (nulls equal)."""
-    groups = t.df.groupBy(*[col(c) for c in t.columns]).agg(F.count("*").alias("__n"))
+    keyed = t.df.withColumn("__sj_h", hashed(t))
+    shared = keyed.select("__sj_h").groupBy("__sj_h").agg(F.count("*").alias("__sj_n")).where("__sj_n > 1").select("__sj_h")
+    groups = (keyed.join(shared, "__sj_h", "left_semi").groupBy("__sj_h", *[col(c) for c in t.columns])
+              .agg(F.count("*").alias("__n")))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def dataset_summary(t: Table) -> DataFrame:
     """``(total_rows, total_cols, total_missing, duplicates)``."""
-    cols = t.columns
-    # one grouped pass: each distinct row with its multiplicity gives rows,
-    # missing cells (nulls in the key x multiplicity) and repeats together
-    null_cells = sum((F.when(col(c).isNull(), 1).otherwise(0) for c in cols), F.lit(0))
-    groups = t.df.groupBy(*[col(c) for c in cols]).agg(F.count("*").alias("__n")) \
-        .select("__n", null_cells.alias("__nulls"))
-    return groups.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total_rows"),
-        F.lit(len(cols)).cast("long").alias("total_cols"),
-        F.coalesce(F.sum(F.col("__n") * F.col("__nulls")), F.lit(0)).cast("long").alias("total_missing"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    null_cells = sum((F.when(col(c).isNull(), 1).otherwise(0) for c in t.columns), F.lit(0))
+    repeats = duplicate_count(t).first()["duplicates"]
+    return t.df.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(len(t.columns)).cast("long").alias("total_cols"),
+                    F.coalesce(F.sum(null_cells), F.lit(0)).cast("long").alias("total_missing"),
+                    F.lit(repeats).cast("long").alias("duplicates"))

@@ -28,7 +28,8 @@ from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_l
                                       is_upper, pround, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import Table
-from scrubjay.operators.profile import duplicate_count
+from scrubjay.operators.profile import HISTOGRAM_SCHEMA, duplicate_count, histograms
+from scrubjay.session import staged
 
 # Rule thresholds of the quality report.
 TYPE_RATIO = 0.7
@@ -155,16 +156,9 @@ def missing(t: Table, sc: Scan | None = None) -> DataFrame:
 def missing_histograms(t: Table, sc: Scan | None = None) -> DataFrame:
     """The distribution shown with each numeric missing-value finding (at
     least 3 values): the profile histogram (P5) of those columns, stacked."""
-    from scrubjay.operators.profile import histogram
     sc = sc or scan(t, text=False)
     cols = [c for c in t.columns if is_numeric_type(t.dtype(c)) and sc.nulls[c] and sc.nonnull[c] >= 3]
-    if not cols:
-        return t.df.sparkSession.createDataFrame(
-            [], "column string, bin int, bin_lo double, bin_hi double, count long, mean double, median double")
-    out = histogram(t, cols[0])
-    for c in cols[1:]:
-        out = out.unionByName(histogram(t, c))
-    return out
+    return histograms(t, cols) if cols else t.df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
 
 
 # -- Q3 ------------------------------------------------------------------------------------------
@@ -297,22 +291,21 @@ def typo_candidates(t: Table, columns=None, metric: str = "difflib", cutoff: flo
     spark = t.df.sparkSession
     if not cols:
         return spark.createDataFrame([], TYPO_SCHEMA)
-    # a HyperLogLog estimate rules out columns far above 200 distinct values;
-    # the value counts of the rest (<= ~400 rows each) give exact counts
+    # a HyperLogLog estimate (standard error 5%) rules out columns far above 200
+    # distinct values: twice the limit is 20 standard errors away from it; the
+    # value counts of the rest (<= ~400 rows each) decide exactly
     approx = t.df.agg(*[F.approx_count_distinct(col(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     near = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * TYPO_MAX_DISTINCT]
     if not near:
         return spark.createDataFrame([], TYPO_SCHEMA)
     # value counts of all remaining columns in one pass: unpivot to (column, value)
-    pairs = F.explode(F.filter(F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(c).alias("column"),
-                                                                             col(c).alias("value")))
-                                         for c in near]), lambda e: e.isNotNull()))
-    vc = (t.df.select(pairs.alias("e")).select("e.column", "e.value")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in near]))
+    vc = (t.df.select(pairs.alias("e")).select("e.column", "e.value").where(F.col("value").isNotNull())
           .groupBy("column", "value").agg(F.count("*").alias("n")))
     per_col = Window.partitionBy("column")  # bounded: <= ~400 rows per column
-    vc = (vc.withColumn("d", F.count(F.lit(1)).over(per_col))
-            .where((F.col("d") >= TYPO_MIN_DISTINCT) & (F.col("d") <= TYPO_MAX_DISTINCT))
-            .drop("d").cache())
+    vc = staged(vc.withColumn("d", F.count(F.lit(1)).over(per_col))
+                .where((F.col("d") >= TYPO_MIN_DISTINCT) & (F.col("d") <= TYPO_MAX_DISTINCT))
+                .drop("d"), "values")
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
     canon = (vc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TYPO_CANDIDATES)
              .select("column", F.col("value").alias("match"), F.col("n").alias("match_count")))
@@ -320,6 +313,9 @@ def typo_candidates(t: Table, columns=None, metric: str = "difflib", cutoff: flo
     if metric == "levenshtein":
         score = 1 - F.levenshtein("value", "match") / F.greatest(F.length("value"), F.length("match"))
     else:
+        # the ratio is at most 2 * shorter / (both lengths): exact, and spares the UDF hopeless pairs
+        short, both = F.least(F.length("value"), F.length("match")), F.length("value") + F.length("match")
+        pairs = pairs.where(2 * short >= F.lit(cutoff) * both)
         score = difflib_ratio(F.col("match"), F.col("value"))
     scored = pairs.withColumn("score", score.cast("double")).where(F.col("score") >= cutoff)
     best = scored.groupBy("column", "value").agg(
@@ -331,9 +327,9 @@ def typo_candidates(t: Table, columns=None, metric: str = "difflib", cutoff: flo
 
 # -- Q10 / Q11 / Q12 -----------------------------------------------------------------------------------------
 FINDINGS_SCHEMA = ("section string, column string, severity string, count long, pct double, "
-                   "detail string, method string, reason string")
+                   "detail string, method string, reason string, mapping map<string,string>")
 
-# Finding section -> (operation, parameter) used to pre-fill a fix.
+# The step that fixes each kind of finding.
 FIX_OPERATIONS = {
     "missing": "fill_missing",
     "duplicates": "remove_duplicates",
@@ -380,30 +376,30 @@ def _findings_rows_frame(t: Table, suppress, typo_metric, method) -> DataFrame:
         sc, miss, types, outl, fmts, cases = f_cols.result()
         dups, typo_rows = f_dups.result(), f_typo.result()
     rows = []
+
+    def add(section, column, severity, count, pct=None, detail=None, method=None, reason=None, mapping=None):
+        rows.append((section, column, severity, count, pct, detail, method, reason, mapping))
+
     for c, n, pct, sev, m, _, reason in miss:
-        rows.append(("missing", c, sev, n, pct, None, m, reason))
+        add("missing", c, sev, n, pct, None, m, reason)
     if dups:
-        rows.append(("duplicates", "*", "MED", dups, pround(dups / sc.rows * 100, 2), None,
-                     "remove_duplicates", None))
+        add("duplicates", "*", "MED", dups, pround(dups / sc.rows * 100, 2), None, "remove_duplicates")
     for c, _, sug, conv, conv_pct in types:
-        rows.append(("type_issues", c, "MED", conv, conv_pct, f"string -> {sug}", sug, None))
+        add("type_issues", c, "MED", conv, conv_pct, f"string -> {sug}", sug)
     for c, n, pct, lo, hi, sev, m, _, reason in outl:
-        rows.append(("outliers", c, sev, n, pct, f"IQR [{lo}, {hi}]", m, reason))
+        add("outliers", c, sev, n, pct, f"IQR [{lo}, {hi}]", m, reason)
     fmt = {}
     for c, f, n in fmts:
         fmt.setdefault(c, []).append((f, n))
     for c, items in fmt.items():
-        rows.append(("inconsistent_formats", c, "LOW", sum(n for _, n in items), None,
-                     " | ".join(f"{k}:{n}" for k, n in items), "date_format", None))
+        add("inconsistent_formats", c, "LOW", sum(n for _, n in items), None, " | ".join(f"{k}:{n}" for k, n in items), "date_format")
     for c, lo, up, ti, mixed in cases:
-        rows.append(("inconsistent_formats", c, "LOW", mixed, None,
-                     f"lower:{lo} upper:{up} title:{ti} mixed:{mixed}", "casing", None))
+        add("inconsistent_formats", c, "LOW", mixed, None, f"lower:{lo} upper:{up} title:{ti} mixed:{mixed}", "casing")
     typos = {}
-    for r in typo_rows:
-        typos.setdefault(r["column"], []).append((r["value"], r["match"]))
-    for c, pairs in typos.items():
-        rows.append(("typo_candidates", c, "LOW", len(pairs), None,
-                     ", ".join(f"{a} -> {b}" for a, b in pairs[:5]), None, None))
+    for r in typo_rows:  # at most 200 values a column by rule
+        typos.setdefault(r["column"], {})[r["value"]] = r["match"]
+    for c, mapping in typos.items():
+        add("typo_candidates", c, "LOW", len(mapping), None, ", ".join(f"{a} -> {b}" for a, b in mapping.items()), mapping=mapping)
     out = spark.createDataFrame(rows, FINDINGS_SCHEMA)
     if suppress:
         sup = spark.createDataFrame([tuple(k) for k in suppress], "section string, column string")
@@ -411,8 +407,9 @@ def _findings_rows_frame(t: Table, suppress, typo_metric, method) -> DataFrame:
     return out
 
 
-def badge_count(findings_df: DataFrame) -> int:
-    return findings_df.count()
+def typo_mapping(findings_df: DataFrame) -> DataFrame:
+    """``(column, value, match)``: every replacement of the typo findings, one row per pair."""
+    return findings_df.where(F.col("mapping").isNotNull()).select("column", F.explode("mapping").alias("value", "match"))
 
 
 def column_status(t: Table, findings_df: DataFrame) -> DataFrame:
@@ -430,14 +427,23 @@ def column_status(t: Table, findings_df: DataFrame) -> DataFrame:
 
 def fix_plan(findings_df: DataFrame) -> DataFrame:
     """``(section, column, operation, method)``: the step that would fix each
-    finding.  Turn it into a Recipe explicitly; nothing is auto-applied."""
-    op = (F.when(F.col("section") == "missing", "fill_missing")
-          .when(F.col("section") == "duplicates", "remove_duplicates")
-          .when(F.col("section") == "type_issues", "convert_type")
-          .when(F.col("section") == "outliers", "handle_outliers")
-          .when((F.col("section") == "inconsistent_formats") & (F.col("method") == "date_format"),
-                "standardize_date")
-          .when(F.col("section") == "inconsistent_formats", "standardize_case")
-          .when(F.col("section") == "typo_candidates", "fix_typos"))
+    finding.  ``fix_steps`` makes steps of them; nothing is auto-applied."""
+    kind = F.when(F.col("section") == "inconsistent_formats", F.concat_ws(":", "section", "method")).otherwise(F.col("section"))
+    op = F.create_map(*[F.lit(x) for pair in FIX_OPERATIONS.items() for x in pair])[kind]
     method = F.when(F.col("section").isin("missing", "outliers", "type_issues"), F.col("method"))
     return findings_df.select("section", "column", op.alias("operation"), method.alias("method"))
+
+
+def fix_steps(findings_df: DataFrame) -> list:
+    """The plan as recipe steps, in the findings' order; the caller picks and
+    appends them to a ``Recipe``.  Typo fixes carry the full mapping."""
+    from scrubjay.plans.recipe import Step
+    steps = []
+    for r in findings_df.collect():  # one row per finding
+        kind = f"{r['section']}:{r['method']}" if r["section"] == "inconsistent_formats" else r["section"]
+        params = {"missing": {"method": r["method"]}, "outliers": {"method": r["method"]}, "type_issues": {"target": r["method"]},
+                  "typo_candidates": {"mapping": dict(r["mapping"] or {})}}.get(r["section"], {})
+        if kind.endswith(":casing"):
+            params = {"case": "lower"}
+        steps.append(Step(FIX_OPERATIONS[kind], None if r["column"] == "*" else r["column"], params))
+    return steps

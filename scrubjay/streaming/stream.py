@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scrubjay.operators.steps import ROW_LOCAL, apply_step
+from scrubjay.functions.exprs import col
+from scrubjay.operators.steps import ROW_LOCAL, apply_step, constant_fill
 from scrubjay.plans.recipe import Recipe, Step
 from scrubjay.plans.table import Table
 
@@ -43,25 +44,12 @@ def apply_to_stream(stream_df: DataFrame, steps) -> DataFrame:
 
 
 def _fill_constant(t: Table, s: Step) -> Table:
-    from pyspark.sql import functions as F
-    from scrubjay.functions.exprs import col, is_numeric_type, is_string_type, to_str
     cols = [s.column] if s.column else t.columns
     method, value = s.params.get("method"), s.params.get("value")
-    out = []
-    for c in t.df.columns:
-        if c not in cols:
-            out.append(col(c))
-            continue
-        dt = t.dtype(c)
-        if method == "empty_string":
-            out.append(F.coalesce(to_str(col(c), dt), F.lit("")).alias(c))
-        elif is_numeric_type(dt):
-            out.append(F.coalesce(col(c).cast("double"), F.lit(float(value))).alias(c))
-        elif is_string_type(dt):
-            out.append(F.coalesce(col(c), F.lit(str(value))).alias(c))
-        else:
-            out.append(col(c))
-    return t.with_df(t.df.select(*out))
+    if method == "custom" and value is None:
+        return t
+    return t.with_df(t.df.select(*[constant_fill(col(c), t.dtype(c), method, value).alias(c) if c in cols else col(c)
+                                   for c in t.df.columns]))
 
 
 def clean_stream(spark, source_path: str, schema, steps, sink_path: str, checkpoint_path: str,
