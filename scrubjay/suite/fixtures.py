@@ -49,7 +49,48 @@ SELECT event_id + 1 AS rid, CAST(event_id AS STRING) AS c0, event_type AS c1, CA
 UNION ALL SELECT 0, 'id', 'kind', 'amount'
 """
 
-FIXTURES = {"ev_dirty": EV_DIRTY, "ord_dups": ORD_DUPS, "ord_holes": ORD_HOLES,
+_WORDS = ("warehouse", "telephone", "champagne", "butterfly", "crocodile", "submarine", "porcupine", "vegetable")
+
+TYPO_MANY = ("SELECT rid, CASE WHEN rid % 97 = 0 THEN substr(full_word, 1, length(full_word) - 1) ELSE full_word END AS word, full_word "
+             "FROM (SELECT o_orderkey AS rid, CASE o_orderkey % 8 "
+             + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WORDS)) + " END AS full_word FROM {orders})")
+
+# Doubles from 1e-6 to 1e18, both signs and zero, exact in both engines.
+EV_DOUBLES = """
+SELECT event_id AS rid, CAST(CASE event_id % 12 WHEN 0 THEN CAST('0.0005' AS DOUBLE) WHEN 1 THEN CAST('-0.0005' AS DOUBLE)
+  WHEN 2 THEN CAST('1e16' AS DOUBLE) WHEN 3 THEN CAST('1.5e-5' AS DOUBLE) WHEN 4 THEN CAST('0' AS DOUBLE) WHEN 5 THEN CAST('123456789.25' AS DOUBLE)
+  WHEN 6 THEN CAST('1e18' AS DOUBLE) WHEN 7 THEN CAST('0.000123' AS DOUBLE) WHEN 8 THEN CAST('-2.5e17' AS DOUBLE) WHEN 9 THEN CAST('-1e-6' AS DOUBLE)
+  WHEN 10 THEN CAST('1e15' AS DOUBLE) + event_id ELSE event_id / CAST('2' AS DOUBLE) END AS DOUBLE) AS x FROM {events}
+"""
+
+RAW_LONG = """
+SELECT event_id AS rid, CAST(1234567890123456789 - event_id AS STRING) AS id19,
+ concat('9', lpad(CAST(event_id AS STRING), 20, '0')) AS id21, concat('7', lpad(CAST(event_id AS STRING), 44, '0')) AS id45,
+ concat(CAST(event_id AS STRING), '.5') AS half FROM {events}
+"""
+
+EV_TIES = """
+SELECT event_id AS rid, CASE event_id % 4 WHEN 0 THEN CAST('9' AS DOUBLE) WHEN 1 THEN CAST('10' AS DOUBLE) END AS num,
+ CASE event_id % 4 WHEN 2 THEN 'b' WHEN 3 THEN 'a' END AS txt, CASE WHEN event_id % 8 < 4 THEN event_id % 4 + 9 END AS whole FROM {events}
+"""
+
+RAW_DUPS = """
+SELECT event_id + 1 AS rid, CAST(event_id AS STRING) AS c0, event_type AS c1, CAST(user_id AS STRING) AS c2 FROM {events}
+UNION ALL SELECT 0, 'a', 'a_1', 'a'
+"""
+
+EV_UNCASED = """
+SELECT event_id AS rid, CASE event_id % 5 WHEN 0 THEN '中a 中A' WHEN 1 THEN 'ßa straße' WHEN 2 THEN 'o''neil-smith 3rd'
+ WHEN 3 THEN 'ÉCOLE élan' ELSE event_type END AS word FROM {events}
+"""
+
+EV_SPARSE = """
+SELECT CASE WHEN event_id = 0 THEN 0 ELSE 1000000000000000 + event_id END AS rid,
+ CASE WHEN event_id % 7 < 6 THEN NULL ELSE value END AS value FROM {events}
+"""
+
+FIXTURES = {"typo_many": TYPO_MANY, "ev_doubles": EV_DOUBLES, "raw_long": RAW_LONG, "ev_ties": EV_TIES, "raw_dups": RAW_DUPS,
+            "ev_uncased": EV_UNCASED, "ev_sparse": EV_SPARSE, "ev_dirty": EV_DIRTY, "ord_dups": ORD_DUPS, "ord_holes": ORD_HOLES,
             "cell_patches": CELL_PATCHES, "raw_header": RAW_HEADER}
 
 

@@ -9,6 +9,7 @@ from scrubjay.functions.exprs import round_half_away
 from scrubjay.operators import quality
 from scrubjay.operators.charts import bar_mean
 from scrubjay.plans.recipe import Recipe, Step
+from scrubjay.plans.table import RID
 from scrubjay.suite.base import fixture, query
 
 FLAGSHIP_SQL = """
@@ -28,9 +29,10 @@ GROUP BY event_type ORDER BY value DESC, category LIMIT 15
 @query("flagship_clean_chart", sql=FLAGSHIP_SQL, fixtures=("ev_dirty",))
 def flagship_clean_chart(spark, sf):
     t = fixture(spark, sf, "ev_dirty")
-    sc = quality.scan(t, text=False)  # profile: nulls, moments
-    fill = {r[0]: r[4] for r in quality.missing_rows(t, sc)}
-    outl = {r[0]: r[6] for r in quality.outliers_rows(t, sc)}
+    one = t.with_df(t.df.select(RID, "value"))  # only the column that gets cleaned is profiled
+    sc = quality.scan(one, text=False)  # profile: nulls, moments
+    fill = {r[0]: r[4] for r in quality.missing_rows(one, sc)}
+    outl = {r[0]: r[6] for r in quality.outliers_rows(one, sc)}
     r = Recipe(t)
     r = r.append(Step("fill_missing", "value", {"method": fill.get("value", "median")}))
     r = r.append(Step("handle_outliers", "value", {"method": outl.get("value", "cap")}))

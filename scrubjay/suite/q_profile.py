@@ -8,6 +8,7 @@ from scrubjay.functions.exprs import round_half_away
 
 from scrubjay.operators import profile as P
 from scrubjay.operators import quality as Q
+from scrubjay.plans.recipe import Recipe
 from scrubjay.plans.table import RID, Table
 from scrubjay.suite import sqlgen as G
 from scrubjay.suite.base import fixture, fixture_df, query, table
@@ -62,6 +63,20 @@ def prof_histogram(spark, sf):
     return P.histogram(fixture(spark, sf, "ev_dirty"), "value")
 
 
+@query("prof_all_histograms", " UNION ALL ".join(
+    f"SELECT * FROM ({G.histogram('ev_dirty', c, 'greatest(1, least(24, d))')})" for c in EV_NUM), EV)
+def prof_all_histograms(spark, sf):
+    return P.histograms(fixture(spark, sf, "ev_dirty"))
+
+
+@query("prof_top_values_all",
+       "SELECT * FROM (SELECT column, value, count, row_number() OVER (PARTITION BY column ORDER BY count DESC, value) AS rank "
+       "FROM (" + G.union([f"SELECT '{c}' AS column, {c} AS value, count(*) AS count FROM ev_dirty "
+                           f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in EV_STR]) + ")) WHERE rank <= 5", EV)
+def prof_top_values_all(spark, sf):
+    return P.top_values(fixture(spark, sf, "ev_dirty"), EV_STR).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("prof_histogram_discrete", G.histogram("lineitem", "l_discount", "greatest(1, least(24, d))"))
 def prof_histogram_discrete(spark, sf):
     li = table(spark, sf, "lineitem").select("l_discount").withColumn(RID, F.lit(0).cast("long"))
@@ -92,7 +107,14 @@ def prof_box(spark, sf):
     return P.box_summary(fixture(spark, sf, "ev_dirty"), "value")[0]
 
 
-@query("prof_box_points")
+BOX_POINTS_SQL = """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ev_dirty)
+SELECT 'value' AS column, rid AS _rid, round(value, 4) AS value FROM ev_dirty, q
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) ORDER BY md5(CAST(rid AS VARCHAR)), rid LIMIT 40
+"""
+
+
+@query("prof_box_points", BOX_POINTS_SQL, EV)
 def prof_box_points(spark, sf):
     """Deterministic sample of at most 40 outlier points (the sample is the feature)."""
     return P.box_summary(fixture(spark, sf, "ev_dirty"), "value")[1]
@@ -178,9 +200,15 @@ def qual_casing(spark, sf):
     return Q.casing(fixture(spark, sf, "ev_dirty"))
 
 
-@query("qual_typos")
+# Each misspelling lacks the last letter of a type of n letters: the matching ratio is 2 (n - 1) / (2 n - 1).
+@query("qual_typos",
+       "WITH w AS (SELECT type_typo, count(*) AS n FROM ev_dirty GROUP BY type_typo) "
+       "SELECT 'type_typo' AS column, b.type_typo AS value, g.type_typo AS match, "
+       "round(2.0 * length(b.type_typo) / (2 * length(b.type_typo) + 1), 4) AS score, b.n AS value_count, g.n AS match_count "
+       "FROM w b JOIN w g ON b.type_typo = substr(g.type_typo, 1, length(g.type_typo) - 1) "
+       "WHERE b.n < g.n AND 2.0 * length(b.type_typo) / (2 * length(b.type_typo) + 1) >= 0.85", EV)
 def qual_typos(spark, sf):
-    """difflib ratio (the reference's matcher): checked against brute force in tests."""
+    """The matching ratio of ``difflib``; also checked against brute force in tests."""
     return Q.typo_candidates(fixture(spark, sf, "ev_dirty"), ["type_typo"]) \
         .withColumn("score", round_half_away(F.col("score"), 4))
 
@@ -191,6 +219,25 @@ def qual_typos_lev(spark, sf):
         .withColumn("score", round_half_away(F.col("score"), 4))
 
 
+@query("qual_typo_mapping",
+       "WITH w AS (SELECT word, count(*) AS n FROM typo_many GROUP BY word) "
+       "SELECT 'word' AS column, b.word AS value, g.word AS match FROM w b JOIN w g ON b.word = substr(g.word, 1, length(g.word) - 1) "
+       "WHERE b.n < g.n", ("typo_many",))
+def qual_typo_mapping(spark, sf):
+    """Every pair of the typo findings (default metric), however many."""
+    t = fixture(spark, sf, "typo_many")
+    return Q.typo_mapping(Q.findings(t.with_df(t.df.drop("full_word"))))
+
+
+@query("qual_fix_typo_step", "SELECT rid, full_word AS word FROM typo_many", ("typo_many",))
+def qual_fix_typo_step(spark, sf):
+    """The findings' plan as steps, the typo step applied."""
+    t = fixture(spark, sf, "typo_many")
+    t = t.with_df(t.df.drop("full_word"))
+    steps = [s for s in Q.fix_steps(Q.findings(t)) if s.type == "fix_typos"]
+    return Recipe(t, tuple(steps)).result.df.select(F.col(RID).alias("rid"), "word")
+
+
 FINDINGS_SQL = G.findings("ev_dirty", EV_NUM, EV_OTHER, EV_STR, EV_COLS)
 
 

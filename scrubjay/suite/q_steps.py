@@ -3,12 +3,14 @@ ordered steps (sort, ffill/bfill, dedup) and cell patches."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from scrubjay.operators.patches import apply_patches, drop_rows
 from scrubjay.operators.quality import typo_candidates
 from scrubjay.operators.steps import apply_step
-from scrubjay.plans.recipe import Recipe, Step
+from scrubjay.plans.recipe import Recipe, Step, diff_cells
 from scrubjay.functions.exprs import round_half_away
 from scrubjay.plans.table import RID
 from scrubjay.sources.pages import slice_rows
@@ -47,6 +49,11 @@ def proj_header_row(spark, sf):
     return out(_step(spark, sf, "raw_header", "set_header_row", None, {"row": 0}))
 
 
+@query("proj_header_dups", "SELECT rid, CAST(c0 AS BIGINT) AS a, c1 AS a_1, CAST(c2 AS BIGINT) AS a_2 FROM raw_dups WHERE rid <> 0", ("raw_dups",))
+def proj_header_dups(spark, sf):
+    return out(_step(spark, sf, "raw_dups", "set_header_row", None, {"row": 0}))
+
+
 # -- filters ------------------------------------------------------------------------------------------
 def _filter(spark, sf, column, cond, value=None, show="event_type"):
     t = _step(spark, sf, "ev_dirty", "filter_rows", column, {"condition": cond, "value": value})
@@ -151,6 +158,16 @@ def fill_custom(spark, sf):
     return out(_step(spark, sf, "ev_dirty", "fill_missing", "value", {"method": "custom", "value": "-1"}), "value")
 
 
+def _ties_sql(c):
+    return f"coalesce({c}, (SELECT {c} FROM ev_ties WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}"
+
+
+@query("fill_mode_ties", "SELECT rid, " + ", ".join(map(_ties_sql, ("num", "txt", "whole"))) + " FROM ev_ties", ("ev_ties",))
+def fill_mode_ties(spark, sf):
+    """Equally frequent values: the smallest in the column's own type, for all columns at once."""
+    return out(_step(spark, sf, "ev_ties", "fill_missing", None, {"method": "mode"}))
+
+
 # -- type conversion ---------------------------------------------------------------------------------
 @query("cast_numeric", f"SELECT rid, {S.num('num_text')} AS num_text FROM ev_dirty", EV)
 def cast_numeric(spark, sf):
@@ -167,6 +184,27 @@ def cast_string(spark, sf):
     return out(_step(spark, sf, "ev_dirty", "convert_type", "value", {"target": "string"}), "value")
 
 
+@query("cast_string_double", "SELECT rid, CAST(x AS VARCHAR) AS x FROM ev_doubles", ("ev_doubles",))
+def cast_string_double(spark, sf):
+    return out(_step(spark, sf, "ev_doubles", "convert_type", "x", {"target": "string"}), "x")
+
+
+@query("filter_equals_double",
+       "SELECT rid, x FROM ev_doubles WHERE CAST(x AS VARCHAR) IN ('0.0005', '1e+16', '-1e-06', '0.0', '0.000123')", ("ev_doubles",))
+def filter_equals_double(spark, sf):
+    t = fixture(spark, sf, "ev_doubles")
+    parts = [out(apply_step(t, "filter_rows", "x", {"condition": "equals", "value": v}), "x")
+             for v in ("0.0005", "1e+16", "-1e-06", "0.0", "0.000123")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("cast_string_ts",
+       "SELECT rid, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
+       "ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ts FROM ev_dirty", EV)
+def cast_string_ts(spark, sf):
+    return out(_step(spark, sf, "ev_dirty", "convert_type", "ts", {"target": "string"}), "ts")
+
+
 # -- dates ----------------------------------------------------------------------------------------------------
 ALL_PARTS = ["year", "quarter", "month", "month_name", "day", "weekday", "hour"]
 _T = S.ts("date_text")
@@ -245,6 +283,13 @@ def case_title(spark, sf):
     return out(_step(spark, sf, "ev_dirty", "standardize_case", "type_case", {"case": "title"}), "type_case")
 
 
+@query("case_title_uncased",
+       "SELECT rid, CASE rid % 5 WHEN 0 THEN '中A 中A' WHEN 1 THEN 'Ssa Straße' WHEN 2 THEN 'O''Neil-Smith 3Rd' WHEN 3 THEN 'École Élan' "
+       "ELSE concat(upper(substr(word, 1, 1)), substr(word, 2)) END AS word FROM ev_uncased", ("ev_uncased",))
+def case_title_uncased(spark, sf):
+    return out(_step(spark, sf, "ev_uncased", "standardize_case", "word", {"case": "title"}), "word")
+
+
 @query("case_strip", f"SELECT rid, {S.strip('type_pad')} AS type_pad FROM ev_dirty", EV)
 def case_strip(spark, sf):
     return out(_step(spark, sf, "ev_dirty", "standardize_case", "type_pad", {"case": "strip"}), "type_pad")
@@ -331,8 +376,32 @@ def sort_stable(spark, sf):
     return _pos_out(t, "event_type", "value")
 
 
+_TS_TEXT = ("CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
+            "ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END")
+
+
+@query("src_slice_deep",
+       f"SELECT rid, value, {_TS_TEXT} AS ts, pos FROM (SELECT *, row_number() OVER (ORDER BY value DESC NULLS LAST, rid) - 1 AS pos "
+       "FROM ev_dirty) WHERE pos >= 300 AND pos < 350", EV)
+def src_slice_deep(spark, sf):
+    """The path of deep pages: positions looked up instead of a large top-k."""
+    t = _sorted(spark, sf, [Step("sort_values", "value", {"direction": "desc"})])
+    return slice_rows(t, page=6, size=50, pos="pos", top_k_max=0).select(F.col(RID).alias("rid"), "value", "ts", "pos")
+
+
+@query("src_slice_marks",
+       f"SELECT rid, type_pad, CASE WHEN rid % 4 = 0 THEN 'type_pad' ELSE '' END AS changed FROM (SELECT rid, {S.strip('type_pad')} AS type_pad "
+       "FROM ev_dirty) ORDER BY rid LIMIT 60 OFFSET 60", EV)
+def src_slice_marks(spark, sf):
+    """A page with the columns that the last step changed in each of its rows."""
+    before = fixture(spark, sf, "ev_dirty")
+    after = apply_step(before, "trim_whitespace", "type_pad")
+    page = slice_rows(after, page=1, size=60, changed=diff_cells(before, after))
+    return page.select(F.col(RID).alias("rid"), "type_pad", F.array_join("_changed", ",").alias("changed"))
+
+
 @query("src_slice",
-       "SELECT rid, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ev_dirty "
+       f"SELECT rid, value, {_TS_TEXT} AS ts FROM ev_dirty "
        "ORDER BY value DESC NULLS LAST, rid LIMIT 100 OFFSET 200", EV)
 def src_slice(spark, sf):
     t = _sorted(spark, sf, [Step("sort_values", "value", {"direction": "desc"})])
@@ -353,6 +422,14 @@ def win_bfill(spark, sf):
     return out(_step(spark, sf, "ev_dirty", "fill_missing", "value_sparse", {"method": "bfill"}), "value_sparse")
 
 
+@query("win_ffill_sparse_key",
+       "SELECT rid, last_value(value IGNORE NULLS) OVER (ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM ev_sparse",
+       ("ev_sparse",))
+def win_ffill_sparse_key(spark, sf):
+    """Row ids with a huge gap: blocks hold rows, not key ranges."""
+    return out(_step(spark, sf, "ev_sparse", "fill_missing", "value", {"method": "ffill"}), "value")
+
+
 @query("win_ffill_sorted",
        "SELECT rid, user_id, last_value(value_sparse IGNORE NULLS) OVER (ORDER BY user_id NULLS LAST, rid "
        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value_sparse FROM ev_dirty", EV)

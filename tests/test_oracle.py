@@ -26,7 +26,7 @@ def duck():
 
 def test_every_query_has_an_oracle_or_is_documented():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"prof_box_points", "qual_typos"}
+    assert not rows_only
     assert set(ORACLE) <= set(QUERIES)
 
 

@@ -11,7 +11,7 @@ from scrubjay.operators import quality as Q
 from scrubjay.operators.fills import directional_fill
 from scrubjay.operators.patches import apply_patches, drop_rows
 from scrubjay.operators.profile import histogram, top_values
-from scrubjay.operators.steps import apply_step, mode_value
+from scrubjay.operators.steps import apply_step, mode_values
 from scrubjay.plans.recipe import Recipe, Step, diff_cells, validate
 from scrubjay.plans.table import RID, Table
 from scrubjay.suite.base import fixture
@@ -46,7 +46,7 @@ def test_ffill_follows_sort_order(spark):
 
 def test_mode_ties_take_smallest(spark):
     t = small_table(spark, [(i, v) for i, v in enumerate(["b", "a", "b", "a", "c"])], "id long, v string")
-    assert mode_value(t, "v") == "a"
+    assert mode_values(t, ["v"]) == {"v": "a"}
 
 
 def test_dedup_keeps_first_and_is_idempotent(spark):
