@@ -194,6 +194,19 @@ def chart_slots(t: Table) -> DataFrame:
     return t.df.sparkSession.createDataFrame(rows, "column string, is_num boolean, is_cat boolean")
 
 
+# Each chart's slots, what they take (number, category, any column) and whether they must be filled.
+CHART_SLOTS = [("histogram", "x", "num", True), ("bar", "x", "cat", True), ("bar", "y", "num", False), ("scatter", "x", "num", True),
+               ("scatter", "y", "num", True), ("box", "x", "cat", False), ("box", "y", "num", True), ("line", "x", "any", False),
+               ("line", "y", "num", True), ("pie", "x", "cat", True), ("pie", "y", "num", False)]
+
+
+def chart_options(t: Table) -> DataFrame:
+    """``(chart, slot, required, column)``: the columns that suit every slot of every chart."""
+    kinds = chart_slots(t).select("column", F.explode(F.array(F.lit("any"), F.when(F.col("is_num"), "num"), F.when(F.col("is_cat"), "cat"))).alias("kind"))
+    slots = t.df.sparkSession.createDataFrame(CHART_SLOTS, "chart string, slot string, kind string, required boolean")
+    return kinds.where("kind IS NOT NULL").join(F.broadcast(slots), "kind").select("chart", "slot", "required", "column")
+
+
 # -- V10 -------------------------------------------------------------------------------------------------------
 AUTO_SCHEMA = "chart string, column string, label string, value double"
 

@@ -279,27 +279,51 @@ def trim_bins(hist: DataFrame) -> DataFrame:
 
 
 # -- P6 ----------------------------------------------------------------------------------------------
+BOX_SCHEMA = ("column string, min double, q1 double, median double, q3 double, max double, "
+              "whisk_lo double, whisk_hi double, n_outliers long")
+
+
+def _boxes(t: Table, columns, method: str) -> dict:
+    """``{column: (n, min, q1, median, q3, max, whisker low, high, outliers)}``, all columns in shared passes."""
+    v = {c: col(c).cast("double") for c in columns}
+    st = agg_dict(t.df, [(f"{k}{i}", f(v[c]), 1) for i, c in enumerate(columns)
+                         for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]) if columns else {}
+    stats = {c: (st[f"n{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(columns) if st[f"n{i}"]}
+    if not stats:
+        return {}
+    qs = quantiles(t.df, [(c, v[c], None) for c in stats], [0.25, 0.5, 0.75], method=method, stats=stats)
+    fences = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in qs.items()}
+    items = []
+    for i, (c, (lo, hi)) in enumerate(fences.items()):
+        inside = (v[c] >= F.lit(lo)) & (v[c] <= F.lit(hi))
+        items += [(f"wl{i}", F.min(F.when(inside, v[c])), 1), (f"wh{i}", F.max(F.when(inside, v[c])), 1),
+                  (f"no{i}", F.count(F.when((v[c] < F.lit(lo)) | (v[c] > F.lit(hi)), 1)), 1)]
+    w = agg_dict(t.df, items)
+    out = {}
+    for i, c in enumerate(fences):
+        q1, med, q3 = qs[c]
+        wl, wh = w[f"wl{i}"], w[f"wh{i}"]
+        out[c] = (stats[c][0], stats[c][1], q1, med, q3, stats[c][2], q1 if wl is None else wl, q3 if wh is None else wh, w[f"no{i}"])
+    return out
+
+
+def box_summaries(t: Table, columns=None, method: str = "exact") -> DataFrame:
+    """Five-number summaries with IQR whiskers and outlier counts, one row per
+    numeric column with values; every pass is shared by all columns."""
+    rows = [(c, *map(_r4, b[1:8]), b[8]) for c, b in _boxes(t, list(columns or numeric_columns(t)), method).items()]
+    return t.df.sparkSession.createDataFrame(rows, BOX_SCHEMA)
+
+
 def box_summary(t: Table, column: str, max_points: int = 40, method: str = "exact"):
-    """Five-number summary with IQR whiskers and a deterministic sample of
-    outlier points.  Returns ``(summary DataFrame, points DataFrame)``."""
+    """One column's box and a deterministic sample of its outlier points.
+    Returns ``(summary DataFrame, points DataFrame)``."""
     v = col(column).cast("double")
-    spark = t.df.sparkSession
-    st = t.df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    schema = ("column string, min double, q1 double, median double, q3 double, max double, "
-              "whisk_lo double, whisk_hi double, n_outliers long")
-    if not st["n"]:
-        return spark.createDataFrame([], schema), spark.createDataFrame([], "column string, _rid long, value double")
-    q1, med, q3 = quantiles(t.df, [(column, v, None)], [0.25, 0.5, 0.75], method=method,
-                            stats={column: (st["n"], st["lo"], st["hi"])})[column]
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-    inside = (v >= F.lit(lo_f)) & (v <= F.lit(hi_f))
-    outside = (v < F.lit(lo_f)) | (v > F.lit(hi_f))
-    w = t.df.agg(F.min(F.when(inside, v)).alias("wl"), F.max(F.when(inside, v)).alias("wh"),
-                 F.count(F.when(outside, 1)).alias("no")).first()
-    summary = spark.createDataFrame([(column, _r4(st["lo"]), _r4(q1), _r4(med), _r4(q3), _r4(st["hi"]),
-                                      _r4(w["wl"] if w["wl"] is not None else q1),
-                                      _r4(w["wh"] if w["wh"] is not None else q3), w["no"])], schema)
+    box = _boxes(t, [column], method).get(column)
+    summary = t.df.sparkSession.createDataFrame([(column, *map(_r4, box[1:8]), box[8])] if box else [], BOX_SCHEMA)
+    if not box:
+        return summary, t.df.sparkSession.createDataFrame([], "column string, _rid long, value double")
+    _, _, q1, _, q3, _, _, _, _ = box
+    outside = (v < F.lit(q1 - 1.5 * (q3 - q1))) | (v > F.lit(q3 + 1.5 * (q3 - q1)))
     points = (t.df.where(outside).select(F.lit(column).alias("column"), F.col(RID), round_half_away(v, 4).alias("value"))
               .orderBy(F.md5(F.col(RID).cast("string")), F.col(RID)).limit(max_points))
     return summary, points

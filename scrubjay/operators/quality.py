@@ -28,7 +28,7 @@ from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_l
                                       is_upper, pround, to_num)
 from scrubjay.functions.quantiles import quantiles
 from scrubjay.plans.table import Table
-from scrubjay.operators.profile import HISTOGRAM_SCHEMA, duplicate_count, histograms
+from scrubjay.operators.profile import BOX_SCHEMA, HISTOGRAM_SCHEMA, box_summaries, duplicate_count, histograms
 from scrubjay.session import staged
 
 # Rule thresholds of the quality report.
@@ -231,6 +231,13 @@ def outliers_rows(t: Table, sc: Scan | None = None, method: str = "exact") -> li
     return out
 
 
+def outlier_boxes(t: Table, found: DataFrame | None = None, method: str = "exact") -> DataFrame:
+    """The box summary shown beside each outlier finding, one row per column with one."""
+    found = found or outliers(t, method=method)
+    columns = [r["column"] for r in found.select("column").collect()]
+    return box_summaries(t, columns, method) if columns else t.df.sparkSession.createDataFrame([], BOX_SCHEMA)
+
+
 # -- Q5 / Q6 ------------------------------------------------------------------------------------------
 DATE_FMT_SCHEMA = "column string, format string, count long"
 CASING_SCHEMA = "column string, lower long, upper long, title long, mixed long"

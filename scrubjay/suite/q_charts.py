@@ -118,6 +118,21 @@ def chart_slots(spark, sf):
     return C.chart_slots(fixture(spark, sf, "ev_dirty"))
 
 
+_SLOTS = ("('histogram', 'x', 'num', true), ('bar', 'x', 'cat', true), ('bar', 'y', 'num', false), ('scatter', 'x', 'num', true), "
+          "('scatter', 'y', 'num', true), ('box', 'x', 'cat', false), ('box', 'y', 'num', true), ('line', 'x', 'any', false), "
+          "('line', 'y', 'num', true), ('pie', 'x', 'cat', true), ('pie', 'y', 'num', false)")
+
+
+@query("chart_options",
+       f"WITH s(chart, slot, kind, required) AS (VALUES {_SLOTS}), c AS (" + G.union([
+           f"SELECT '{c}' AS column, {str(c in _EV_NUM).lower()} AS is_num, "
+           f"(NOT {str(c in _EV_NUM).lower()} OR count(DISTINCT {c}) <= 20) AS is_cat FROM ev_dirty" for c in EV_COLS]) + ") "
+       "SELECT chart, slot, required, column FROM s JOIN c ON kind = 'any' OR (kind = 'num' AND is_num) OR (kind = 'cat' AND is_cat)",
+       ("ev_dirty",))
+def chart_options(spark, sf):
+    return C.chart_options(fixture(spark, sf, "ev_dirty"))
+
+
 @query("chart_auto",
        "SELECT 'histogram' AS chart, column, CAST(bin AS VARCHAR) AS label, CAST(count AS DOUBLE) AS value FROM ("
        + G.histogram("ord_holes", "price", "least(50, greatest(10, n // 20))") + ") "

@@ -107,6 +107,21 @@ def prof_box(spark, sf):
     return P.box_summary(fixture(spark, sf, "ev_dirty"), "value")[0]
 
 
+BOX_ALL_SQL = " UNION ALL ".join(
+    "SELECT * FROM (" + BOX_SQL.replace("(value", f"({c}").replace("value >=", f"{c} >=").replace("value <", f"{c} <")
+    .replace("value >", f"{c} >").replace("'value'", f"'{c}'") + ")" for c in EV_NUM)
+
+
+@query("prof_box_all", BOX_ALL_SQL, EV)
+def prof_box_all(spark, sf):
+    return P.box_summaries(fixture(spark, sf, "ev_dirty"))
+
+
+@query("qual_outlier_boxes", "SELECT b.* FROM (" + BOX_ALL_SQL + ") b WHERE b.n_outliers > 0", EV)
+def qual_outlier_boxes(spark, sf):
+    return Q.outlier_boxes(fixture(spark, sf, "ev_dirty"))
+
+
 BOX_POINTS_SQL = """
 WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ev_dirty)
 SELECT 'value' AS column, rid AS _rid, round(value, 4) AS value FROM ev_dirty, q
