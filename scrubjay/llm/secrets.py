@@ -140,18 +140,18 @@ def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", le
     islands = seen.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"),
                                                 F.min(F.col("verdict") == "example").alias("example"))
     islands = islands.withColumn("after", F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0)))
-    cuts = islands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "after", "example"))).alias("cuts"),
-                                      F.max("end").alias("last"))
+    cuts = islands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "after", "example"))).alias("__cuts"),
+                                      F.max("end").cast("int").alias("__last")).withColumnRenamed("row", "__cut_row")
     text = _text(found, text_col)
     piece = lambda c: F.concat(F.substring(text, c["after"].cast("int") + 1, (c["start"] - c["after"]).cast("int")),
                                F.when(c["example"], "[EXAMPLE]").otherwise("[SECRET]"))
-    masked = F.concat(F.array_join(F.transform("cuts", piece), ""), F.substring(text, F.col("last").cast("int") + 1, F.length(text)))
-    hits = found.join(cuts, F.col("__row") == F.col("row"), "left").withColumn(
-        text_col, F.when(F.col("cuts").isNull(), F.col(f"`{text_col}`")).otherwise(masked))
+    masked = F.concat(F.array_join(F.transform("__cuts", piece), ""), F.substring(text, F.col("__last") + 1, F.length(text)))
+    same = F.col("__cuts").isNull()
+    hits = found.join(cuts, F.col("__row") == F.col("__cut_row"), "left").withColumn(
+        text_col, F.when(same, F.col(f"`{text_col}`")).otherwise(masked))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        hits = hits.withColumn(length_col, F.when(F.col("cuts").isNull(), F.col(f"`{length_col}`"))
-                               .otherwise(F.length(text_col).cast(kind)))
+        hits = hits.withColumn(length_col, F.when(same, F.col(f"`{length_col}`")).otherwise(F.length(text_col).cast(kind)))
     rest = docs.where(~_text(docs, text_col).rlike(ANY))
     return rest.unionByName(hits.select(*[F.col(f"`{c}`") for c in docs.columns]))
 

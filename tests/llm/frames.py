@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, size long, score double, key string, id string, part int, end long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, size long, score double, key string, id string, part int, end long, row long, last int, cuts string, start long, n int, v string, hash string, component long, grp long, label int, letter int"
 
 
 def documents(spark, rows):
     """rows: (doc_id, text, lang, source); further columns clash with names that operators use."""
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), 7, 0.5, "k", "x", 3, 9) for i, t, g, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), 7, 0.5, "k", "x", 3, 9, 1, 2, "c", 4, 5, "v", "h", 6, 7, 8, 9) for i, t, g, s in rows], SCHEMA)
 
 
 def prose(rng: random.Random, n: int, words=("alpha", "Beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa")) -> str:
