@@ -10,6 +10,7 @@ from scrubjay.suite import sqlgen as G
 from scrubjay.suite.base import fixture, loaded, query
 from scrubjay.suite.q_steps import EV_COLS
 
+EV = ("ev_dirty",)
 OH = ("ord_holes",)
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
           "l_discount", "l_tax"]
@@ -143,6 +144,21 @@ def chart_auto(spark, sf):
     return C.auto_charts(fixture(spark, sf, "ord_holes"))
 
 
+_NUMS = ["user_id", "value", "value_sparse"]
+
+
+@query("chart_auto_dirty",
+       " UNION ALL ".join(
+           "SELECT 'histogram' AS chart, column, CAST(bin AS VARCHAR) AS label, CAST(count AS DOUBLE) AS value FROM ("
+           + G.histogram("ev_dirty", c, "least(50, greatest(10, n // 20))") + ")" for c in _NUMS)
+       + " UNION ALL SELECT * FROM (SELECT 'bar', 'type_case', type_case, CAST(count(*) AS DOUBLE) AS n FROM ev_dirty "
+       "WHERE type_case IS NOT NULL GROUP BY type_case ORDER BY n DESC, type_case LIMIT 15)"
+       + "".join(f" UNION ALL SELECT 'heatmap', '{a}', '{b}', round(corr({a}, {b}), 4) FROM ev_dirty" for a in _NUMS for b in _NUMS), EV)
+def chart_auto_dirty(spark, sf):
+    """Three numeric columns: three histograms and the correlation matrix; a text column of many values has no bars."""
+    return C.auto_charts(fixture(spark, sf, "ev_dirty"))
+
+
 @query("chart_scatter_points",
        "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem "
        "WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import round_half_away
 from scrubjay.plans.recipe import Recipe, Step, diff_cells, diff_counts
+from scrubjay.session import scratch_path
 from scrubjay.plans.table import RID
 from scrubjay.suite import sqlfrag as S
 from scrubjay.suite.base import fixture, out, query
@@ -55,6 +56,14 @@ def recipe_json_replay(spark, sf):
     return _chain_out(Recipe.from_json(fixture(spark, sf, "ev_dirty"), text).result)
 
 
+@query("recipe_saved_replay", CHAIN_SQL, EV)
+def recipe_saved_replay(spark, sf):
+    """The step log written to shared storage, read back and replayed."""
+    path = scratch_path(spark, "recipe")
+    Recipe(fixture(spark, sf, "ev_dirty"), CHAIN).save(spark, path)
+    return _chain_out(Recipe.load(spark, fixture(spark, sf, "ev_dirty"), path).result)
+
+
 @query("recipe_dry_run",
        "WITH ch AS (SELECT rid, type_case AS before, upper(type_case) AS after FROM ev_dirty "
        "WHERE type_case IS DISTINCT FROM upper(type_case)), m AS (SELECT count(*) AS cells FROM ch) "
