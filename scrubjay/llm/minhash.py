@@ -52,12 +52,12 @@ def signatures(shingle: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _sets(column: pa.Array):
-    """Per chunk of documents: list of sorted distinct shingles."""
+    """Per chunk [a, b) of documents: a, b and the list of their sorted distinct shingles."""
     data, offsets = textnum.text_buffers(column)
     for a, b in textnum.chunks(offsets):
         shingle, count = textnum.sequences(*textnum.words(data, offsets, a, b, textnum.PLAIN), WORDS)
         end = np.cumsum(count).tolist()
-        yield [np.unique(shingle[x:y]) for x, y in zip([0, *end], end)]
+        yield a, b, [np.unique(shingle[x:y]) for x, y in zip([0, *end], end)]
 
 
 def _key(s: np.ndarray) -> str:
@@ -66,20 +66,19 @@ def _key(s: np.ndarray) -> str:
 
 def _describe(batches):
     for batch in batches:
-        size, key, sig = [], [], []
-        for sets in _sets(batch.column(1)):
+        for a, b, sets in _sets(batch.column(1)):
+            size = np.array([len(s) for s in sets], np.int64)
             some = [s for s in sets if len(s)]
-            size += [len(s) for s in sets]
-            key += [_key(s) if len(s) else None for s in sets]
-            made = iter(signatures(np.concatenate(some), np.array([len(s) for s in some])).view(np.int32).tolist() if some else [])
-            sig += [next(made) if len(s) else None for s in sets]
-        yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.string()), pa.array(sig, pa.list_(pa.int32()))],
-                              names=["doc_id", "n_shingles", "key", "signature"])
+            sig = signatures(np.concatenate(some), size[size > 0]) if some else np.empty((0, COORDINATES), np.uint32)
+            cut = np.append(0, np.cumsum(size > 0) * COORDINATES).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(cut), pa.array(sig.view(np.int32).ravel()))
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array([_key(s) if len(s) else None for s in sets], pa.string()),
+                                   listed], names=["doc_id", "n_shingles", "key", "signature"])
 
 
 def _whole_sets(batches):
     for batch in batches:
-        for sets in _sets(batch.column(0)):
+        for _, _, sets in _sets(batch.column(0)):
             some = [s for s in sets if len(s)]
             yield pa.record_batch([pa.array([_key(s) for s in some], pa.string()), pa.array([s.tobytes() for s in some], pa.binary())],
                                   names=["key", "shingles"])
@@ -186,7 +185,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, key string, signature array<int>"), "described")
     classes = written(described.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+        F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     grouped = written(candidate_groups(classes), "grouped")
     ids = grouped.select(F.col("doc").alias("rep")).distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -200,12 +199,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     joined = components(solved.where("NOT whole").select(F.col("key").alias("a"), F.col("root").alias("b")), "near").where("node <> root")
     roots = solved.where("whole").select("key", "root").unionByName(joined.select(F.col("node").alias("key"), "root"))
     roots = roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-    least = classes.select("key", "doc")
+    least = classes.select("key", "doc", "rows")
     named = roots.join(least, "key").groupBy("root").agg(F.min("doc").alias("component"))
-    classed = least.join(roots.join(named, "root").select("key", "component"), "key", "left").select(
-        "key", F.coalesce("component", "doc").alias("component"))
+    classed = least.join(roots.join(named, "root").select("key", "component"), "key", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    # a class of one row without links is its own component: only the others are looked up, and a hot
+    # class is split by the join, both sides being plain exchanges
+    classed = written(classed.where("rows > 1 OR NOT component <=> doc").select("key", "component", F.lit(True).alias("linked")), "classed")
     out = described.select("doc_id", "n_shingles", "key").join(classed, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
