@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubjay.llm import bpe, minhash, mixing, secrets, toxicity
-from scrubjay.llm.common import scratch_path, table
+from scrubjay.llm.common import table
+from scrubjay.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,53 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.session import ensure_checkpoint_dir
-
-_SCRATCH: list[tuple] = []
+from scrubjay.session import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the session's checkpoint folder, deleted when the driver ends."""
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(_delete_scratch)
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def _delete_scratch() -> None:
-    for spark, path in _SCRATCH:
-        try:
-            sc = spark.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may already be gone; the folder is scratch
-            return
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table written once to shared storage and read back.
-
-    Cuts the lineage like ``checkpoint()`` but evaluates ``df`` a single time
-    and stores it in columns; a lost executor only costs a re-read.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table written once to shared storage and read back; a lost executor only costs a re-read."""
+    return staged(df, f"llm-{tag}")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -56,6 +27,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
+def in_share(key: Column, wanted: int, total: int) -> Column:
+    """Holds for about four times ``wanted`` of ``total`` rows, chosen by an md5 text: what a top-``wanted``
+    by that text then sorts does not grow with the number of tasks."""
+    bound = min(1 << 32, math.ceil(4 * wanted / max(1, total) * (1 << 32)) + (1 << 32) * 16 // max(16, total))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < F.lit(bound)
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.select(F.lit(1)).take(1))
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scrubjay.llm import bpe, covertree, langid, licenses, minhash, mixing, secrets, token_files, topk, toxicity
-from scrubjay.llm.common import fold, scratch_path, table
+from scrubjay.llm.common import fold, table
+from scrubjay.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,15 +23,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@functools.lru_cache(maxsize=4)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers of ``base`` at least; one array per base is kept."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(CHUNK, 1 << (n - 1).bit_length()) + 1, base, _U)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base]
 
 
-def _span(n: int) -> int:
-    return max(CHUNK, 1 << (n - 1).bit_length()) + 1
+def blocks(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes in its text ``column``, one row at least."""
+    _, offsets = text_buffers(batch.column(column))
+    for a, b in chunks(offsets, size):
+        yield batch.slice(a, b - a)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +56,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), at
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of documents with at most CHUNK bytes, one document at least."""
+def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of documents with at most ``size`` bytes, one document at least."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, b
         a = b
 
@@ -77,8 +85,8 @@ def segments(value: np.ndarray, start: np.ndarray, *ends: np.ndarray, several: b
     """64-bit hash of the values from ``start`` to each of ``ends``; values are greater than 0."""
     n = len(value)
     total = np.zeros(n + 1, _U)
-    np.cumsum(value * _powers(_BASE, _span(n))[:n], out=total[1:])
-    shift = _powers(_INVERSE, _span(n))[start]
+    np.cumsum(value * _powers(_BASE, n + 1)[:n], out=total[1:])
+    shift = _powers(_INVERSE, n + 1)[start]
     out = [mix((total[e] - total[start]) * shift) for e in ends]
     return out if several else out[0]
 

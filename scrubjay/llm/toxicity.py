@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubjay.llm import textnum
-from scrubjay.llm.common import fold, written
+from scrubjay.llm.common import fold, in_share, written
 
 BITS = 20
 #: Bytes of the stems.
 STEMS = (4, 5, 6)
 #: Labelled rows that training reads at most (the documented bound of the fit).
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 12_000
 EPOCHS = 2
 #: Per-coordinate rate, its offset, and the L1 and L2 strengths.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
@@ -49,16 +49,15 @@ def _grams(data: np.ndarray, offsets: np.ndarray, a: int, b: int):
 
 
 def _features(batches):
+    """The sorted distinct buckets of each text, the bias last."""
     for batch in batches:
-        data, offsets = textnum.text_buffers(batch.column(2))
-        out = []
-        for a, b in textnum.chunks(offsets):
-            got = list(_grams(data, offsets, a, b))
-            both = np.unique(np.concatenate([d << BITS | f for f, d in got]))
-            cut = np.searchsorted(both, np.arange(b - a + 1) << BITS)
+        for block in textnum.blocks(batch, 2):
+            data, offsets = textnum.text_buffers(block.column(2))
+            both = np.unique(np.concatenate([d << BITS | f for f, d in _grams(data, offsets, 0, block.num_rows)]))
+            cut = np.searchsorted(both, np.arange(block.num_rows + 1) << BITS)
             low = (both & ((1 << BITS) - 1)).astype("<i4")
-            out += [low[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "label", "features"])
+            out = [np.append(low[x:y], np.int32(1 << BITS)).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch([block.column(0), block.column(1), pa.array(out, pa.binary())], names=["key", "label", "features"])
 
 
 class Ftrl:
@@ -85,8 +84,7 @@ def _sigmoid(x):
 
 def _train(batches):
     bias = 1 << BITS
-    rows = [(np.append(np.frombuffer(f, "<i4"), bias), y) for b in batches
-            for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    rows = [(np.frombuffer(f, "<i4"), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     model = Ftrl(bias + 1)
     for _ in range(EPOCHS):
         for at, label in rows:
@@ -104,8 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     ids = docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id").distinct().join(known, "doc_id")
-    ids = ids.withColumn("key", F.md5(F.col("doc_id").cast("string")))
-    sample = written(ids.orderBy("key").limit(max_rows), "labelled")  # at most max_rows short rows: broadcast
+    ids = written(ids.withColumn("key", F.md5(F.col("doc_id").cast("string"))), "labelled")
+    few = ids.where(in_share(F.col("key"), max_rows, ids.count()))
+    sample = written(few.orderBy("key").limit(max_rows), "sample")  # at most max_rows short rows: broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.dropDuplicates(["doc_id"]).select("key", F.col("label").cast("int").alias("label"), "text")
     features = rows.mapInArrow(_features, "key string, label int, features binary")
