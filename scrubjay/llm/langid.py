@@ -7,7 +7,9 @@ unseen one the escape ``-log2(distinct / (total + distinct))`` and then its
 cost in the next shorter context, down to 8 bits. Statistics are frozen after
 training, so the cost of a byte depends on itself and the bytes before it
 alone: costs are resolved once for every string of the trees, and a text's
-exact code length in every language is a sum of table rows.
+exact code length in every language is a sum of table rows.  Passages in
+another language do not decide: any window of a text may switch to the language
+that codes it best, for a fixed price.
 
 Trees come from a bounded sample (``MAX_DOCS`` whole documents a language, by
 hash of the id). Scoring reads each text where it lies, without a shuffle.
@@ -15,21 +17,26 @@ hash of the id). Scoring reads each text where it lies, without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubjay.llm import textnum
-from scrubjay.llm.common import fold, written
+from scrubjay.llm.common import fold, in_share, written
 from scrubjay.llm.textnum import Lookup
 
 #: Longest context in bytes.
 ORDER = 3
 #: Training documents per language (the documented bound of the fit).
 MAX_DOCS = 400
-#: Bytes scored together; longer texts are scored piece by piece, contexts kept.
+#: Bytes scored together (a multiple of WINDOW); longer texts are scored piece by piece, contexts kept.
 PIECE = 1 << 18
+#: Bytes that may be in another language than the text, and the price in bits of each such window.
+WINDOW, SWITCH = 64, 24.0
 _PAD = b"\n" * ORDER  # stands before a text
 
 
@@ -119,8 +126,12 @@ class Trees:
                 out[left] += 8.0
         return out
 
-    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length in bits of every text, in each language."""
+    def lengths(self, data: np.ndarray, offsets: np.ndarray, switch: float | None = None) -> np.ndarray:
+        """Code length in bits of every text, in each language.
+
+        With ``switch``, a window of ``WINDOW`` bytes may be coded in the
+        language that is shortest for it at a price of so many bits.
+        """
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         parts, owner, size = [], [], 0
 
@@ -128,11 +139,16 @@ class Trees:
             nonlocal parts, owner, size
             buf = np.frombuffer(b"".join(parts) + _PAD, np.uint8)
             cost = self.bits(buf)
-            # each part is ORDER bytes of context and its text; sums go to the part's document
+            # each part is ORDER bytes of context and its text: cuts at its windows' starts and its end
             length = np.array([len(p) for p in parts])
             end = np.cumsum(length) - ORDER
-            cut = np.stack([end + ORDER - length, end], 1).ravel()
-            np.add.at(out, owner, np.add.reduceat(cost, cut, axis=0, dtype=float)[::2])
+            windows = -((ORDER - length) // WINDOW)
+            place = np.arange(int((windows + 1).sum())) - np.repeat(np.cumsum(windows + 1) - windows - 1, windows + 1)
+            cut = np.minimum(np.repeat(end + ORDER - length, windows + 1) + WINDOW * place, np.repeat(end, windows + 1))
+            each = np.add.reduceat(cost, cut, axis=0, dtype=float)[place < np.repeat(windows, windows + 1)]
+            if switch is not None:
+                each = np.minimum(each, each.min(1, keepdims=True) + switch)
+            np.add.at(out, np.repeat(owner, windows), each)
             parts, owner, size = [], [], 0
 
         for i in range(len(offsets) - 1):
@@ -153,8 +169,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         (fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
     count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    by_hash = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_docs)
+    ids = known.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("key"))
+    few = [(F.col("lang") == lang) & in_share(F.col("key"), max_docs, n) for lang, n in count.items()]
+    by_hash = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ids = ids.where(reduce(or_, few, F.lit(False))).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_docs)
     sample = written(ids.select("doc_id").distinct(), "taught")  # at most max_docs ids a language: broadcast
     counts = known.join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(
         _counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
@@ -182,7 +200,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
             letters = np.array(batch.column(2).to_pylist(), bool)
             n = batch.num_rows
             if t.langs and n:
-                bits = t.lengths(*textnum.text_buffers(batch.column(1))) + t.prior
+                bits = t.lengths(*textnum.text_buffers(batch.column(1)), SWITCH) + t.prior
                 best = np.argmin(bits, 1)
                 share = 1 / np.exp2(np.minimum(0, bits[np.arange(n), best][:, None] - bits)).sum(1)
                 name = np.array(t.langs, object)[best]

@@ -46,6 +46,7 @@ def test_bpe_is_the_library(spark):
 def test_bpe_forgets_without_changing_results():
     with open(WORD, "rb") as f:
         c = bpe.Codec(f.read())
+    assert c.decode([int(i) for i in c.id_text[c.encode(["hello"])[0][0]].split()]) == c.decoded[c.words["hello"]]
     one = [[c.id_text[w] for w in d] for d in c.encode(["some words", "more words"])]
     c._forget()
     assert one[1] == [c.id_text[w] for w in c.encode(["more words"])[0]]
@@ -191,10 +192,19 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     trees = langid.Trees(["a"], np.zeros(1), grams)
     data = np.frombuffer(b"hello word, held low" * 40, np.uint8)
     whole = trees.lengths(data, np.array([0, len(data)]))
-    monkeypatch.setattr(langid, "PIECE", 7)
+    monkeypatch.setattr(langid, "PIECE", 128)
     assert trees.lengths(data, np.array([0, len(data)])) == pytest.approx(whole)
 
 
+def test_a_foreign_passage_does_not_decide(spark):
+    rng = random.Random(11)
+    given = [(i, " ".join(rng.choices(SPEECH[lang], k=40)), lang, "s") for i, lang in enumerate(list(SPEECH) * 100)]
+    mixed = " ".join(rng.choices(SPEECH["en"], k=150) + rng.choices(SPEECH["de"], k=50) + rng.choices(SPEECH["en"], k=150))
+    docs = documents(spark, given + [(9000, mixed, None, "s")])
+    out = {r["doc_id"]: r for r in rows(langid.predict(docs, langid.fit(docs)))}
+    assert out[9000]["lang_pred"] == "en"
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     given, labels = [], []
