@@ -23,7 +23,7 @@ from scrubjay.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents per bin of a source's shuffled order.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
