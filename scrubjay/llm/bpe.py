@@ -16,19 +16,19 @@ import hashlib
 import heapq
 import itertools
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubjay.llm import textnum
 from scrubjay.llm.pretokens import WORD_LEVEL, Splitter, byte_symbols, lower_nfc
 
-#: Pretokens a task remembers; past this the cache starts anew (results do not change).
-CACHE = 300_000
-#: Characters of text whose new pretokens are merged together.
-BLOCK_CHARS = 12_000_000
+#: Pretokens a worker remembers (about 300 bytes each); past this it starts anew (results do not change).
+CACHE = 150_000
+#: Bytes of text whose new pretokens are merged together.
+BLOCK = 4 << 20
 
 
 class PairIndex:
@@ -129,22 +129,20 @@ class Codec:
 
     def _forget(self) -> None:
         self.words = Lexicon({s: k for k, s in enumerate(self.specials)})
-        self.ids = [(i,) for i in self.specials.values()]
         self.id_text = [str(i) for i in self.specials.values()]
         self.decoded = list(self.specials)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Each text as numbers of pretokens, whose ``ids``, ``id_text`` and ``decoded`` the codec then knows."""
+        """Each text as numbers of pretokens, whose ``id_text`` and ``decoded`` the codec then knows."""
         if len(self.words) > CACHE:
             self._forget()
         number = self.words.__getitem__
         docs = [np.array(list(map(number, self.splitter.split(t))), np.int32) for t in texts]
-        if new := list(itertools.islice(self.words, len(self.ids), None)):
+        if new := list(itertools.islice(self.words, len(self.id_text), None)):
             flat, size = self.index.encode([w.encode() for w in new])
             flat, end = flat.tolist(), np.cumsum(size).tolist()
             number, token = [self.number[i] for i in flat], [self.token[i] for i in flat]
             for a, b in zip([0, *end], end):
-                self.ids.append(tuple(flat[a:b]))
                 self.id_text.append(" ".join(number[a:b]))
                 self.decoded.append(" ".join(token[a:b]))  # as decode() does
         return docs
@@ -159,18 +157,6 @@ def codec(raw: bytes) -> Codec:
     return Codec(raw)
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    block, chars = [], 0
-    for t in texts:
-        block.append(t)
-        chars += len(t)
-        if chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
-
-
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string",
            "decoded_sha256": "string"}
 
@@ -194,24 +180,19 @@ def encode_decode(docs: DataFrame, vocab_path: str, outputs: tuple[str, ...] = (
     def run(batches):
         c = codec(raw.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = {name: [] for name in outputs}
-            for block in _blocks(texts):
-                for words in map(np.ndarray.tolist, c.encode(block)):
+            for block in textnum.blocks(batch, 1, BLOCK):
+                out = {name: [] for name in outputs}
+                for words in map(np.ndarray.tolist, c.encode([t or "" for t in block.column(1).to_pylist()])):
                     id_text = " ".join([c.id_text[w] for w in words])
                     decoded = " ".join([c.decoded[w] for w in words])
+                    made = {"ids": lambda t=id_text: [int(i) for i in t.split()], "n_tokens": lambda t=id_text: t.count(" ") + 1 if t else 0,
+                            "decoded": lambda t=decoded: t, "ids_sha256": lambda t=id_text: sha(t), "decoded_sha256": lambda t=decoded: sha(t)}
                     for name in outputs:
-                        out[name].append(
-                            id_text.count(" ") + 1 if name == "n_tokens" and words else
-                            0 if name == "n_tokens" else
-                            sha(id_text) if name == "ids_sha256" else
-                            sha(decoded) if name == "decoded_sha256" else
-                            decoded if name == "decoded" else
-                            [i for w in words for i in c.ids[w]])
-            types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            yield pa.record_batch([batch.column(0), *(pa.array(out[n], types.get(n, pa.string())) for n in outputs)],
-                                  names=["id", *outputs])
+                        out[name].append(made[name]())
+                yield pa.record_batch([block.column(0), *(pa.array(out[n], types.get(n, pa.string())) for n in outputs)],
+                                      names=["id", *outputs])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"id {kind}", *(f"{n} {OUTPUTS[n]}" for n in outputs)])
