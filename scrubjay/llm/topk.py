@@ -33,8 +33,9 @@ def valid(vec: Column) -> Column:
     return vec.isNotNull() & F.coalesce(F.forall(vec, ok), F.lit(False))
 
 
-def _pack(rows: DataFrame, size: int, kind: str) -> DataFrame:
-    """(dim, block, ids, values): vectors of one dimension in blocks of about ``size``, dealt by hash of the id."""
+def _pack(rows: DataFrame, size: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """((dim, block, ids, values): vectors of one dimension in blocks of about ``size``, dealt by hash of the id;
+    (dim, blocks): the number of blocks of each dimension)."""
     per = written(rows.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("blocks")), "dims")
     dealt = rows.join(per, "dim").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
 
@@ -46,8 +47,22 @@ def _pack(rows: DataFrame, size: int, kind: str) -> DataFrame:
                          "values": [flat[order].astype("<i8").tobytes()]},
                         schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("values", pa.binary())]))
 
-    return written(dealt.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(
-        pack, "dim int, block long, ids binary, values binary"), kind)
+    packed = dealt.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(
+        pack, "dim int, block long, ids binary, values binary")
+    return written(packed, kind), per
+
+
+def _tiles(queries: tuple[DataFrame, DataFrame], candidates: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(dim, q_ids, q, ids, values): every block of queries beside every block of candidates.
+
+    Each side is copied once for every block of the other under the tile's
+    number, so that a tile is a join key of its own and a task's work of its own."""
+    (q, q_per), (c, c_per) = queries, candidates
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = q.join(c_per, "dim").select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q"),
+                                       every("blocks").alias("block"))
+    right = c.join(q_per, "dim").select("dim", "block", "ids", "values", every("blocks").alias("q_block"))
+    return left.join(right, ["dim", "q_block", "block"]).select("dim", "q_ids", "q", "ids", "values")
 
 
 def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -122,13 +137,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, i
     vec = F.col(vec_col).cast("array<double>")
     ok = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("x")).where(valid(F.col("x")) & (F.size("x") > 0) & F.col("id").isNotNull())
     rows = ok.select("id", F.size("x").alias("dim"), F.transform("x", lambda x: F.floor(scale * x)).alias("v"))
-    blocks = _pack(rows, BLOCK, "candidates")
-    queries = _pack(rows.where(is_query), QUERY_BLOCK, "queries")
-    met = queries.select("dim", F.col("ids").alias("q_ids"), F.col("values").alias("q"), F.col("block").alias("q_block")).join(
-        blocks.select("dim", "ids", "values", "block"), "dim")
-    # every pair of blocks is a task's work of its own
-    n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = met.repartition(n, "dim", "q_block", "block").select("dim", "q_ids", "q", "ids", "values")
+    met = _tiles(_pack(rows.where(is_query), QUERY_BLOCK, "queries"), _pack(rows, BLOCK, "candidates"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
