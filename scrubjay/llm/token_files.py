@@ -35,8 +35,8 @@ from scrubjay.llm.textnum import Lookup
 CACHE = 1_500_000
 #: Pretokens met since the large table of known ones was last built anew.
 YOUNG = 150_000
-#: Characters of text whose pretokens are found together.
-BLOCK_CHARS = 4_000_000
+#: Bytes of text whose pretokens are found together.
+BLOCK = 2 << 20
 
 
 class PretokenEncoder:
@@ -175,17 +175,10 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
             for batch in itertools.chain([first], batches):
                 nulls += batch.column(0).null_count
                 ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                at = 0
-                while at < len(texts):
-                    stop, chars = at, 0
-                    while stop < len(texts) and chars < BLOCK_CHARS:
-                        chars += len(texts[stop])
-                        stop += 1
-                    for x in enc.encode(texts[at:stop]):
+                for block in textnum.blocks(batch, 1, BLOCK):
+                    for x in enc.encode([t or "" for t in block.column(1).to_pylist()]):
                         f.write(x.tobytes() + end)
                         sizes.append(len(x) + 1)
-                    at = stop
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype="<u8")]).astype("<u8")
         with _whole(fs, name + ".offsets") as f:
             f.write(offsets.tobytes())
