@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubjay.llm.common import components, forest, written
+from scrubjay.llm.common import components, forest, in_share, written
 from scrubjay.llm.topk import valid
 
 #: Points in a block, and pivots at most (the bound of what the driver sees).
 BLOCK, PIVOTS = 4096, 256
 #: Radii of the tree's levels below the root.
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+RADII = (0.5, 0.25, 0.125, 0.0625)
 #: Bounds are widened by this much against rounding; links are decided exactly.
 SLACK = 1e-7
+#: And by this much where a matrix is computed in single precision.
+SINGLE = 2e-5
 _ROWS, _PAIRS = 512, 32_768
 
 
@@ -94,6 +96,7 @@ class Traversal:
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
         self.depth = len(a.levels)
+        self._made: dict[int, tuple] = {}
         self._expand(0, np.array([0]), np.array([0]))
         self._settle()
 
@@ -135,25 +138,37 @@ class Traversal:
             p, q = self.a.levels[level + 1][0][x], self.b.levels[level + 1][0][y]
             self._judge(level + 1, x, y, np.einsum("ij,ij->i", self.a.unit[p], self.b.unit[q]))
 
+    def _sides(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of a, rows of b, bounds): nodes i and j may hold a linked pair only if ``a[i] . b[j] >= bounds[i]``.
+
+        ``2 - 2 cos <= (reach + r_i + r_j)^2`` as one inner product: the unit
+        vectors are followed by ``reach + r_i, 1`` and ``r_j, r_j^2 / 2``."""
+        if level not in self._made:
+            if level == self.depth:
+                rows = self.a.unit.astype(np.float32), self.b.unit.astype(np.float32)
+                self._made[level] = *rows, np.full(len(rows[0]), self.threshold - SINGLE, np.float32)
+            else:
+                (at_a, _, r_a, *_), (at_b, _, r_b, *_) = self.a.levels[level], self.b.levels[level]
+                wide = self.reach + SLACK + r_a
+                self._made[level] = (np.column_stack([self.a.unit[at_a], wide, np.ones(len(wide))]).astype(np.float32),
+                                     np.column_stack([self.b.unit[at_b], r_b, r_b * r_b / 2]).astype(np.float32),
+                                     (1 - wide * wide / 2 - SINGLE).astype(np.float32))
+        return self._made[level]
+
     def _dense(self, level: int, a0: int, a1: int, b0: int, b1: int) -> None:
-        if level == self.depth:
-            cos = self.a.points[a0:a1] @ self.b.points[b0:b1].T
-            cos /= self.a.norm[a0:a1, None] * self.b.norm[None, b0:b1]
-            near = cos >= self.threshold - SLACK
-        else:
-            cos = self.a.unit[self.a.levels[level][0][a0:a1]] @ self.b.unit[self.b.levels[level][0][b0:b1]].T
-            far = self.reach + SLACK + self.a.levels[level][2][a0:a1, None] + self.b.levels[level][2][None, b0:b1]
-            near = 2 - 2 * cos <= far * far
-        x, y = np.nonzero(near)
-        dot = cos[x, y]
+        """Nodes (or points) a0 to a1 against b0 to b1 as one matrix in single precision; what passes is judged in double."""
+        rows_a, rows_b, bounds = self._sides(level)
+        x, y = np.nonzero(rows_a[a0:a1] @ rows_b[b0:b1].T >= bounds[a0:a1, None])
         x, y = x + a0, y + b0
         if self.same:
-            up = x <= y
-            x, y, dot = x[up], y[up], dot[up]
+            x, y = x[x <= y], y[x <= y]
         if level == self.depth:
             self._points(x, y)
-        else:
-            self._judge(level, x, y, dot)
+            return
+        for s in range(0, len(x), _PAIRS):
+            i, j = x[s:s + _PAIRS], y[s:s + _PAIRS]
+            p, q = self.a.levels[level][0][i], self.b.levels[level][0][j]
+            self._judge(level, i, j, np.einsum("ij,ij->i", self.a.unit[p], self.b.unit[q]))
 
     def _judge(self, level: int, x: np.ndarray, y: np.ndarray, dot: np.ndarray) -> None:
         d = np.sqrt(np.maximum(0, 2 - 2 * dot))
@@ -232,7 +247,8 @@ def _links(points: DataFrame, threshold: float) -> DataFrame:
     """(key, links, root) of every traversal, for points (key, n, v) of one dimension."""
     spark, total = points.sparkSession, points.count()
     n_pivots = max(1, min(PIVOTS, math.ceil(total / BLOCK / 4)))
-    pivots = np.array([r["v"] for r in points.orderBy("key").limit(n_pivots).select("v").collect()])
+    few = points.where(in_share(F.col("key"), n_pivots, total))
+    pivots = np.array([r["v"] for r in few.orderBy("key").limit(n_pivots).select("v").collect()])
     pivots = pivots / np.linalg.norm(pivots, axis=1)[:, None]
     placed = written(_cells(points, pivots), "cells")
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()}  # one row a pivot
@@ -285,8 +301,10 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     totals = (classes.select("key", "least", "n").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
               .join(named, "key", "left")
               .select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")))
+    # a vector without links is its own component: only the others are looked up
+    totals = written(totals.where("n_links > 0"), "totals")
     out = rows.select("vec_id", "key").join(totals, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
