@@ -22,6 +22,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return staged(df, f"llm-{tag}")
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once with a number for every row, ``__row``: unique, in no stated order, and the same in every later read."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), tag)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubjay.llm import textnum
-from scrubjay.llm.common import components, runs, written
+from scrubjay.llm.common import components, numbered, runs, written
 
 WORDS = 5
 COORDINATES, MATCHES = 64, 39
@@ -66,14 +66,15 @@ def _key(s: np.ndarray) -> str:
 
 def _describe(batches):
     for batch in batches:
-        for a, b, sets in _sets(batch.column(1)):
+        for a, b, sets in _sets(batch.column(2)):
             size = np.array([len(s) for s in sets], np.int64)
             some = [s for s in sets if len(s)]
             sig = signatures(np.concatenate(some), size[size > 0]) if some else np.empty((0, COORDINATES), np.uint32)
             cut = np.append(0, np.cumsum(size > 0) * COORDINATES).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(cut), pa.array(sig.view(np.int32).ravel()))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array([_key(s) if len(s) else None for s in sets], pa.string()),
-                                   listed], names=["doc_id", "n_shingles", "key", "signature"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size),
+                                   pa.array([_key(s) if len(s) else None for s in sets], pa.string()), listed],
+                                  names=["row", "doc_id", "n_shingles", "key", "signature"])
 
 
 def _whole_sets(batches):
@@ -172,20 +173,14 @@ def units(grouped: DataFrame) -> DataFrame:
     return small.unionByName(large.join(sides, ["grp", "band", "sub"]).select("unit", "part", "key"))
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, kept).
-
-    Words lie between white space (0x20, 0x09 to 0x0D), A to Z lowered. Texts
-    of fewer than five words are one shingle; null, empty and blank texts have
-    none and link with nothing. Repeated rows link like copies; rows with a
-    null id take part but name no component: alone they get a null one, and
-    are never kept. An empty table gives an empty result; other columns are
-    ignored.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = written(texts.mapInArrow(_describe, "doc_id long, n_shingles long, key string, signature array<int>"), "described")
+def _solved(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``texts`` (row, doc_id, text): described rows (row, doc_id, n_shingles, key); their classes (key, doc, rows,
+    first), ``first`` being (no id, id, row) of the row that comes first; (key, root) of the classes with links."""
+    described = written(texts.mapInArrow(_describe, "row long, doc_id long, n_shingles long, key string, signature array<int>"), "described")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = written(described.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+        F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature")), "classes")
     grouped = written(candidate_groups(classes), "grouped")
     ids = grouped.select(F.col("doc").alias("rep")).distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -193,13 +188,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = again.mapInArrow(_whole_sets, "key string, shingles binary").join(grouped.select("key"), "key", "left_semi").dropDuplicates(["key"])
     work = units(grouped).join(written(sets, "sets"), "key").select("unit", "part", "key", "shingles")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     solved = written(work.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(
         _solve_units, "key string, root string, whole boolean"), "solved")
     joined = components(solved.where("NOT whole").select(F.col("key").alias("a"), F.col("root").alias("b")), "near").where("node <> root")
     roots = solved.where("whole").select("key", "root").unionByName(joined.select(F.col("node").alias("key"), "root"))
     roots = roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-    least = classes.select("key", "doc", "rows")
+    return described, classes.select("key", "doc", "rows", "first"), roots
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id, kept).
+
+    Words lie between white space (0x20, 0x09 to 0x0D), A to Z lowered. Texts
+    of fewer than five words are one shingle; null, empty and blank texts have
+    none and link with nothing. Repeated rows link like copies; rows with a
+    null id take part but name no component: alone they get a null one, and
+    are never kept. An empty table gives an empty result; other columns are
+    ignored.
+    """
+    described, least, roots = _solved(docs.select(F.lit(None).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                                                  F.col(text_col).cast("string").alias("text")))
     named = roots.join(least, "key").groupBy("root").agg(F.min("doc").alias("component"))
     classed = least.join(roots.join(named, "root").select("key", "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "doc"))
@@ -213,12 +222,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each group: the one with the smallest id.
+    """``docs``, all columns, with one row of each group: of the rows with the smallest id, any one.
 
-    Rows with a null id have no smallest id to yield to and stay.
+    Groups are those of ``link``, but rows are told apart by a number of their
+    own: of repeated rows one stays, rows that share an id and not a text go
+    or stay each for itself, and a row with a null id stays only if its group
+    has no row with an id, one of them. Rows without shingles stay.
     """
-    gone = link(docs, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows = numbered(docs, "numbered")
+    described, classes, roots = _solved(rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                                                    F.col(text_col).cast("string").alias("text")))
+    least = classes.join(roots, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first")["row"].alias("row"))
+    gone = described.where("key IS NOT NULL").select("row").join(least.select("row"), "row", "left_anti")
+    return rows.join(written(gone, "gone").withColumnRenamed("row", "__gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 ORACLE = r"""
