@@ -59,18 +59,20 @@ def schedule(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), passes: int =
 
     Null and empty texts have size 0 and an empty queue. Repeated rows and null
     ids queue like others (equal rows are interchangeable); an empty table
-    gives an empty schedule; other columns are ignored.
+    gives an empty schedule; other columns are ignored, but the row number
+    ``__row`` of ``common.numbered`` is carried along if it is there.
     """
+    row = ["__row"] if "__row" in docs.columns else []
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))))
     queued = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                                 words(F.col(text_col)).alias("size"), F.substring(key, 1, 16).alias("key")), "queue")
+                                 words(F.col(text_col)).alias("size"), F.substring(key, 1, 16).alias("key"), *row), "queue")
     sources = written(_sources(queued, cycle, passes), "sources")
     d = queued.withColumnRenamed("source", "__source").join(sources, F.col("__source").eqNullSafe(F.col("source"))).drop("__source")
     bins = F.ceil(F.col("source_rows") / BIN_ROWS)
     d = d.withColumn("bin", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)))
     base = d.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size"))
     base = base.select("rank", "bin", (F.sum("bin_size").over(Window.partitionBy("rank").orderBy("bin")) - F.col("bin_size")).alias("base"))
-    inside = Window.partitionBy("rank", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "bin").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("size").over(inside)).join(base, ["rank", "bin"]).withColumn("end", F.col("end") + F.col("base"))
     quota = F.floor(F.col("target") + 0.5)
 
@@ -80,7 +82,7 @@ def schedule(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), passes: int =
                         F.greatest(F.lit(0), F.least(F.col("size"), quota - before)).cast("long").alias("words"))
 
     queue = F.array(*(served(F.lit(p).cast("long")) for p in range(passes)))
-    return d.select("doc_id", "source", "size", "source_size", "target",
+    return d.select(*row, "doc_id", "source", "size", "source_size", "target",
                     F.filter(queue, lambda q: q["words"] > 0).alias("queue"))
 
 
@@ -91,16 +93,17 @@ def taken(scheduled: DataFrame) -> Column:
 def copies(docs: DataFrame, scheduled: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix as whole documents: each row as often as passes serve at least half of it, in mixed order.
 
-    Rows are range-sorted by virtual finish time. Rows sharing an id share
-    the rounded mean of their passes; documents without words, which weigh
-    nothing in any mix, stay once.
+    ``docs`` has the row numbers ``__row`` of ``common.numbered``, ``scheduled``
+    is its schedule: every row has the passes of its own queue, whatever ids
+    are null or repeated. Rows are range-sorted by virtual finish time and go
+    without their number; documents without words, which weigh nothing in any
+    mix, stay once.
     """
     half = F.filter(F.col("queue"), lambda q: 2 * q["words"] >= F.col("size"))
-    times = scheduled.select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, F.array(F.lit(0.0)))
+    times = scheduled.select(F.col("__row").alias("__of"), F.when(F.col("size") == 0, F.array(F.lit(0.0)))
                              .otherwise(F.transform(half, lambda q: q["virtual_finish"])).alias("__times"))
-    times = times.groupBy("__id").agg(F.max("__times").alias("__times"))
-    mixed = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__time", F.explode("__times"))
-    return mixed.orderBy("__time", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = docs.join(times, F.col("__row") == F.col("__of")).withColumn("__time", F.explode("__times"))
+    return mixed.orderBy("__time", id_col, "__row").select(*[F.col(f"`{c}`") for c in docs.columns if c != "__row"])
 
 
 ORACLE = r"""

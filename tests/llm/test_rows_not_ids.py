@@ -1,9 +1,10 @@
 """Operators decide per row where ids repeat or are null."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
-from scrubjay.llm import minhash
+import corpus_pipeline
+from scrubjay.llm import minhash, mixing
 from tests.llm.frames import documents, prose
 
 
@@ -32,3 +33,20 @@ def test_copies_without_id_go(spark):
     a, b, c = _texts(3, 3)
     given = [(None, a)] * 30 + [(4, a)] + [(None, b)] * 30 + [(None, c), (None, None), (None, ""), (8, None), (8, None)]
     assert _left(spark, given) == Counter([(4, a), (None, b), (None, c), (None, None), (None, ""), (8, None), (8, None)])
+
+
+def test_mixed_sources_meet_their_targets_whatever_the_ids(spark):
+    rng = random.Random(4)
+    given = [(rng.choice([None, 7, 100 + i]), f"row{i} " + prose(rng, rng.randint(0, 80)), "en", "aaabbc"[i % 6]) for i in range(600)]
+    docs = documents(spark, given)
+    target = {r["source"]: r["target"] for r in mixing.schedule(docs).collect()}
+    words, times = defaultdict(int), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        words[r["source"]] += len(r["text"].split())
+        times[r["text"]] += 1
+    assert set(words) == set(target) and max(times.values()) <= 3
+    for source, want in target.items():
+        assert abs(words[source] - want) <= 41  # half a document
+        # whole rounds of the source: two rows differ by one pass at most
+        n = [times[t] for _, t, _, s in given if s == source]
+        assert max(n) - min(n) <= 1
