@@ -253,3 +253,7 @@ def test_words_and_sequences_against_python(seed):
     want = [tuple(p[i:i + 5]) for p in plain for i in range(max(1, len(p) - 4) if p else 0)]
     assert int(runs.sum()) == len(want)
     assert len(set(zip(want, shingle.tolist(), strict=True))) == len(set(want)) == len(set(shingle.tolist()))
+
+
+def test_toxicity_learns_from_20_000_rows_unless_told_otherwise():
+    assert toxicity.MAX_TRAIN_ROWS == 20_000
