@@ -9,12 +9,15 @@ two neighbouring blocks'. Each of the ``bands(similarity)`` bands is one row;
 sharing one puts a window before a template, with a chance of missing under
 ``MISS``. Verification then counts the template's own shingles in the window.
 
+Statements of a few words (``STATEMENTS``) are found as exact runs of words.
+
 Templates are a fixed list and travel with the task; texts are read where they
 lie, without a shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -41,7 +44,75 @@ TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "MIT notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "BSD notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT text": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSD-3-Clause text": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib text": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "BSL-1.0 text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "Unlicense text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "WTFPL text": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    # of the GNU notices the words that tell them apart: less than CONTAINMENT of one is in another
+    "GPL-2.0 notice": "terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "GPL-2.0-only notice": "terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "GPL-3.0 notice": "terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "LGPL-2.0 notice": "terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "LGPL-2.1 notice": "terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0 notice": "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0 notice": "terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "MPL-1.1 notice": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "GFDL notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    # long texts by passages that no other license has
+    "Apache-2.0 text": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "GPL-2.0 text": "The act of running the Program is not restricted, and the output from the Program is covered only if its contents constitute a work based on the Program",
+    "GPL-3.0 text": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "LGPL-2.1 text": "This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License",
+    "LGPL-3.0 text": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "AGPL-3.0 text": "specifically designed to ensure cooperation with the community in the case of network server software.",
+    "MPL-2.0 text": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions",
+    "Artistic-1.0 text": "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package",
+    "CC0-1.0 text": "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights",
+}
+
+
+def _gnu(short: str, long: str, version: str) -> tuple[str, ...]:
+    """Without "GPL 2" and the like, which are also the end of a sentence and the number of a section."""
+    whole = version if "." in version else f"{version}.0"
+    said = {f"{name} {v}" for name in (long, f"GNU {short}", short) for n in (version, whole) for v in (f"version {n}", f"v{n}")}
+    return (*sorted(said), f"{short} {whole}", f"{short}v{version}")
+
+
+def _cc(code: str, long: str) -> tuple[str, ...]:
+    return (f"CC {code} 4.0", f"Creative Commons {long} 4.0")
+
+
+# The distinctive words of short statements, whatever stands around them.
+STATEMENTS = {
+    "Apache-2.0 statement": ("Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache License v2", "Apache 2.0", "Apache Software License 2.0",
+                             "Apache Software License Version 2.0"),
+    "MIT statement": ("MIT License", "MIT Licence", "MIT licensed", "SPDX-License-Identifier: MIT"),
+    "BSD statement": ("BSD License", "BSD Licence", "BSD licensed"),
+    "BSD-2-Clause statement": ("BSD 2-Clause", "2-Clause BSD", "Two-Clause BSD", "Simplified BSD", "FreeBSD License"),
+    "BSD-3-Clause statement": ("BSD 3-Clause", "3-Clause BSD", "Three-Clause BSD", "New BSD License", "Modified BSD", "Revised BSD"),
+    "ISC statement": ("ISC License", "ISC Licence", "SPDX-License-Identifier: ISC"),
+    "GPL-2.0 statement": _gnu("GPL", "GNU General Public License", "2"),
+    "GPL-3.0 statement": _gnu("GPL", "GNU General Public License", "3"),
+    "LGPL-2.1 statement": _gnu("LGPL", "GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0 statement": _gnu("LGPL", "GNU Lesser General Public License", "3"),
+    "AGPL-3.0 statement": _gnu("AGPL", "GNU Affero General Public License", "3"),
+    "MPL-2.0 statement": ("Mozilla Public License Version 2.0", "Mozilla Public License v. 2.0", "Mozilla Public License v2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL v2.0"),
+    "EPL-2.0 statement": ("Eclipse Public License 2.0", "Eclipse Public License Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "EPL 2.0"),
+    "BSL-1.0 statement": ("Boost Software License", "BSL 1.0"),
+    "Zlib statement": ("zlib License", "SPDX-License-Identifier: Zlib"),
+    "Unlicense statement": ("The Unlicense", "SPDX-License-Identifier: Unlicense"),
+    "CC0-1.0 statement": ("CC0 1.0", "Creative Commons Zero"),
+    "CC-BY-4.0 statement": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0 statement": _cc("BY-SA", "Attribution-ShareAlike") + ("Creative Commons Attribution-Share Alike 4.0",),
+    "CC-BY-NC-4.0 statement": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND-4.0 statement": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0 statement": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0 statement": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
 }
 
 
@@ -50,10 +121,49 @@ def bands(similarity: float) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - similarity))
 
 
-def _shingles(text: str) -> np.ndarray:
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text.encode(), np.uint8)
-    word, count = textnum.words(data, np.array([0, len(data)]), 0, 1, textnum.ALNUM)
-    return np.unique(textnum.sequences(word, count, WORDS)[0])
+    return textnum.words(data, np.array([0, len(data)]), 0, 1, textnum.ALNUM)
+
+
+def _shingles(text: str) -> np.ndarray:
+    return np.unique(textnum.sequences(*_words(text), WORDS)[0])
+
+
+class Statements:
+    """Exact runs of a few words; of overlapping ones the longest counts."""
+
+    def __init__(self, texts: dict[str, tuple[str, ...]], templates: dict[str, str]):
+        runs = {tuple(_words(p)[0].tolist()): name for name in sorted(texts) for p in texts[name]}
+        self.runs = sorted(((np.array(r, np.uint64), name) for r, name in runs.items()), key=lambda x: -len(x[0]))
+        self.first = np.zeros(1 << 16, bool)
+        self.first[[int(r[0] >> np.uint64(48)) for r, _ in self.runs]] = True
+        # templates that hold a run's words tell of them when they are found themselves
+        inside = {t: set(itertools.chain(*(zip(*(w[i:] for i in range(n))) for w in [_words(text)[0].tolist()] for n in {len(r) for r, _ in self.runs})))
+                  for t, text in templates.items()}
+        self.told = [{t for t, of in inside.items() if tuple(r.tolist()) in of} for r, _ in self.runs]
+
+    def scan(self, word: np.ndarray, count: np.ndarray):
+        """(document, run, first word, words) of every run, by document and place."""
+        may = np.flatnonzero(self.first[word >> np.uint64(48)])
+        if not len(may):
+            return []
+        end = np.cumsum(count)
+        doc = np.searchsorted(end, may, "right")
+        found = []
+        for k, (run, _) in enumerate(self.runs):
+            here = (word[may] == run[0]) & (may + len(run) <= end[doc])
+            at, of = may[here], doc[here]
+            for i in range(1, len(run)):
+                same = word[at + i] == run[i]
+                at, of = at[same], of[same]
+            found += [(d, k, p, len(run)) for d, p in zip(of.tolist(), (at - (end - count)[of]).tolist(), strict=True)]
+        out, taken = [], set()
+        for d, k, p, n in found:  # longer ones first
+            if not any((d, i) in taken for i in range(p, p + n)):
+                taken.update((d, i) for i in range(p, p + n))
+                out.append((d, k, p, n))
+        return sorted(out)
 
 
 class Templates:
@@ -61,6 +171,7 @@ class Templates:
         self.names = sorted(texts)
         self.sets = [_shingles(texts[n]) for n in self.names]
         self.level = [max(0, math.ceil(math.log2(max(1, len(s))))) for s in self.sets]
+        self.span = {n: 1 << k for n, k in zip(self.names, self.level, strict=True)}
         # the least similarity of a template to a window that holds CONTAINMENT of it
         least = min(CONTAINMENT * len(s) / (2 * 2 ** k + (1 - CONTAINMENT) * len(s)) for s, k in zip(self.sets, self.level, strict=True))
         self.bands = bands(least)
@@ -104,22 +215,29 @@ class Templates:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
+         statements: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document: (doc_id, n_licenses, licenses, best, windows).
 
-    ``licenses`` are the names of all templates found, sorted and joined by
-    ", "; ``best`` the greatest containment (null without any); ``windows``
-    one (template, containment, first word) per verified window.
+    ``licenses`` are the names of all templates and statements found, sorted
+    and joined by ", "; ``best`` the greatest containment (null without any,
+    1 for a statement); ``windows`` one (template, containment, first word) per
+    verified window or statement. Of overlapping statements the longest is
+    named, and one inside the window of a template that holds its words is not
+    named again. With other ``templates`` there are no statements but those given.
 
     Texts that are null, empty or without words hold none; a text of fewer
     words than a shingle is one shingle. Repeated rows and null ids give a row
     each; an empty table gives an empty result; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES))
+    if statements is None:
+        statements = {} if templates else STATEMENTS
+    templates = templates or TEMPLATES
+    sent = docs.sparkSession.sparkContext.broadcast((Templates(templates), Statements(statements, templates)))
     window = pa.struct([("template", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64())])
 
     def run(batches):
-        t = sent.value
+        t, few = sent.value
         for batch in batches:
             data, offsets = textnum.text_buffers(batch.column(1))
             found: list[list] = [[] for _ in range(batch.num_rows)]
@@ -127,6 +245,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 word, count = textnum.words(data, offsets, a, b, textnum.ALNUM)
                 for d, k, share, at in t.scan(*textnum.sequences(word, count, WORDS)):
                     found[a + d].append({"template": t.names[k], "containment": share, "first_word": at})
+                spans = {d: [(w["template"], w["first_word"], w["first_word"] + 2 * t.span[w["template"]] + WORDS) for w in found[a + d]] for d in range(b - a) if found[a + d]}
+                for d, k, at, n in few.scan(word, count):
+                    if not any(name in few.told[k] and x < at + n and at < y for name, x, y in spans.get(d, ())):
+                        found[a + d].append({"template": few.runs[k][1], "containment": 1.0, "first_word": at})
             names = [sorted({w["template"] for w in f}) for f in found]
             yield pa.record_batch([
                 batch.column(0), pa.array([len(n) for n in names], pa.int64()), pa.array([", ".join(n) for n in names], pa.string()),
