@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from scrubjay.llm import bpe, covertree, langid, licenses, minhash, mixing, secrets, token_files, topk, toxicity
+from scrubjay.llm import (bpe, covertree, langid, lexical, licenses, minhash, mixing, periodic, secrets, token_files, topk, toxicity,
+                          tries)
 from scrubjay.llm.common import fold, table
 from scrubjay.session import scratch_path
 
@@ -79,3 +80,20 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                              ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op11_lexical_search", lexical.ORACLE)
+def op11(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs", periodic.ORACLE)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.detect(docs, ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"))
+
+
+@query("op13_exact_dedup", tries.ORACLE)
+def op13(spark, sf_dir):
+    return tries.dedup(table(spark, sf_dir, "documents"))
