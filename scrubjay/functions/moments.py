@@ -54,20 +54,20 @@ def moments(df: DataFrame, cols: dict, extra=(), extra_out: dict | None = None)
     a = agg_dict(df, first)
     if extra_out is not None:
         extra_out.update({name: a[name] for name, _, _ in extra})
-    second = []
-    means = {}
+    means = {k: (a[f"s{i}"] / a[f"n{i}"]) if a[f"n{i}"] else None for i, k in enumerate(cols)}
+    powers = power_sums(df, cols, means)
+    return {k: {"n": a[f"n{i}"], "mean": means[k], "min": a[f"lo{i}"], "max": a[f"hi{i}"], **powers[k]} for i, k in enumerate(cols)}
+
+
+def power_sums(df: DataFrame, cols: dict, means: dict) -> dict:
+    """``{key: {m2, m3}}``: sums of squared and cubed deviations from the given means (null without a mean)."""
+    items = []
     for i, (k, v) in enumerate(cols.items()):
-        n = a[f"n{i}"]
-        means[k] = (a[f"s{i}"] / n) if n else None
-        if n:
+        if means[k] is not None:
             d = v - F.lit(means[k])
-            second += [(f"m2_{i}", F.sum(d * d), 1), (f"m3_{i}", F.sum(d * d * d), 1)]
-    b = agg_dict(df, second) if second else {}
-    res = {}
-    for i, k in enumerate(cols):
-        res[k] = {"n": a[f"n{i}"], "mean": means[k], "min": a[f"lo{i}"], "max": a[f"hi{i}"],
-                  "m2": b.get(f"m2_{i}"), "m3": b.get(f"m3_{i}")}
-    return res
+            items += [(f"m2_{i}", F.sum(d * d), 1), (f"m3_{i}", F.sum(d * d * d), 1)]
+    b = agg_dict(df, items) if items else {}
+    return {k: {"m2": b.get(f"m2_{i}"), "m3": b.get(f"m3_{i}")} for i, k in enumerate(cols)}
 
 
 def skew_from(m: dict) -> float:

@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scrubjay.functions.exprs import (col, is_datetime_type, is_numeric_type, is_string_type, pround,
+from scrubjay.functions.exprs import (col, epoch_nanos, is_datetime_type, is_numeric_type, is_string_type, pround,
                                       round_half_away, safe_corr, to_num)
 from scrubjay.functions.moments import correlations
-from scrubjay.functions.quantiles import quantiles
-from scrubjay.operators.profile import capped_distinct, histogram, numeric_columns
+from scrubjay.functions.quantiles import grouped_quantiles, quantiles, value_stats
+from scrubjay.operators.profile import QUARTILES, capped_distinct, histogram, numeric_columns
 from scrubjay.plans.table import RID, Table
 
 # Chart limits.
@@ -75,6 +76,45 @@ def scatter_points(t: Table, x: str, y: str) -> DataFrame:
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
+#: Points of a thinned scatter; rows of the last histogram bucket that are pulled to place the cut among them.
+SCATTER_CAP, CUT_ROWS = 5_000, 4_096
+#: Bits of the hash that thins points (the leading 60 of md5), and bits told apart by one histogram.
+HASH_BITS, STEP_BITS = 60, 12
+
+
+def scatter_thin(t: Table, x: str, y: str, cap: int = SCATTER_CAP) -> DataFrame:
+    """``(_rid, x, y)`` of ``cap`` plotted points, or of all if there are fewer:
+    those with the smallest hash of their row id, so the choice is spread evenly
+    and does not depend on partitions.
+
+    No sort: histograms of the hash's leading bits (``2 ** STEP_BITS`` counts
+    each) narrow the cut down to a bucket of a few rows, and only their hashes
+    are pulled; the points themselves are one filter on the scan."""
+    points = scatter_points(t, x, y).withColumn(
+        "__sj_h", F.conv(F.substring(F.md5(F.col(RID).cast("string")), 1, HASH_BITS // 4), 16, 10).cast("long"))
+    h, left, low, bits = F.col("__sj_h"), cap, 0, HASH_BITS
+    inside = points
+    while bits > 0:
+        bits -= STEP_BITS
+        bucket = F.shiftright(h, bits).bitwiseAND(F.lit((1 << STEP_BITS) - 1))
+        counts = {r["b"]: r["n"] for r in inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+        if bits == HASH_BITS - STEP_BITS and sum(counts.values()) <= cap:
+            return points.drop("__sj_h")
+        for b in sorted(counts):
+            if counts[b] >= left:
+                break
+            left -= counts[b]
+        low |= b << bits
+        inside = points.where((h >= F.lit(low)) & (h < F.lit(low + (1 << bits))))
+        if counts[b] <= CUT_ROWS:
+            break
+    # the cut lies among the rows of one bucket: (hash, row id) of the last point kept; ties go by row id
+    last = sorted(tuple(r) for r in inside.select(h, RID).orderBy(h, RID).limit(left).collect())[-1:] if left else []
+    if not last:
+        return points.where(h < F.lit(low)).drop("__sj_h")
+    return points.where((h < F.lit(last[0][0])) | ((h == F.lit(last[0][0])) & (F.col(RID) <= F.lit(last[0][1])))).drop("__sj_h")
+
+
 # -- V5 ---------------------------------------------------------------------------------------------
 BOX_SCHEMA = ("grp string, label string, n long, min double, q1 double, median double, q3 double, "
               "max double, whisk_lo double, whisk_hi double, n_fliers long")
@@ -86,47 +126,49 @@ def _r4(x):
 
 def box(t: Table, value: str, group: str | None = None, method: str = "exact") -> DataFrame:
     """Box statistics with 1.5 IQR whiskers, for the first 10 groups in key
-    order (or the whole column).  Quantiles for all groups share passes."""
-    v = _num(t, value)
-    spark = t.df.sparkSession
+    order (or the whole column).  Groups share every pass: open quantile
+    brackets and fences are relations of one row a group, joined by group."""
     if group:
-        g = col(group)
-        keys = [r[0] for r in t.df.where(g.isNotNull()).select(g.alias("k")).distinct()
-                .orderBy("k").limit(BOX_GROUPS).collect()]
-        targets = [(i, v, g == F.lit(k)) for i, k in enumerate(keys)]
-        labels = [str(k) for k in keys]
+        return _box_groups(t, value, group, method)
+    v = _num(t, value)
+    stats, _ = value_stats(t.df, [(0, v, None)], QUARTILES)
+    st, q = stats[0], quantiles(t.df, [(0, v, None)], QUARTILES, method=method, stats=stats)[0]
+    w = (None, None, 0)
+    if st.n:
+        lo, hi = _fences(*q)
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        w = tuple(t.df.agg(F.min(F.when(inside, v)), F.max(F.when(inside, v)), F.count(F.when(~inside, 1))).first())
+    row = (None, None, st.n, _r4(st.lo), *map(_r4, q), _r4(st.hi), _r4(w[0]), _r4(w[1]), w[2])
+    return t.df.sparkSession.createDataFrame([row], BOX_SCHEMA)
+
+
+def _fences(q1: float, median: float, q3: float) -> tuple[float, float]:
+    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+
+def _box_groups(t: Table, value: str, group: str, method: str) -> DataFrame:
+    spark, v = t.df.sparkSession, _num(t, value).cast("double")
+    rows = t.df.select(col(group).alias("k"), F.when(~F.isnan(v), v).alias("v")).where("k IS NOT NULL")
+    first = rows.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k").limit(BOX_GROUPS).collect()
+    stats = {r["k"]: (r["n"], r["lo"], r["hi"]) for r in first}
+    if method == "approx":
+        keys = F.col("k").isin(list(stats))
+        sketched = rows.where(keys).groupBy("k").agg(F.percentile_approx("v", QUARTILES, 10_000).alias("q")).collect()
+        qs = {r["k"]: r["q"] or [None] * 3 for r in sketched}
     else:
-        targets = [(0, v, None)]
-        labels = [None]
-    aggs = []
-    for i, _, cond in targets:
-        vv = v if cond is None else F.when(cond, v)
-        aggs += [F.count(vv).alias(f"n{i}"), F.min(vv).alias(f"lo{i}"), F.max(vv).alias(f"hi{i}")]
-    if not aggs:
-        return spark.createDataFrame([], BOX_SCHEMA)
-    st = t.df.agg(*aggs).first()
-    stats = {i: (st[f"n{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i, _, _ in targets}
-    qs = quantiles(t.df, targets, [0.25, 0.5, 0.75], method=method, stats=stats)
-    wagg = []
-    for i, _, cond in targets:
-        q1, _, q3 = qs[i]
-        if q1 is None:
-            continue
-        lo_f, hi_f = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        vv = v if cond is None else F.when(cond, v)
-        inside = (vv >= F.lit(lo_f)) & (vv <= F.lit(hi_f))
-        wagg += [F.min(F.when(inside, vv)).alias(f"wl{i}"), F.max(F.when(inside, vv)).alias(f"wh{i}"),
-                 F.count(F.when(~inside, 1)).alias(f"f{i}")]
-    w = t.df.agg(*wagg).first() if wagg else None
-    rows = []
-    for (i, _, _), label in zip(targets, labels):
-        q1, med, q3 = qs[i]
-        has = q1 is not None
-        rows.append((label, None if label is None else label[:BOX_LABEL_CHARS], st[f"n{i}"],
-                     _r4(st[f"lo{i}"]), _r4(q1), _r4(med), _r4(q3), _r4(st[f"hi{i}"]),
-                     _r4(w[f"wl{i}"]) if has else None, _r4(w[f"wh{i}"]) if has else None,
-                     w[f"f{i}"] if has else 0))
-    return spark.createDataFrame(rows, BOX_SCHEMA)
+        qs = grouped_quantiles(rows, F.col("v"), F.col("k"), QUARTILES, stats)
+    kind = t.dtype(group)
+    fences = spark.createDataFrame([(k, *_fences(*qs[k])) for k, (n, _, _) in stats.items() if n], T.StructType(
+        [T.StructField("g", kind), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    whiskers = (rows.where("v IS NOT NULL").join(F.broadcast(fences), F.col("k") == F.col("g")).groupBy("g")  # BOX_GROUPS rows at most
+                .agg(F.min(F.when(inside, F.col("v"))).alias("a"), F.max(F.when(inside, F.col("v"))).alias("b"), F.count(F.when(~inside, 1)).alias("n")))
+    w = {r["g"]: (r["a"], r["b"], r["n"]) for r in whiskers.collect()}
+    out = []
+    for k, (n, lo, hi) in stats.items():
+        a, b, fliers = w.get(k, (None, None, 0))
+        out.append((str(k), str(k)[:BOX_LABEL_CHARS], n, _r4(lo), *map(_r4, qs[k]), _r4(hi), _r4(a), _r4(b), fliers))
+    return spark.createDataFrame(out, BOX_SCHEMA)
 
 
 # -- V6 ------------------------------------------------------------------------------------------------
@@ -143,6 +185,40 @@ def line(t: Table, y: str, x: str | None = None) -> DataFrame:
     return pos.select(F.col(RID), xv.alias("x"), yv.alias("y"), F.col("pos"))
 
 
+#: Buckets of a thinned line: about the pixels that a chart is wide.
+LINE_BUCKETS = 1_000
+
+
+def line_thin(t: Table, y: str, x: str | None = None, buckets: int = LINE_BUCKETS) -> DataFrame:
+    """``(_rid, x, y, bucket)``: at most four points for each of ``buckets``
+    equal stretches of the drawing axis, the first, last, lowest and highest, so
+    a line through them covers the same pixels as one through all points.
+
+    The axis is a datetime ``x``, else the table's order (the row id where no
+    other order is set: no positions are computed).  Points need both values.
+    Of equal points the smallest row id is first, lowest or highest, the largest
+    is last.  Two grouped scans of plain minima and maxima; the first one's
+    result, a row a bucket, is joined to the second by broadcast, and so are
+    the row ids found to the rows."""
+    yv = _num(t, y)
+    if x and x in t.columns and is_datetime_type(t.dtype(x)):
+        base = t.df.select(F.col(RID), epoch_nanos(col(x), t.dtype(x)).alias("a"), yv.alias("y"), col(x).alias("x"))
+    else:
+        df, axis = (t.positions("__sj_pos"), F.col("__sj_pos")) if t.order else (t.df, F.col(RID))
+        label = col(x).cast("string") if x and x in t.columns else axis.cast("string")
+        base = df.select(F.col(RID), axis.alias("a"), yv.alias("y"), label.alias("x"))
+    base = base.where(F.col("a").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y"))
+    ends = base.agg(F.min("a").alias("lo"), F.max("a").alias("hi")).first()
+    low, width = (ends["lo"], (ends["hi"] - ends["lo"]) // buckets + 1) if ends["lo"] is not None else (0, 1)
+    base = base.withColumn("bucket", F.expr(f"(a - {low}L) div {width}L"))
+    most = base.groupBy("bucket").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    met = base.join(F.broadcast(most.withColumnRenamed("bucket", "__sj_b")), F.col("bucket") == F.col("__sj_b"))
+    at = [F.col("a") == F.col("a0"), F.col("a") == F.col("a1"), F.col("y") == F.col("y0"), F.col("y") == F.col("y1")]
+    ids = [(F.max if k == 1 else F.min)(F.when(c, F.col(RID))) for k, c in enumerate(at)]
+    picked = met.groupBy("bucket").agg(F.array(*ids).alias("ids")).select(F.explode("ids").alias("__sj_id")).distinct()
+    return base.join(F.broadcast(picked), F.col(RID) == F.col("__sj_id"), "left_semi").select(RID, "x", "y", "bucket")
+
+
 # -- V7 -------------------------------------------------------------------------------------------------
 def corr_matrix(t: Table, max_columns: int = CORR_MAX_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson matrix of the first 12 numeric columns, as

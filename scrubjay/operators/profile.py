@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, pround,
                                       round_half_away, type_family)
 from scrubjay.functions.moments import agg_dict, moments, skew_from, std_from
-from scrubjay.functions.quantiles import quantiles
+from scrubjay.functions.quantiles import quantiles, summaries, value_stats
 from scrubjay.plans.table import RID, Table
 
 
@@ -138,18 +138,19 @@ def numeric_summary(t: Table, columns=None, method: str = "exact") -> DataFrame:
              "q25 double, median double, q75 double"
     if not columns:
         return spark.createDataFrame([], schema)
-    mom = moments(t.df, {c: col(c).cast("double") for c in columns})
-    stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in columns}
-    qs = quantiles(t.df, [(c, col(c), None) for c in columns], [0.25, 0.5, 0.75], method=method, stats=stats)
-    out = []
-    for c in columns:
-        m = mom[c]
-        if not m["n"]:
-            continue
-        q = qs[c]
-        out.append((c, m["n"], _r4(m["mean"]), _r4(std_from(m)), _r4(m["min"]), _r4(m["max"]),
-                    _r4(q[0]), _r4(q[1]), _r4(q[2])))
-    return spark.createDataFrame(out, schema)
+    found, _ = summaries(t.df, [(c, col(c), None) for c in columns], QUARTILES, method)
+    return spark.createDataFrame([(c, found[c][0].n, *_numeric(found[c])) for c in columns if found[c][0].n], schema)
+
+
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _numeric(found: tuple) -> tuple:
+    """Mean, standard deviation, min, max and quartiles to 4 decimals; nulls where there is no value."""
+    st, squares, q = found
+    if not st.n:
+        return (None,) * 7
+    return (_r4(st.mean), _r4(std_from({"n": st.n, "m2": squares})), _r4(st.lo), _r4(st.hi), *map(_r4, q))
 
 
 def _r4(x):
@@ -159,19 +160,16 @@ def _r4(x):
 def column_profile(t: Table, method: str = "exact", approx_distinct: bool = False) -> DataFrame:
     """One row per column: P1 + P2 for every column and the P3 numeric
     summary for numeric ones (null elsewhere) - the per-column stats panel.
-    Null counts ride in the first moments pass; quantiles reuse its bounds.
+    Null counts ride in the first pass, squared deviations in that of the quantiles.
     ``approx_distinct`` replaces the exact distinct counts, which shuffle every
     distinct cell, by HyperLogLog sketches."""
     from concurrent.futures import ThreadPoolExecutor
     cols = t.columns
     nums = numeric_columns(t)
-    counts = {}
 
     def numeric_chain():
-        extra = [("__rows", F.count(F.lit(1)), 1)] + [(f"__nn{i}", F.count(col(c)), 1) for i, c in enumerate(cols)]
-        mom = moments(t.df, {c: col(c).cast("double") for c in nums}, extra=extra, extra_out=counts)
-        stats = {c: (mom[c]["n"], mom[c]["min"], mom[c]["max"]) for c in nums}
-        return mom, quantiles(t.df, [(c, col(c), None) for c in nums], [0.25, 0.5, 0.75], method=method, stats=stats)
+        extra = {"__rows": F.lit(1)} | {f"__nn{i}": col(c) for i, c in enumerate(cols)}
+        return summaries(t.df, [(c, col(c), None) for c in nums], QUARTILES, method, extra)
 
     def distinct_chain():
         if approx_distinct:
@@ -181,20 +179,14 @@ def column_profile(t: Table, method: str = "exact", approx_distinct: bool = Fals
 
     with ThreadPoolExecutor(max_workers=2) as pool:  # independent jobs, submitted together
         f_num, f_d = pool.submit(numeric_chain), pool.submit(distinct_chain)
-        (mom, qs), d = f_num.result(), f_d.result()
+        (found, counts), d = f_num.result(), f_d.result()
     rows_n = counts["__rows"]
     rows = []
     for i, c in enumerate(cols):
         nulls = rows_n - counts[f"__nn{i}"]
         base = (c, type_family(t.dtype(c)), nulls, pround(nulls / rows_n * 100, 2) if rows_n else 0.0,
                 d[c], pround(d[c] / rows_n * 100, 0) if rows_n else 0.0)
-        m = mom.get(c)
-        if m and m["n"]:
-            q = qs[c]
-            num = (_r4(m["mean"]), _r4(std_from(m)), _r4(m["min"]), _r4(m["max"]), _r4(q[0]), _r4(q[1]), _r4(q[2]))
-        else:
-            num = (None,) * 7
-        rows.append(base + num)
+        rows.append(base + (_numeric(found[c]) if c in found else (None,) * 7))
     return t.df.sparkSession.createDataFrame(
         rows, "column string, dtype string, null_count long, null_pct double, unique_count long, "
               "distinct_pct double, mean double, std double, min double, max double, q25 double, "
@@ -286,12 +278,11 @@ BOX_SCHEMA = ("column string, min double, q1 double, median double, q3 double, m
 def _boxes(t: Table, columns, method: str) -> dict:
     """``{column: (n, min, q1, median, q3, max, whisker low, high, outliers)}``, all columns in shared passes."""
     v = {c: col(c).cast("double") for c in columns}
-    st = agg_dict(t.df, [(f"{k}{i}", f(v[c]), 1) for i, c in enumerate(columns)
-                         for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]) if columns else {}
-    stats = {c: (st[f"n{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(columns) if st[f"n{i}"]}
+    stats, _ = value_stats(t.df, [(c, v[c], None) for c in columns], QUARTILES)
+    stats = {c: s for c, s in stats.items() if s.n}
     if not stats:
         return {}
-    qs = quantiles(t.df, [(c, v[c], None) for c in stats], [0.25, 0.5, 0.75], method=method, stats=stats)
+    qs = quantiles(t.df, [(c, v[c], None) for c in stats], QUARTILES, method=method, stats=stats)
     fences = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in qs.items()}
     items = []
     for i, (c, (lo, hi)) in enumerate(fences.items()):
@@ -303,7 +294,7 @@ def _boxes(t: Table, columns, method: str) -> dict:
     for i, c in enumerate(fences):
         q1, med, q3 = qs[c]
         wl, wh = w[f"wl{i}"], w[f"wh{i}"]
-        out[c] = (stats[c][0], stats[c][1], q1, med, q3, stats[c][2], q1 if wl is None else wl, q3 if wh is None else wh, w[f"no{i}"])
+        out[c] = (stats[c].n, stats[c].lo, q1, med, q3, stats[c].hi, q1 if wl is None else wl, q3 if wh is None else wh, w[f"no{i}"])
     return out
 
 

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubjay.functions.dates import DATE_TEXT_PATTERNS, PARSE_FORMATS, try_parse
-from scrubjay.functions.moments import agg_dict, moments, skew_from
+from scrubjay.functions.moments import agg_dict, power_sums, skew_from
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_lower, is_title,
                                       is_upper, pround, to_num)
-from scrubjay.functions.quantiles import quantiles
+from scrubjay.functions.quantiles import quantiles, value_stats
 from scrubjay.plans.table import Table
 from scrubjay.operators.profile import BOX_SCHEMA, HISTOGRAM_SCHEMA, box_summaries, duplicate_count, histograms
 from scrubjay.session import staged
@@ -56,7 +56,7 @@ class Scan:
     date_ok: dict = field(default_factory=dict)
     patterns: dict = field(default_factory=dict)
     casing: dict = field(default_factory=dict)
-    minmax: dict = field(default_factory=dict)
+    stats: dict = field(default_factory=dict)
 
 
 def scan(t: Table, text: bool = True) -> Scan:
@@ -91,10 +91,10 @@ def scan(t: Table, text: bool = True) -> Scan:
     for i, c in enumerate(t.columns):
         sc.nonnull[c] = row[f"nn{i}"]
         sc.nulls[c] = row["rows"] - row[f"nn{i}"]
-    mom = moments(t.df, {c: col(c).cast("double") for c in num}) if num else {}
-    for c in num:
-        sc.skew[c] = skew_from(mom[c])
-        sc.minmax[c] = (mom[c]["min"], mom[c]["max"])
+    sc.stats, _ = value_stats(t.df, [(c, col(c), None) for c in num], [0.25, 0.75])
+    powers = power_sums(t.df, {c: col(c).cast("double") for c in num}, {c: s.mean for c, s in sc.stats.items()})
+    for c, s in sc.stats.items():
+        sc.skew[c] = skew_from({"n": s.n, "min": s.lo, "max": s.hi, **powers[c]})
     for i, c in enumerate(txt):
         sc.numeric_ok[c] = row[f"num{i}"]
         sc.date_ok[c] = max((dts.get(f"dt{i}_{j}", 0) for j in range(len(PARSE_FORMATS))), default=0)
@@ -191,8 +191,7 @@ OUTLIER_SCHEMA = ("column string, count long, pct double, lower_bound double, up
 
 def outlier_bounds(t: Table, sc: Scan, method: str = "exact") -> dict:
     cands = [c for c in t.columns if is_numeric_type(t.dtype(c)) and sc.nonnull[c] >= OUTLIER_MIN_VALUES]
-    stats = {c: (sc.nonnull[c],) + tuple(sc.minmax[c]) for c in cands}
-    qs = quantiles(t.df, [(c, col(c), None) for c in cands], [0.25, 0.75], method=method, stats=stats)
+    qs = quantiles(t.df, [(c, col(c), None) for c in cands], [0.25, 0.75], method=method, stats={c: sc.stats[c] for c in cands})
     out = {}
     for c in cands:
         q1, q3 = qs[c]

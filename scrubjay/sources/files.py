@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from scrubjay.functions.exprs import (NA_TOKENS, NUMBER_PATTERN, col, is_float_type,
                                       is_string_type, strip, to_num)
 from scrubjay.plans.table import RID, Table, is_internal
-from scrubjay.sources.rowid import with_load_order_id, with_row_id
+from scrubjay.sources.rowid import with_load_order_id
 
 
 # -- S4: null normalisation -----------------------------------------------------
@@ -134,7 +134,8 @@ def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
 
 def read_records_json(spark: SparkSession, path: str, multiline: bool | None = None) -> Table:
     """JSON records with load-order row ids: JSON Lines, a JSON array of
-    records, an object whose ``data`` key holds the list, or one record.
+    records, an object whose ``data`` key holds the list, or one record.  Ids
+    follow the files' paths, then the records' places in their file.
 
     JSON Lines (``multiline=False``) are split among tasks; one document over
     several lines (``multiline=True``) is one task.  Without either, the first
@@ -143,11 +144,15 @@ def read_records_json(spark: SparkSession, path: str, multiline: bool | None = N
         head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
         multiline = not (head and _whole_object(head[0][0]))
     raw = spark.read.option("multiLine", multiline).option("primitivesAsString", False).json(path)
-    fields = {f.name: f.dataType for f in raw.schema.fields}
-    data_t = fields.get("data")
-    if isinstance(data_t, T.ArrayType) and isinstance(data_t.elementType, T.StructType):
-        raw = raw.select(F.explode("data").alias("__sj_rec")).select("__sj_rec.*")
-    return Table(normalise_nulls(with_row_id(flatten_structs(raw))))
+    data_t = next((f.dataType for f in raw.schema.fields if f.name == "data"), None)
+    wrapped = isinstance(data_t, T.ArrayType) and isinstance(data_t.elementType, T.StructType)
+    return Table(normalise_nulls(flatten_structs(with_load_order_id(raw, RID, _unwrapped if wrapped else None))))
+
+
+def _unwrapped(raw: DataFrame) -> DataFrame:
+    """The records of every row's ``data`` list, in their order."""
+    kept = [c for c in raw.columns if is_internal(c)]
+    return raw.select(*kept, F.posexplode("data").alias("__sj_at", "__sj_rec")).select(*kept, "__sj_rec.*")
 
 
 def _whole_object(line: str) -> bool:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scrubjay.functions.exprs import round_half_away
 from scrubjay.operators import charts as C
 from scrubjay.suite import sqlgen as G
-from scrubjay.suite.base import fixture, loaded, query
+from scrubjay.plans.table import RID, Table
+from scrubjay.suite.base import fixture, loaded, query, table
 from scrubjay.suite.q_steps import EV_COLS
 
 EV = ("ev_dirty",)
@@ -164,3 +165,32 @@ def chart_auto_dirty(spark, sf):
        "WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
 def chart_scatter_points(spark, sf):
     return C.scatter_points(loaded(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("x", "y")
+
+
+@query("chart_scatter_thin",
+       "SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity AS x, l_extendedprice AS y FROM lineitem "
+       "WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL "
+       "ORDER BY substr(md5(CAST(l_orderkey * 8 + l_linenumber AS VARCHAR)), 1, 15), id LIMIT 2000")
+def chart_scatter_thin(spark, sf):
+    """2,000 of all line items, chosen by the hash of their row id (order and line number)."""
+    t = Table(table(spark, sf, "lineitem").withColumn(RID, F.col("l_orderkey") * 8 + F.col("l_linenumber")))
+    return C.scatter_thin(t, "l_quantity", "l_extendedprice", 2000).withColumnRenamed(RID, "id")
+
+
+def _thin_sql(rows: str, buckets: int) -> str:
+    """First, last, lowest and highest point of each bucket of ``rows`` (rid, a, x, y)."""
+    first = "row_number() OVER (PARTITION BY bucket ORDER BY {} rid {}) = 1"
+    return (f"WITH p AS ({rows}), e AS (SELECT min(a) AS lo, (max(a) - min(a)) // {buckets} + 1 AS width FROM p), "
+            "b AS (SELECT p.*, (a - lo) // width AS bucket FROM p, e) SELECT rid, x, y, bucket FROM b QUALIFY "
+            + " OR ".join([first.format("a,", ""), first.format("a DESC,", "DESC"), first.format("y,", ""), first.format("y DESC,", "")]))
+
+
+@query("chart_line_thin", _thin_sql("SELECT rid, epoch_us(odate) * 1000 AS a, odate AS x, price AS y FROM ord_holes "
+                                    "WHERE odate IS NOT NULL AND price IS NOT NULL", 100), OH)
+def chart_line_thin(spark, sf):
+    return C.line_thin(fixture(spark, sf, "ord_holes"), "price", "odate", 100).withColumnRenamed("_rid", "rid")
+
+
+@query("chart_line_thin_rows", _thin_sql("SELECT rid, rid AS a, CAST(rid AS VARCHAR) AS x, value AS y FROM ev_dirty WHERE value IS NOT NULL", 250), EV)
+def chart_line_thin_rows(spark, sf):
+    return C.line_thin(fixture(spark, sf, "ev_dirty"), "value", None, 250).withColumnRenamed("_rid", "rid")

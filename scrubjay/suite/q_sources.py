@@ -98,3 +98,18 @@ def src_reinfer_bigint(spark, sf):
     """Integers beyond 64 bits stay exact: decimals up to 38 digits, text beyond."""
     df = reinfer_types(fixture_df(spark, sf, "raw_long").withColumnRenamed("rid", RID)).withColumnRenamed(RID, "rid")
     return df.withColumn("id21", F.col("id21").cast("string"))
+
+
+@query("src_json_order",
+       'SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rid, o_orderkey AS "o.key", o_orderstatus AS status FROM orders')
+def src_json_order(spark, sf):
+    """Records of several files of unequal size, numbered in path order: a few plain lines, then lists under ``data``."""
+    folder = scratch_dir(spark)
+    o = table(spark, sf, "orders")
+    rec = F.struct(F.struct(F.col("o_orderkey").alias("key")).alias("o"), F.col("o_orderstatus").alias("status"))
+    lists = o.groupBy(F.floor(F.col("o_orderkey") / 8).alias("g")).agg(F.sort_array(F.collect_list(rec)).alias("data"))  # at most 8 a list
+    few = F.col("g") < 5
+    lists.where(few).repartitionByRange(1, "g").sortWithinPartitions("g").select("data").write.json(os.path.join(folder, "json", "a"))
+    lists.where(~few).repartitionByRange(3, "g").sortWithinPartitions("g").select("data").write.json(os.path.join(folder, "json", "b"))
+    t = read_records_json(spark, os.path.join(folder, "json", "*"), multiline=False)
+    return t.df.select(F.col(RID).alias("rid"), "`o.key`", "status")
