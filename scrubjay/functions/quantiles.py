@@ -118,7 +118,9 @@ class _Columns:
     """Targets that are columns: a row gives one cell for every bracket it lies in."""
 
     def __init__(self, df: DataFrame, vals: list):
-        self.df, self.vals = df, vals
+        # values first: brackets name each several times
+        self.df = df.select(*(v.alias(f"v{i}") for i, v in enumerate(vals)))
+        self.vals = [F.col(f"v{i}") for i in range(len(vals))]
 
     def cells(self, brackets, bins=None) -> DataFrame:
         """(p, v) of every row in a bracket, p its place in the list; with ``bins`` (floor, scale) also the bin b."""
@@ -153,10 +155,9 @@ def _in_bracket(v: Column, lo: Column, hi: Column) -> Column:
     return (v >= lo) & (v <= hi)
 
 
-def _bin(v: Column, low: Column, scale: Column, bins: int | None = None) -> Column:
-    bins = BINS if bins is None else bins
-    return (F.when(v == float("-inf"), F.lit(-1)).when(v == float("inf"), F.lit(bins))
-            .otherwise(F.least(F.floor((v - low) * scale), F.lit(bins - 1))).cast("int"))
+def _bin(v: Column, low: Column, scale: Column) -> Column:
+    return (F.when(v == float("-inf"), F.lit(-1)).when(v == float("inf"), F.lit(BINS))
+            .otherwise(F.least(F.floor((v - low) * scale), F.lit(BINS - 1))).cast("int"))
 
 
 def exact_quantiles(df: DataFrame, targets, probs, stats=None, squares: dict | None = None):
@@ -172,13 +173,13 @@ def exact_quantiles(df: DataFrame, targets, probs, stats=None, squares: dict | N
     if stats is None:
         stats, _ = value_stats(df, targets, probs)
     stats = {k: s if isinstance(s, Stats) else Stats(s[0], None, s[1], s[2]) for k, s in stats.items()}
-    search = _Search([stats[k] for k, _, _ in targets], probs)
+    search, source = _Search([stats[k] for k, _, _ in targets], probs), _Columns(df, vals)
     seeded = search.intervals()
     if seeded or squares is not None:
-        sums = search.seeded_pass(df, vals, seeded, squares is not None)
+        sums = search.seeded_pass(source, seeded, squares is not None)
         if squares is not None:
             squares.update({k: sums.get(i, 0.0) if stats[k].n else None for i, (k, _, _) in enumerate(targets)})
-    search.run(_Columns(df, vals))
+    search.run(source)
     return {k: search.result(i) for i, (k, _, _) in enumerate(targets)}
 
 
@@ -252,16 +253,16 @@ class _Search:
                 out[i] = [(lo, hi) for lo, hi in merged]
         return out
 
-    def seeded_pass(self, df: DataFrame, vals: list, seeded: dict, squares: bool) -> dict[int, float]:
+    def seeded_pass(self, source: _Columns, seeded: dict, squares: bool) -> dict[int, float]:
         """Settle ranks by the counts of all zones; the sums of squared deviations by target."""
         ranges = max(1, sum(map(len, seeded.values())))
         bins = max(64, min(SEED_BINS, SEED_ROWS // ranges))
         entries, cols = [], [i for i, s in enumerate(self.stats) if s.n and (squares or i in seeded)]
         for i in cols:
-            v, code, base = vals[i], None, 0
+            v, code, base = source.vals[i], None, 0
             for lo, hi in seeded.get(i, []):
                 scale = bins / (hi - lo) if hi > lo and math.isfinite(bins / (hi - lo)) else 0.0
-                below, inside = F.lit(base), F.lit(base + 1) + _bin(v, F.lit(lo), F.lit(scale), bins)
+                below, inside = F.lit(base), F.least(F.floor((v - F.lit(lo)) * F.lit(scale)), F.lit(bins - 1)) + F.lit(base + 1)
                 code = F.when(v < F.lit(lo), below) if code is None else code.when(v < F.lit(lo), below)
                 code, base = code.when(v <= F.lit(hi), inside), base + bins + 1
             code = F.lit(0) if code is None else code.otherwise(F.lit(base))
@@ -273,7 +274,7 @@ class _Search:
         if not entries:
             return {}
         aggs = [F.count("*").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")] + ([F.sum("d").alias("d")] if squares else [])
-        rows = (df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
+        rows = (source.df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
                 .groupBy("p", "b").agg(*aggs).collect())
         per: dict[int, list] = {}
         sums: dict[int, float] = {}

@@ -16,6 +16,7 @@ from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, prou
 from scrubjay.functions.moments import agg_dict, moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles, summaries, value_stats
 from scrubjay.plans.table import RID, Table
+from scrubjay.session import staged
 
 
 def typed_cells(df: DataFrame, columns, text: bool = False) -> DataFrame:
@@ -343,32 +344,119 @@ def _hashable(c, dt):
     return F.to_json(c) if isinstance(dt, T.MapType) else c
 
 
+#: Shared hashes (16 bytes each) that are broadcast as they are.
+BROADCAST_HASHES = 1_000_000
+#: 64-bit words of the Bloom filter that is broadcast beyond (16 bytes each).
+BLOOM_WORDS = 1 << 20
+
+
+def _keyed(t: Table, hashed) -> DataFrame:
+    return t.df.withColumn("__sj_h", hashed(t)).select("*", F.col("__sj_h.a").alias("__sj_a"), F.col("__sj_h.b").alias("__sj_b")).drop("__sj_h")
+
+
+class _Repeats:
+    """Hashes that several rows have, staged once: (__sj_a, __sj_b, __sj_first, __sj_n), and those of unequal rows."""
+
+    def __init__(self, t: Table, hashed):
+        self.t, self.keyed = t, _keyed(t, hashed)
+        counted = self.keyed.groupBy("__sj_a", "__sj_b").agg(F.min(RID).alias("__sj_first"), F.count("*").alias("__sj_n")).where("__sj_n > 1")
+        self.shared = staged(counted, "shared")
+        self.hashes, self.rows = self.shared.agg(F.count("*"), F.coalesce(F.sum("__sj_n"), F.lit(0))).first()
+        self.mixed = None
+        if self.hashes:
+            # full rows are compared where a hash is shared: one distinct row a hash, but for a collision
+            kinds = self.alike().select("__sj_a", "__sj_b", *[col(c) for c in t.columns]).distinct().groupBy("__sj_a", "__sj_b").count()
+            mixed = kinds.where("count > 1").select("__sj_a", "__sj_b")
+            self.mixed = mixed if mixed.take(1) else None
+
+    def alike(self) -> DataFrame:
+        return candidates(self.keyed, self.shared.select("__sj_a", "__sj_b"), self.hashes)
+
+    def firsts(self) -> DataFrame:
+        first = self.shared.select("__sj_a", "__sj_b", "__sj_first")
+        return F.broadcast(first) if self.hashes <= BROADCAST_HASHES else first
+
+    def unequal(self) -> DataFrame:
+        """Rows whose hash stands for several distinct rows."""
+        return self.alike().join(F.broadcast(self.mixed), ["__sj_a", "__sj_b"], "left_semi")  # collisions of 128 bits
+
+
+def bloom_filter(hashes: DataFrame, words: int) -> DataFrame:
+    """(__sj_w, __sj_m): a Bloom filter in blocks of one 64-bit word; a hash sets three bits of its word."""
+    return hashes.groupBy(_word(words).alias("__sj_w")).agg(F.bit_or(_bits()).alias("__sj_m"))
+
+
+def _word(words: int):
+    return F.pmod(F.col("__sj_a"), F.lit(words))
+
+
+def _bits():
+    return F.expr(" | ".join(f"shiftleft(1L, int(shiftright(__sj_b, {k}) & 63L))" for k in (0, 6, 12)))
+
+
+def candidates(keyed: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """The rows whose hash is one of the ``n`` shared ones.
+
+    Few hashes are broadcast: no row is shuffled. Of many, a Bloom filter of
+    fixed size is broadcast and tested in the scan, so that only rows it lets
+    through (the candidates and a few others) are shuffled to the hashes."""
+    if n <= BROADCAST_HASHES:
+        return keyed.join(F.broadcast(shared), ["__sj_a", "__sj_b"], "left_semi")
+    bloom = F.broadcast(bloom_filter(shared, BLOOM_WORDS))  # at most BLOOM_WORDS rows
+    passed = keyed.join(bloom, _word(BLOOM_WORDS) == F.col("__sj_w")).where(F.col("__sj_m").bitwiseAND(_bits()) == _bits())
+    # an inner join: a semi join would be pushed below the filter, and shuffle the table
+    return passed.drop("__sj_w", "__sj_m").join(shared.hint("merge"), ["__sj_a", "__sj_b"])
+
+
 def repeated_rows(t: Table, hashed=row_hash) -> DataFrame:
     """Row ids of rows that repeat an earlier row (by row id) in every column, nulls equal.
 
-    The first shuffle carries a hash and the row id; full rows are compared
-    only among rows whose hash is shared, so a collision costs time, never a
-    wrong answer."""
-    keyed = t.df.withColumn("__sj_h", hashed(t))
-    shared = keyed.select("__sj_h", RID).groupBy("__sj_h").agg(F.count("*").alias("__sj_n")).where("__sj_n > 1").select("__sj_h")
-    alike = keyed.join(shared, "__sj_h", "left_semi")
-    names = {c: f"__sj_g{i}" for i, c in enumerate(t.columns)}
-    first = (alike.groupBy(F.col("__sj_h").alias("__sj_gh"), *[col(c).alias(g) for c, g in names.items()])
-             .agg(F.min(RID).alias("__sj_first"), F.count("*").alias("__sj_n")).where("__sj_n > 1"))
-    # back to the rows of those groups: all columns again, so that no collision takes a row along
-    same = (F.col("__sj_h") == F.col("__sj_gh")) & (F.col(RID) > F.col("__sj_first"))
+    A hash and the row id of every row are grouped; full rows are read again
+    and compared only where a hash is shared. A hash whose rows are all equal,
+    as they are but for a collision, then stands for them; rows of other
+    hashes are matched to their groups by all columns, so a collision costs
+    time, never a wrong answer."""
+    return _repeat_ids(_Repeats(t, hashed))
+
+
+def _repeat_ids(found: _Repeats) -> DataFrame:
+    if not found.hashes:
+        return found.t.df.select(RID).limit(0)
+    repeats = found.alike().select("__sj_a", "__sj_b", RID)
+    if found.mixed is not None:
+        repeats = repeats.join(F.broadcast(found.mixed), ["__sj_a", "__sj_b"], "left_anti")
+    repeats = repeats.join(found.firsts(), ["__sj_a", "__sj_b"]).where(F.col(RID) > F.col("__sj_first")).select(RID)
+    if found.mixed is None:
+        return repeats
+    names = {c: f"__sj_g{i}" for i, c in enumerate(found.t.columns)}
+    first = found.unequal().groupBy(*[col(c).alias(g) for c, g in names.items()]).agg(F.min(RID).alias("__sj_first"))
+    same = F.col(RID) > F.col("__sj_first")
     for c, g in names.items():
         same = same & col(c).eqNullSafe(F.col(g))
-    return alike.join(first, same, "inner").select(RID)
+    return repeats.unionByName(found.unequal().join(first, same).select(RID))
+
+
+def without_repeats(t: Table, hashed=row_hash) -> DataFrame:
+    """``t.df`` without the rows of ``repeated_rows``: few shared hashes are a
+    filter of the scan by broadcast; of many, the repeats' row ids leave by an anti join."""
+    from scrubjay.operators.patches import small_side
+    found = _Repeats(t, hashed)
+    if not found.hashes:
+        return t.df
+    if found.mixed is None and found.hashes <= BROADCAST_HASHES:
+        kept = found.keyed.join(found.firsts(), ["__sj_a", "__sj_b"], "left").where(F.col("__sj_first").isNull() | (F.col(RID) <= F.col("__sj_first")))
+        return kept.select(*[col(c) for c in t.df.columns])
+    return t.df.join(small_side(staged(_repeat_ids(found), "repeats")), RID, "left_anti")
 
 
 def duplicate_count(t: Table, hashed=row_hash) -> DataFrame:
     """One row ``duplicates``: rows repeating an earlier row in every column (nulls equal)."""
-    keyed = t.df.withColumn("__sj_h", hashed(t))
-    shared = keyed.select("__sj_h").groupBy("__sj_h").agg(F.count("*").alias("__sj_n")).where("__sj_n > 1").select("__sj_h")
-    groups = (keyed.join(shared, "__sj_h", "left_semi").groupBy("__sj_h", *[col(c) for c in t.columns])
-              .agg(F.count("*").alias("__n")))
-    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    found = _Repeats(t, hashed)
+    repeats = found.rows - found.hashes
+    if found.mixed is not None:  # each further distinct row of a hash is a first one too
+        kinds = found.unequal().select("__sj_a", "__sj_b", *[col(c) for c in t.columns]).distinct().groupBy("__sj_a", "__sj_b").count()
+        repeats -= kinds.agg(F.sum(F.col("count") - 1)).first()[0]
+    return t.df.sparkSession.createDataFrame([(repeats,)], "duplicates long")
 
 
 def dataset_summary(t: Table) -> DataFrame:

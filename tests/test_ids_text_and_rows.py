@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrubjay.operators import fills
 from scrubjay.operators import quality as Q
 from scrubjay.operators.patches import drop_rows, header_names
+from scrubjay.operators import profile
 from scrubjay.operators.profile import duplicate_count, repeated_rows
 from scrubjay.operators.steps import apply_step
 from scrubjay.plans.recipe import Recipe, Step, check
@@ -131,7 +132,7 @@ def test_row_checks_leave_the_table_unshuffled(spark):
 def test_dedup_compares_rows_when_hashes_collide(spark):
     rows = [(i, "x" if i % 3 else None, float(i % 4)) for i in range(40)]
     t = Table(spark.createDataFrame(rows, f"{RID} long, a string, v double"))
-    one = lambda t: F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"))  # noqa: E731  every row collides
+    one = lambda t: F.struct(F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b"))  # noqa: E731  every row collides
     seen, want = set(), set()
     for i, *values in rows:
         if tuple(values) in seen:
@@ -141,12 +142,59 @@ def test_dedup_compares_rows_when_hashes_collide(spark):
     assert duplicate_count(t, hashed=one).first()[0] == duplicate_count(t).first()[0] == len(want)
 
 
-def test_first_exchange_of_dedup_carries_hash_and_row_id(spark):
+def _operators_below(plan, line):
+    """The lines of ``plan`` that stand deeper under ``line``."""
+    lines = plan.split("\n")
+    at = lines.index(line)
+    depth = len(line) - len(line.lstrip(" :+-"))
+    below = []
+    for x in lines[at + 1:]:
+        if len(x) - len(x.lstrip(" :+-")) <= depth:
+            break
+        below.append(x)
+    return "\n".join(below)
+
+
+def test_only_candidates_are_shuffled_whole(spark, monkeypatch):
     t = fixture(spark, SF_SMALL, "ord_dups")
-    shared = _plan(repeated_rows(t))
-    aggregates = [line for line in shared.split("\n") if "partial_count" in line and "keys=[__sj_h#" in line and "__sj_gh" not in line]
-    aggregates = [a for a in aggregates if a.split("keys=[")[1].startswith("__sj_h#") and "," not in a.split("keys=[")[1].split("]")[0]]
-    assert aggregates and not any("o_totalprice" in a for a in aggregates)
+    staged_columns = []
+    real = profile.staged
+    monkeypatch.setattr(profile, "staged", lambda df, tag="": (staged_columns.append(df.columns), real(df, tag))[1])
+    kept = profile.without_repeats(t)
+    assert staged_columns == [["__sj_a", "__sj_b", "__sj_first", "__sj_n"]]
+    assert "hashpartitioning" not in _plan(kept)  # few hashes: a filter of the scan
+    monkeypatch.setattr(profile, "BROADCAST_HASHES", 0)
+    many = profile._Repeats(t, profile.row_hash)
+    plan = _plan(many.alike())
+    whole = [x for x in plan.split("\n") if "Exchange hashpartitioning(__sj_a" in x and "__sj_m" not in x and "o_totalprice" in _operators_below(plan, x)]
+    assert whole and all("BroadcastHashJoin" in _operators_below(plan, x) for x in whole)
+    assert many.hashes > 0 and many.alike().count() == 2 * many.hashes
+
+
+@pytest.mark.parametrize("limit,words", [(1_000_000, 1 << 20), (0, 1 << 20), (0, 1)])
+def test_dedup_by_broadcast_and_by_bloom_filter(spark, monkeypatch, limit, words):
+    monkeypatch.setattr(profile, "BROADCAST_HASHES", limit)
+    monkeypatch.setattr(profile, "BLOOM_WORDS", words)
+    rows = [(i, "x" if i % 3 else None, float(i % 4), -0.0 if i % 2 else 0.0) for i in range(40)] + [(50 + i, f"own{i}", None, 1.0) for i in range(30)]
+    t = Table(spark.createDataFrame(rows, f"{RID} long, a string, v double, z double").repartition(5))
+    seen, want = set(), set()
+    for i, *values in rows:
+        if tuple(values) in seen:
+            want.add(i)
+        seen.add(tuple(values))
+    one = lambda t: F.struct(F.when(F.col("v") < 2, 1).otherwise(2).cast("long").alias("a"), F.lit(2).cast("long").alias("b"))
+    for hashed in (profile.row_hash, one):
+        assert {r[0] for r in repeated_rows(t, hashed).collect()} == want
+        assert {r[RID] for r in profile.without_repeats(t, hashed).collect()} == {r[0] for r in rows} - want
+        assert profile.without_repeats(t, hashed).columns == t.df.columns
+        assert duplicate_count(t, hashed).first()[0] == len(want)
+
+
+def test_a_table_without_repeats_stays_as_it_is(spark):
+    t = Table(spark.createDataFrame([(i, i) for i in range(9)], f"{RID} long, a long"))
+    assert profile.without_repeats(t) is t.df and repeated_rows(t).count() == 0 and duplicate_count(t).first()[0] == 0
+    none = Table(t.df.where("a > 100"))
+    assert profile.without_repeats(none).count() == 0 and duplicate_count(none).first()[0] == 0
 
 
 def test_positions_stage_only_ids(spark, monkeypatch):
