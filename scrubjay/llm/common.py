@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def in_share(key: Column, wanted: int, total: int) -> Column:
+def in_share(key: Column, wanted: int, total: Column | int) -> Column:
     """Holds for about four times ``wanted`` of ``total`` rows, chosen by an md5 text: what a top-``wanted``
     by that text then sorts does not grow with the number of tasks."""
-    bound = min(1 << 32, math.ceil(4 * wanted / max(1, total) * (1 << 32)) + (1 << 32) * 16 // max(16, total))
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < F.lit(bound)
+    total = F.greatest(F.lit(16), total if isinstance(total, Column) else F.lit(total)).cast("double")
+    share = F.least(F.lit(1.0), (4 * wanted + 16) / total)
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < F.ceil(share * float(1 << 32))
 
 
 def has_rows(df: DataFrame) -> bool:

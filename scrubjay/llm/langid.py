@@ -12,14 +12,11 @@ another language do not decide: any window of a text may switch to the language
 that codes it best, for a fixed price.
 
 Trees come from a bounded sample (``MAX_DOCS`` whole documents a language, by
-hash of the id). Scoring reads each text where it lies, without a shuffle.
+hash of id and text). Scoring reads each text where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -165,22 +162,31 @@ class Trees:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
-    """Trees from whole texts with a language whose id's crc32 leaves a remainder other than 0 modulo 5."""
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
+    """Trees from whole texts with a language whose id's crc32 leaves a remainder other than 0 modulo 5.
+
+    The sample holds up to ``max_docs`` distinct rows (id and text) of each
+    language, those with the smallest hash, whatever ids or rows repeat.
+    """
+    text = F.col("text").cast("string")
+    known = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("text"), F.md5(F.concat_ws(
+        ":", F.col("doc_id").cast("string"), F.xxhash64(text).cast("string"), F.length(text).cast("string"))).alias("key")).where(
         (fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
-    count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    ids = known.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("key"))
-    few = [(F.col("lang") == lang) & in_share(F.col("key"), max_docs, n) for lang, n in count.items()]
-    by_hash = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = ids.where(reduce(or_, few, F.lit(False))).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_docs)
-    sample = written(ids.select("doc_id").distinct(), "taught")  # at most max_docs ids a language: broadcast
-    counts = known.join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(
+    # one short row per distinct row, repeats collapsed before the shuffle; "rows" counts them all
+    each = written(known.groupBy("lang", "key").agg(F.count("*").alias("rows")), "known")
+    count = each.groupBy("lang").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    few = each.join(count.select("lang", "n"), "lang").where(in_share(F.col("key"), max_docs, F.col("n")))
+    by_hash = Window.partitionBy("lang").orderBy("key")
+    few = few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_docs)
+    sample = written(few.select("lang", "key"), "taught")  # at most max_docs rows a language
+    taught = known.join(sample, ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))  # equal texts
+    counts = taught.select("lang", "text").mapInArrow(
         _counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     rows = counts.toPandas().sort_values("gram")  # bounded by the sample's bytes
-    langs = sorted(count)
+    size = {r["lang"]: r["rows"] for r in count.select("lang", "rows").collect()}  # one row per language
+    langs = sorted(size)
     grams = {(k, langs.index(lang)): (g.gram.to_numpy(np.int64), g.n.to_numpy(np.int64)) for (k, lang), g in rows.groupby(["k", "lang"])}
-    total = sum(count.values())
-    return Trees(langs, np.array([-np.log2(count[x] / total) for x in langs]), grams)
+    total = sum(size.values())
+    return Trees(langs, np.array([-np.log2(size[x] / total) for x in langs]), grams)
 
 
 def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,7 +63,8 @@ def schedule(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), passes: int =
     ``__row`` of ``common.numbered`` is carried along if it is there.
     """
     row = ["__row"] if "__row" in docs.columns else []
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.md5(text)), F.lit(str(seed))))  # no id: by text
     queued = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                                  words(F.col(text_col)).alias("size"), F.substring(key, 1, 16).alias("key"), *row), "queue")
     sources = written(_sources(queued, cycle, passes), "sources")
@@ -109,7 +110,7 @@ def copies(docs: DataFrame, scheduled: DataFrame, id_col: str = "doc_id") -> Dat
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '') || ':0'), 1, 16) AS key FROM documents),
+         substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':0'), 1, 16) AS key FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap, (3 * source_size)::DOUBLE / ((rank - 1) % 3 + 1) AS ends FROM s),

@@ -61,9 +61,9 @@ def op6(spark, sf_dir):
 
 @query("op7_token_files")
 def op7(spark, sf_dir):
-    files = token_files.write_token_files(table(spark, sf_dir, "documents"),
-                                          public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "tokens"))
-    return token_files.read_token_files(spark, files)
+    folder = scratch_path(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_token_files(spark, token_files.open_token_files(folder))
 
 
 @query("op8_covertree", covertree.ORACLE)

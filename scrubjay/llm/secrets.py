@@ -29,6 +29,8 @@ KINDS = [
 PLACEHOLDER = r"example|sample|changeme|placeholder|dummy|your|xxxx|0000|1234"
 #: A value under this many distinct owners is a copied example.
 WIDE_OWNERS = 5
+#: Code points of the parts that a text is cut into for redaction.
+PART_CHARS = 2048
 #: A live-looking value has at least this many distinct characters.
 LIVE_CHARS = 8
 
@@ -125,6 +127,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     return hits.unionByName(none)
 
 
+def _between(a: Column, b: Column) -> Column:
+    """The text from code point ``a`` to ``b``, from the parts that hold it."""
+    first, last = F.floor(a / PART_CHARS), F.floor((b - 1) / PART_CHARS)
+    held = F.array_join(F.slice("__parts", (first + 1).cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")), "")
+    return F.when(b > a, F.substring(held, (a - first * PART_CHARS + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+
 def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every span replaced: ``[SECRET]`` where a live or placeholder value lies, else ``[EXAMPLE]``.
 
@@ -142,10 +151,12 @@ def redact(docs: DataFrame, text_col: str = "text", repo_col: str = "source", le
     islands = islands.withColumn("after", F.coalesce(F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0)))
     cuts = islands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "after", "example"))).alias("__cuts"),
                                       F.max("end").cast("int").alias("__last")).withColumnRenamed("row", "__cut_row")
-    text = _text(found, text_col)
-    piece = lambda c: F.concat(F.substring(text, c["after"].cast("int") + 1, (c["start"] - c["after"]).cast("int")),
-                               F.when(c["example"], "[EXAMPLE]").otherwise("[SECRET]"))
-    masked = F.concat(F.array_join(F.transform("__cuts", piece), ""), F.substring(text, F.col("__last") + 1, F.length(text)))
+    # the text in equal parts, made before the join: a span's gap is cut from the parts it touches, not from the text's start
+    parts = F.regexp_extract_all(_text(found, text_col), F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))
+    found = found.withColumn("__parts", parts)
+    piece = lambda c: F.concat(_between(c["after"], c["start"]), F.when(c["example"], "[EXAMPLE]").otherwise("[SECRET]"))
+    tail = _between(F.col("__last"), F.length(_text(found, text_col)))
+    masked = F.concat(F.array_join(F.transform("__cuts", piece), ""), tail)
     same = F.col("__cuts").isNull()
     hits = found.join(cuts, F.col("__row") == F.col("__cut_row"), "left").withColumn(
         text_col, F.when(same, F.col(f"`{text_col}`")).otherwise(masked))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -81,14 +82,41 @@ PLAIN = byte_classes([(0, 8), (14, 31), (33, 255)])
 ALNUM = byte_classes([(48, 57), (65, 90), (97, 122), (128, 255)])
 
 
-def segments(value: np.ndarray, start: np.ndarray, *ends: np.ndarray, several: bool = False):
-    """64-bit hash of the values from ``start`` to each of ``ends``; values are greater than 0."""
+def segments(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the values from ``start`` to ``end``; values are greater than 0.
+
+    A polynomial modulo 2 ** 64: quick for any values, but unlike segments can
+    be made that share one, so callers compare what they look up by it."""
     n = len(value)
     total = np.zeros(n + 1, _U)
     np.cumsum(value * _powers(_BASE, n + 1)[:n], out=total[1:])
-    shift = _powers(_INVERSE, n + 1)[start]
-    out = [mix((total[e] - total[start]) * shift) for e in ends]
-    return out if several else out[0]
+    return mix((total[end] - total[start]) * _powers(_INVERSE, n + 1)[start])
+
+
+#: Bytes beyond which a word's hash is a BLAKE2 digest.
+LONG_WORD = 64
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)  # masks of the first k bytes
+
+
+def _word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of lowered bytes; ``low`` has eight bytes to spare.
+
+    Words up to 8 bytes of one length never share a hash. Longer ones go
+    through a mixing step for every 8 bytes, those beyond ``LONG_WORD`` through
+    BLAKE2, so that other pairs do with a chance of about 2 ** -64 each."""
+    h = mix(size.astype(_U) * _PARTS[7])
+    eight = np.lib.stride_tricks.as_strided(low, (len(low) - 7, 8), (1, 1))
+    at = np.flatnonzero(size <= LONG_WORD)
+    k = 0
+    while len(at):
+        lane = np.ascontiguousarray(eight[start[at] + k]).view("<u8").ravel() & _BYTES[np.minimum(size[at] - k, 8)]
+        h[at] = mix(h[at] ^ lane)
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        word = low[start[i]:start[i] + size[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int, classes: np.ndarray,
@@ -115,8 +143,10 @@ def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int, classes: np.nda
     ends = inside[:n] & (~inside[1:] | edge[1:])
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     count = np.diff(np.searchsorted(start, offsets[a:b + 1] - lo))
-    whole, *parts = segments(value, start, end, *(np.minimum(end, start + k) for k in stems), several=True)
-    return whole, count, *parts
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = (value - _U(1)).astype(np.uint8)
+    size = end - start
+    return _word_hashes(low, start, size), count, *(_word_hashes(low, start, np.minimum(size, k)) for k in stems)
 
 
 def sequences(word: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

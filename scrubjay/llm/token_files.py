@@ -4,8 +4,13 @@ Documents are range-partitioned by id and sorted, each task encodes its range
 and writes three flat files: ids (unsigned 16 or 32 bit, little-endian, by
 vocabulary size), offsets (unsigned 64 bit, one more than documents, counted
 from the part's first id) and document ids (signed 64 bit). One row per part
-comes back; prefix sums over these rows give every part's base, and the
-manifest stores them. Readers memory-map a part and add its base.
+comes back; prefix sums over these rows give every part's base, and a manifest
+in the folder (JSON: dtype of the ids and the parts with their bases) stores
+them, so that any later session opens the set. Readers memory-map a part and
+add its base.
+
+Pretokens are known by a hash and compared with the learnt one's code points, so
+ids are always those of the library.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ from scrubjay.llm import textnum
 from scrubjay.llm.pretokens import byte_level_starts
 from scrubjay.llm.textnum import Lookup
 
-#: Pretokens a worker remembers (about 50 bytes each); past this it starts anew (results do not change).
+#: Pretokens a worker remembers (about 100 bytes each); past this it starts anew (results do not change).
 CACHE = 1_500_000
 #: Pretokens met since the large table of known ones was last built anew.
 YOUNG = 150_000
 #: Bytes of text whose pretokens are found together.
 BLOCK = 2 << 20
+#: Characters of a text by which rows that share an id, or have none, are dealt to parts.
+RANGE_CHARS = 32
+MANIFEST = "manifest.json"
 
 
 class PretokenEncoder:
@@ -53,6 +61,8 @@ class PretokenEncoder:
         self.old = self.young = Lookup(np.empty(0, np.uint64))
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, self.dtype)
+        self.length = np.empty(0, np.int64)  # code points of the learnt pretokens, end to end
+        self.points = np.empty(0, np.uint32)
 
     def _find(self, word: np.ndarray) -> np.ndarray:
         place = self.old.find(word)
@@ -67,6 +77,17 @@ class PretokenEncoder:
             self.old, young = Lookup(np.concatenate([self.old.keys, young])), young[:0]
         self.young = Lookup(young)
 
+    def _others(self, place: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which pretokens differ from the learnt ones that their hashes led to; they lie end to end in ``points``."""
+        length = end - start
+        begin = (np.cumsum(self.length) - self.length)[place]
+        source = np.repeat(begin - start, length) + np.arange(len(points))
+        differ = points != self.points[np.minimum(source, len(self.points) - 1)]
+        return np.flatnonzero(np.logical_or.reduceat(differ, start) | (self.length[place] != length))
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [i for s in self.specials for i, t in enumerate(texts) if s in t]
         plain = list(texts)
@@ -94,16 +115,23 @@ class PretokenEncoder:
         if len(missing):
             new, first = np.unique(word[missing], return_index=True)
             first = missing[first]
-            coded = self.tokenizer.encode_batch_fast(
-                [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)
-            ids = [e.ids for e in coded]
+            ids = self._library([joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self.length = np.concatenate([self.length, (end - start)[first]])
+            self.points = np.concatenate([self.points, *(points[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True))])
             self.size = np.concatenate([self.size, [len(x) for x in ids]])
             self.ids = np.concatenate([self.ids, np.array(list(itertools.chain.from_iterable(ids)), self.dtype)])
             self._learn(new)
             place[missing] = self._find(word[missing])
-        offset, size = (np.cumsum(self.size) - self.size)[place], self.size[place]
+        known, size, ids = np.cumsum(self.size) - self.size, self.size[place], self.ids
+        offset = known[place]
+        others = self._others(place, points, start, end)
+        if len(others):  # a hash shared by unlike pretokens: the library codes these each time
+            coded = self._library([joined[a:b] for a, b in zip(start[others].tolist(), end[others].tolist(), strict=True)])
+            size[others] = [len(x) for x in coded]
+            offset[others] = len(ids) + np.cumsum(size[others]) - size[others]
+            ids = np.concatenate([ids, np.array(list(itertools.chain.from_iterable(coded)), self.dtype)])
         done = np.cumsum(size)
-        flat = self.ids[np.repeat(offset - done + size, size) + np.arange(int(done[-1]))]
+        flat = ids[np.repeat(offset - done + size, size) + np.arange(int(done[-1]))]
         bound = np.append(0, done)[np.searchsorted(start, np.append(at, len(points)))]
         return [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
@@ -115,7 +143,7 @@ def _encoder(raw: bytes, dtype: str) -> PretokenEncoder:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """A written set: folder, dtype of ids and one row per part with its bases."""
+    """A written set: folder, dtype of ids and one row per part with its bases (what the manifest holds)."""
 
     folder: str
     dtype: str
@@ -153,7 +181,8 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
     ``folder`` must be storage that executors and driver share. Null and empty
     texts give only the end id; null document ids come first (their number is
     kept with the part) and rows repeating an id keep the order of their
-    texts; an empty table gives a set without parts; other columns are ignored.
+    texts, parts being cut between texts too; an empty table gives a set
+    without parts; other columns are ignored.
     """
     spark = docs.sparkSession
     with open(vocab_path, "rb") as f:
@@ -189,7 +218,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+            .repartitionByRange(n, "id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("id", "text")
             .withColumn("part", F.spark_partition_id().cast("long")))
     # one short row per part, whatever the number of documents
     made = sorted(tuple(r) for r in rows.mapInArrow(run, "part long, docs long, nulls long, ids long").collect())
@@ -197,9 +226,21 @@ def write_token_files(docs: DataFrame, vocab_path: str, folder: str, end_id: int
     for part, n_docs, nulls, n_ids in made:
         parts.append((part, n_docs, nulls, n_ids, first_doc, first_id))
         first_doc, first_id = first_doc + n_docs, first_id + n_ids
+    fs, base = _open(folder)
+    fs.create_dir(base, recursive=True)
+    with _whole(fs, posixpath.join(base, MANIFEST)) as f:
+        f.write(json.dumps({"dtype": dtype, "end_id": end_id, "parts": parts}).encode())
     return TokenFiles(folder, dtype, parts)
 
 
+def open_token_files(folder: str) -> TokenFiles:
+    """A set that was written before, from its manifest."""
+    fs, base = _open(folder)
+    with fs.open_input_file(posixpath.join(base, MANIFEST)) as f:
+        found = json.loads(f.read())
+    return TokenFiles(folder, found["dtype"], [tuple(p) for p in found["parts"]])
+
+
 def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """One row per document from the memory-mapped files: (doc_id, start, n_tokens, ids_crc32).
 

@@ -3,13 +3,15 @@
 A document's features are the distinct buckets of its words, their stems (the
 first few bytes), word pairs and pairs with one word between. Training reads a bounded sample of labelled rows
 (``MAX_TRAIN_ROWS``, by hash of the id); feature extraction is spread over the
-cluster and one task runs the per-coordinate updates in the sample's order. L1
-leaves few weights, which are broadcast; their number is bounded by
-``2 ** BITS``. Scoring reads every whole text where it lies, without a shuffle.
+cluster and one task runs the per-coordinate updates in the sample's order, the
+sample passing by once an epoch: it holds the state of ``2 ** BITS`` coordinates
+and never the sample. L1 leaves few weights, which are broadcast. Scoring reads
+every whole text where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,17 +85,25 @@ def _sigmoid(x):
 
 
 def _train(batches):
-    bias = 1 << BITS
-    rows = [(np.frombuffer(f, "<i4"), y) for b in batches for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-    model = Ftrl(bias + 1)
-    for _ in range(EPOCHS):
-        for at, label in rows:
-            model.learn(at, label)
+    """Updates in the order of the rows, each epoch's rows after those of the one before; nothing but the state is kept."""
+    model = Ftrl((1 << BITS) + 1)
+    for batch in batches:
+        labels = batch.column("label").to_numpy(zero_copy_only=False)
+        data, offsets = _binary(batch.column("features"))
+        for k, label in enumerate(labels.tolist()):
+            model.learn(data[offsets[k]:offsets[k + 1]], label)
     w = model.weights(slice(None))
     kept = np.flatnonzero(w)
     yield pa.record_batch([pa.array(kept, pa.int64()), pa.array(w[kept])], names=["bucket", "weight"])
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of little-endian 32-bit integers as (all integers, offsets), without copies."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4) // 4
+    return np.frombuffer(data, "<i4") if data is not None else np.empty(0, "<i4"), at
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Weights from labelled rows whose id's crc32 leaves no remainder 1 modulo 3.
 
@@ -106,9 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     few = ids.where(in_share(F.col("key"), max_rows, ids.count()))
     sample = written(few.orderBy("key").limit(max_rows), "sample")  # at most max_rows short rows: broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("key", F.col("label").cast("int").alias("label"), "text")
+    # of several texts under one id the one with the smallest md5 teaches
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.groupBy("key", F.col("label").cast("int").alias("label")).agg(F.min_by(text, F.md5(text)).alias("text"))
     features = rows.mapInArrow(_features, "key string, label int, features binary")
-    w = features.repartition(1).sortWithinPartitions("key").mapInArrow(_train, "bucket long, weight double").toPandas()
+    epochs = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    w = epochs.repartition(1).sortWithinPartitions("epoch", "key").mapInArrow(_train, "bucket long, weight double").toPandas()
     w = w.sort_values("bucket")
     bias = w.weight[w.bucket == 1 << BITS].sum()
     w = w[w.bucket < 1 << BITS]
@@ -154,12 +167,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more."""
+    """``docs``, all columns, without the rows that score ``threshold`` or more.
+
+    Rows are scored as by ``score``, null and empty texts and repeated rows
+    too; an empty table stays empty. Only the text goes to Python.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = _scorer(sent.value)
-        for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(batch.num_columns - 1)) < threshold)).select(range(batch.num_columns - 1))
+        for text in texts:
+            yield pa.array(scores(text))
 
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    scored = F.arrow_udf(run, "double")
+    return docs.where(scored(F.col(f"`{text_col}`").cast("string")) < threshold)
