@@ -52,7 +52,7 @@ def _place() -> Column:
 _NO_FIELD = ("FIELD_NOT_FOUND", "UNRESOLVED_COLUMN", "UNRESOLVED_FIELD")
 
 
-def _has(df: DataFrame, field: str) -> bool:
+def has_metadata(df: DataFrame, field: str) -> bool:
     """Whether ``df`` is a file read whose rows know ``_metadata.<field>``."""
     try:
         df.select(F.col(f"_metadata.{field}"))
@@ -69,10 +69,10 @@ def with_load_order_id(df: DataFrame, name: str = "_rid", reshape=None) -> DataF
     ``reshape`` may turn a row into several or none (an explode, in order)
     before rows are numbered; it must keep the columns that begin with ``__sj_r``."""
     path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    if reshape is None and _has(df, "row_index"):  # only Parquet knows a row's index in its file
+    if reshape is None and has_metadata(df, "row_index"):  # only Parquet knows a row's index in its file
         tagged = df.select("*", F.xxhash64(path).alias("__sj_rg"), path.alias("__sj_rp"), F.col("_metadata.row_index").alias("__sj_ri"))
         return _number(tagged, F.col("__sj_rp"), name)
-    if not _has(df, "file_path"):  # not read from files
+    if not has_metadata(df, "file_path"):  # not read from files
         return with_row_id(df if reshape is None else reshape(df), name=name)
     tagged = df.select("*", F.xxhash64(path, start).alias("__sj_rg"), F.struct(path, start).alias("__sj_rp"))
     tagged = (tagged if reshape is None else reshape(tagged)).withColumn("__sj_ri", _place())
