@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubjay.llm import bpe, minhash, mixing, secrets, toxicity
-from scrubjay.llm.common import numbered, table
+from scrubjay.llm.common import row_key, table
 from scrubjay.session import scratch_path
 
 
@@ -33,7 +33,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole, in mixed order."""
-    rows = numbered(docs, "numbered")
+    rows = row_key(docs, "numbered")
     return mixing.copies(rows, mixing.schedule(rows))
 
 

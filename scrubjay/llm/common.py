@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.session import staged
+from scrubjay.sources.rowid import has_metadata
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,16 @@ def numbered(df: DataFrame, tag: str) -> DataFrame:
     return written(df.withColumn("__row", F.monotonically_increasing_id()), tag)
 
 
+def row_key(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with a key for every row, ``__row``, the same in every later read.
+
+    A row of a Parquet read is known by its file and its index there, so nothing
+    is written; other frames are numbered and written once."""
+    if not has_metadata(df, "row_index"):
+        return numbered(df, tag)
+    return df.withColumn("__row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))

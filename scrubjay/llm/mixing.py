@@ -59,8 +59,8 @@ def schedule(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), passes: int =
 
     Null and empty texts have size 0 and an empty queue. Repeated rows and null
     ids queue like others (equal rows are interchangeable); an empty table
-    gives an empty schedule; other columns are ignored, but the row number
-    ``__row`` of ``common.numbered`` is carried along if it is there.
+    gives an empty schedule; other columns are ignored, but the row key
+    ``__row`` of ``common.row_key`` is carried along if it is there.
     """
     row = ["__row"] if "__row" in docs.columns else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -94,10 +94,10 @@ def taken(scheduled: DataFrame) -> Column:
 def copies(docs: DataFrame, scheduled: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix as whole documents: each row as often as passes serve at least half of it, in mixed order.
 
-    ``docs`` has the row numbers ``__row`` of ``common.numbered``, ``scheduled``
+    ``docs`` has the row keys ``__row`` of ``common.row_key``, ``scheduled``
     is its schedule: every row has the passes of its own queue, whatever ids
     are null or repeated. Rows are range-sorted by virtual finish time and go
-    without their number; documents without words, which weigh nothing in any
+    without their key; documents without words, which weigh nothing in any
     mix, stay once.
     """
     half = F.filter(F.col("queue"), lambda q: 2 * q["words"] >= F.col("size"))

@@ -3,10 +3,10 @@
 A document's features are the distinct buckets of its words, their stems (the
 first few bytes), word pairs and pairs with one word between. Training reads a bounded sample of labelled rows
 (``MAX_TRAIN_ROWS``, by hash of the id); feature extraction is spread over the
-cluster and one task runs the per-coordinate updates in the sample's order, the
-sample passing by once an epoch: it holds the state of ``2 ** BITS`` coordinates
-and never the sample. L1 leaves few weights, which are broadcast. Scoring reads
-every whole text where it lies, without a shuffle.
+cluster and one task runs the per-coordinate updates in the sample's order. It
+holds 4 bytes for each distinct feature of a row (``2 ** BITS`` a row at most).
+L1 leaves few weights, which are broadcast. Scoring reads every whole text where
+it lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -85,13 +85,22 @@ def _sigmoid(x):
 
 
 def _train(batches):
-    """Updates in the order of the rows, each epoch's rows after those of the one before; nothing but the state is kept."""
-    model = Ftrl((1 << BITS) + 1)
+    """Updates in the order of the rows, epoch after epoch; the sample is held as plain integers."""
+    parts, sizes, labels = [], [], []
     for batch in batches:
-        labels = batch.column("label").to_numpy(zero_copy_only=False)
         data, offsets = _binary(batch.column("features"))
-        for k, label in enumerate(labels.tolist()):
-            model.learn(data[offsets[k]:offsets[k + 1]], label)
+        parts.append(data[offsets[0]:offsets[-1]].copy())
+        sizes.append(np.diff(offsets))
+        labels += batch.column("label").to_pylist()
+    model = Ftrl((1 << BITS) + 1)
+    for _ in range(EPOCHS):
+        row = iter(labels)
+        for part, size in zip(parts, sizes, strict=True):
+            end = 0
+            for n in size.tolist():
+                begin, end = end, end + n
+                model.learn(part[begin:end], next(row))
+    del parts
     w = model.weights(slice(None))
     kept = np.flatnonzero(w)
     yield pa.record_batch([pa.array(kept, pa.int64()), pa.array(w[kept])], names=["bucket", "weight"])
@@ -120,8 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     text = F.coalesce("text", F.lit(""))
     rows = rows.groupBy("key", F.col("label").cast("int").alias("label")).agg(F.min_by(text, F.md5(text)).alias("text"))
     features = rows.mapInArrow(_features, "key string, label int, features binary")
-    epochs = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    w = epochs.repartition(1).sortWithinPartitions("epoch", "key").mapInArrow(_train, "bucket long, weight double").toPandas()
+    w = features.repartition(1).sortWithinPartitions("key").mapInArrow(_train, "bucket long, weight double").toPandas()
     w = w.sort_values("bucket")
     bias = w.weight[w.bucket == 1 << BITS].sum()
     w = w[w.bucket < 1 << BITS]

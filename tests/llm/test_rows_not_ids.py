@@ -50,3 +50,21 @@ def test_mixed_sources_meet_their_targets_whatever_the_ids(spark):
         # whole rounds of the source: two rows differ by one pass at most
         n = [times[t] for _, t, _, s in given if s == source]
         assert max(n) - min(n) <= 1
+
+
+def test_rows_of_a_parquet_read_need_no_copy(spark, tmp_dir, monkeypatch):
+    """The same mix from a Parquet read, whose rows know their places, as from a numbered frame; nothing is written but short rows."""
+    rng = random.Random(5)
+    given = [(rng.choice([None, 7, 100 + i]), f"row{i} " + prose(rng, rng.randint(0, 30)), "en", "aab"[i % 3]) for i in range(300)]
+    documents(spark, given).repartition(3).write.parquet(f"{tmp_dir}/d")
+    read = spark.read.parquet(f"{tmp_dir}/d")
+    tags = []
+    real = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, tag: (tags.append((tag, "text" in df.columns)), real(df, tag))[1])
+    mixed = corpus_pipeline.mix_sources(spark, read, "")
+    assert mixed.columns == read.columns and tags == [("queue", False), ("sources", False)]
+    words = defaultdict(int)
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+    target = {r["source"]: r["target"] for r in mixing.schedule(read).collect()}
+    assert all(abs(words[s] - t) <= 16 for s, t in target.items())
