@@ -174,15 +174,16 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
     # one short row per distinct row, repeats collapsed before the shuffle; "rows" counts them all
     each = written(known.groupBy("lang", "key").agg(F.count("*").alias("rows")), "known")
     count = each.groupBy("lang").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
-    few = each.join(count.select("lang", "n"), "lang").where(in_share(F.col("key"), max_docs, F.col("n")))
+    size = {r["lang"]: r["rows"] for r in count.select("lang", "rows").collect()}  # one row per language, as in the broadcast
+    few = each.join(F.broadcast(count.select("lang", "n")), "lang").where(in_share(F.col("key"), max_docs, F.col("n")))
     by_hash = Window.partitionBy("lang").orderBy("key")
     few = few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= max_docs)
     sample = written(few.select("lang", "key"), "taught")  # at most max_docs rows a language
     taught = known.join(sample, ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))  # equal texts
-    counts = taught.select("lang", "text").mapInArrow(
+    # about a language's sample a task, so that its repeated strings are counted before they are shuffled
+    counts = taught.select("lang", "text").coalesce(max(4, len(size))).mapInArrow(
         _counts, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     rows = counts.toPandas().sort_values("gram")  # bounded by the sample's bytes
-    size = {r["lang"]: r["rows"] for r in count.select("lang", "rows").collect()}  # one row per language
     langs = sorted(size)
     grams = {(k, langs.index(lang)): (g.gram.to_numpy(np.int64), g.n.to_numpy(np.int64)) for (k, lang), g in rows.groupby(["k", "lang"])}
     total = sum(size.values())
