@@ -128,6 +128,39 @@ def to_num(c: Column, dt: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+# Doubles from 1e16 on have no fraction; below 2^126 they are two halves of 63 bits.
+_WHOLE_MIN, _WHOLE_MAX = 1e16, 2.0 ** 126
+
+
+def _rounded(whole: Column, way: Column) -> Column:
+    """(digits, text) of an integer's text rounded to ``way.n`` digits, ties to
+    even, or ``way.up``: ``digits`` reads as a number."""
+    n = way["n"]
+    kept, following = F.substring(whole, F.lit(1), n).cast("long"), F.substring(whole, n + 1, F.lit(1))
+    up = way["up"] | (following > "5") | ((following == "5") & (F.substring(whole, n + 2, F.lit(40)).rlike("[1-9]") | (kept % 2 == 1)))
+    digits, zeros = (kept + F.when(up, 1).otherwise(0)).cast("string"), F.length(whole) - n
+    text = F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 20)), r"\.?0+$", "")
+    return F.struct(F.concat(digits, F.lit("e"), zeros.cast("string")).alias("digits"),
+                    F.concat(text, F.lit("e+"), (zeros + F.length(digits) - 1).cast("string")).alias("text"))
+
+
+def _whole_text(a: Column) -> Column:
+    """``d.ddde+NN`` of a double from 1e16 to below 2^126: its exact integer
+    rounded to the fewest digits that read back as the same value.  Java's own
+    digits are not always the shortest, and rounding those misses the last one.
+    Lambdas name the integer and its roundings once; as plain expressions they
+    would be copied into every use."""
+    half = F.lit(2.0 ** 63)
+    hi = F.floor(a / half).cast("double")
+    parts = [x.try_cast("long").cast("decimal(19,0)") for x in (hi, a - hi * half)]
+    whole = (parts[0] * F.lit(str(2 ** 63)).cast("decimal(19,0)") + parts[1]).cast("string")
+    # at a power of two the next lower double is nearer: the upper neighbour may read back where the nearest digits don't
+    ways = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(up).alias("up")) for n, up in
+                     ((15, False), (15, True), (16, False), (16, True), (17, False))])
+    roundings = F.transform(F.array(whole), lambda w: F.transform(ways, lambda way: _rounded(w, way)))[0]
+    return F.filter(roundings, lambda r: r["digits"].cast("double") == a)[0]["text"]
+
+
 def double_to_str(c: Column) -> Column:
     """Format a double like Python's ``str(float)``: plain decimals from 1e-4 to below 1e16."""
     a, text = F.abs(c), c.cast("string")
@@ -143,7 +176,8 @@ def double_to_str(c: Column) -> Column:
             .when(F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .when((a >= 1e16) | ((a < 1e-4) & (a > 0)), far)
+            .when((a >= _WHOLE_MIN) & (a < _WHOLE_MAX), F.concat(sign, _whole_text(a)))
+            .when((a >= _WHOLE_MIN) | ((a < 1e-4) & (a > 0)), far)
             .when((a < 1e-3) & (a > 0), small)
             .when((c == F.floor(c)) & (a > 0), F.concat(F.floor(c).cast("long").cast("string"), F.lit(".0")))
             .when(a >= 1e7, F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", ""))

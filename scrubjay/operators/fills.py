@@ -4,6 +4,8 @@ Rows are cut into blocks of consecutive keys, ``floor(key / block_rows)``, a
 few blocks per core and never more than ``MAX_BLOCKS``.  The key is the row id
 if its blocks, counted, are even; a sparse or clustered row id is replaced by
 the dense position in the order, which makes every block ``block_rows`` rows.
+After a sort the whole rows are range-partitioned by it and staged once: a
+block is then a partition, and no join brings positions to rows.
 
 1. Inside each block a running ``last(ignorenulls)`` window fills the gaps
    (backward fill runs the same frame in descending order: a frame ending at
@@ -28,6 +30,7 @@ from scrubjay.functions.exprs import col
 from scrubjay.operators.patches import small_side
 from scrubjay.plans.table import RID, Table
 from scrubjay.session import staged
+from scrubjay.sources.rowid import staged_by
 
 MIN_BLOCK_ROWS = 1 << 12
 MAX_BLOCKS = 200_000
@@ -51,6 +54,10 @@ def _keyed(t: Table, block_rows: int | None):
         fullest = t.df.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0]
         if fullest <= 2 * rows:
             return t.df.withColumn("__sj_blk", block), RID
+    if t.order and not block_rows:
+        cores = max(1, spark.sparkContext.defaultParallelism)
+        parts = min(MAX_BLOCKS, max(1, math.ceil(span["n"] / rows), min(cores, math.ceil(span["n"] / MIN_BLOCK_ROWS))))
+        return staged_by(t.df, t.sort_exprs(), parts, "__sj_blk", "__sj_pos"), "__sj_pos"
     return t.positions("__sj_pos").withColumn("__sj_blk", F.expr(f"__sj_pos div {rows}")), "__sj_pos"
 
 
@@ -66,7 +73,7 @@ def directional_fill(t: Table, columns, forward: bool = True, block_rows: int |
     pick = F.max if forward else F.min
     edge_pos = staged(df.groupBy("__sj_blk").agg(*[
         pick(F.when(col(c).isNotNull(), key)).alias(f"__sj_p{i}") for i, c in enumerate(columns)]), "edges")
-    right = F.broadcast(edge_pos)  # at most MAX_BLOCKS rows of longs
+    right = small_side(edge_pos)  # a row a block, a long a filled column
     # the rows at those positions (at most columns x blocks rows) carry the edge values
     hit = F.lit(False)
     for i in range(len(columns)):

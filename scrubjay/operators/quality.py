@@ -440,9 +440,16 @@ def fix_plan(findings_df: DataFrame) -> DataFrame:
     return findings_df.select("section", "column", op.alias("operation"), method.alias("method"))
 
 
+def dominant_case(detail: str) -> str:
+    """The case most values of a casing finding have already; ties go to the first of lower, upper, title."""
+    counts = dict(part.split(":") for part in detail.split())
+    return max(("lower", "upper", "title"), key=lambda k: int(counts[k]))
+
+
 def fix_steps(findings_df: DataFrame) -> list:
     """The plan as recipe steps, in the findings' order; the caller picks and
-    appends them to a ``Recipe``.  Typo fixes carry the full mapping."""
+    appends them to a ``Recipe``.  Typo fixes carry the full mapping, casing
+    fixes the class that most values have."""
     from scrubjay.plans.recipe import Step
     steps = []
     for r in findings_df.collect():  # one row per finding
@@ -450,6 +457,6 @@ def fix_steps(findings_df: DataFrame) -> list:
         params = {"missing": {"method": r["method"]}, "outliers": {"method": r["method"]}, "type_issues": {"target": r["method"]},
                   "typo_candidates": {"mapping": dict(r["mapping"] or {})}}.get(r["section"], {})
         if kind.endswith(":casing"):
-            params = {"case": "lower"}
+            params = {"case": dominant_case(r["detail"])}
         steps.append(Step(FIX_OPERATIONS[kind], None if r["column"] == "*" else r["column"], params))
     return steps

@@ -106,4 +106,15 @@ def _staged_order(df: DataFrame, order_by, partitions: int | None, keep: str | N
         df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     if keep:
         df = df.select(keep)
-    return staged(df.withColumn("__sj_rg", F.spark_partition_id().cast("long")).withColumn("__sj_ri", _place()), "positions")
+    return _staged_places(df, "__sj_rg", "__sj_ri")
+
+
+def _staged_places(df: DataFrame, group: str, place: str) -> DataFrame:
+    return staged(df.withColumn(group, F.spark_partition_id().cast("long")).withColumn(place, _place()), "positions")
+
+
+def staged_by(df: DataFrame, order_by, partitions: int, group: str, place: str) -> DataFrame:
+    """Whole rows staged in the order: ``group`` numbers the ranges in order,
+    ``place`` the rows of a range.  An order that ends with a unique key splits
+    a hot value among ranges."""
+    return _staged_places(df.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by), group, place)

@@ -1,10 +1,12 @@
 """Row ids under changing splits, exact text forms, row-targeted steps, dedup by hash."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from scrubjay.functions.exprs import double_to_str
 from scrubjay.operators import fills
 from scrubjay.operators import quality as Q
 from scrubjay.operators.patches import drop_rows, header_names
@@ -88,6 +90,36 @@ def test_text_of_doubles_is_pythons(spark):
     assert [r[RID] for r in found] == [0]
 
 
+def test_shortest_digits_of_large_doubles(spark):
+    rnd = random.Random(4)
+    xs = [rnd.choice([1, -1]) * rnd.uniform(1, 10) * 10 ** rnd.randint(16, 37) for _ in range(20_000)]
+    xs += [rnd.uniform(1, 10) * 10 ** rnd.randint(-300, 300) for _ in range(20_000)] + [rnd.uniform(1, 10) * 10 ** rnd.randint(-6, 16) for _ in range(20_000)]
+    xs += [10.0 ** k for k in range(15, 40)] + [2.0 ** k for k in range(50, 130)] + [1.9719543731971988e+18]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", double_to_str(F.col("x")).alias("t")).collect()
+    assert [(str(r["x"]), r["t"]) for r in got if str(r["x"]) != r["t"]] == []
+
+
+def test_casing_fix_takes_the_commonest_class(spark):
+    assert Q.dominant_case("lower:3 upper:9 title:4 mixed:0") == "upper"
+    assert Q.dominant_case("lower:4 upper:4 title:4 mixed:0") == "lower"
+    words = ["AB", "CD", "EF", "GH", "IJ", "KL", "MN", "op", "qr", "st", "uv", "wx"]
+    t = Table(spark.createDataFrame(list(enumerate(words)), f"{RID} long, w string"))
+    steps = [s for s in Q.fix_steps(Q.findings(t)) if s.type == "standardize_case"]
+    assert [(s.column, s.params) for s in steps] == [("w", {"case": "upper"})]
+
+
+def test_fill_after_a_sort_carries_over_ranges(spark):
+    rows = [(i, (i * 7919) % 9973 if i % 3 else None, float(i) if i % 11 == 0 else None) for i in range(30_000)]
+    t = apply_step(Table(spark.createDataFrame(rows, f"{RID} long, k long, v double").repartition(7)), "sort_values", "k", {"direction": "desc"})
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for method, seq in (("ffill", order), ("bfill", order[::-1])):
+        want, last = {}, None
+        for rid, _, v in seq:
+            last = v if v is not None else last
+            want[rid] = last
+        assert {r[RID]: r["v"] for r in apply_step(t, "fill_missing", "v", {"method": method}).df.collect()} == want
+
+
 def test_title_matches_python(spark):
     words = ["中a", "中A", "ßa", "straße", "o'neil-smith 3rd", "ÉCOLE élan", "a1b", "ǆabc x", "日本語abc def", ""]
     words = [w for w in words if "ǆ" not in w]
