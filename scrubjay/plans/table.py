@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubjay.functions.exprs import col
+from scrubjay.plans.lineage import Lineage
 
 RID = "_rid"
 INTERNAL_PREFIX = "__sj_"
@@ -28,6 +29,7 @@ def is_internal(name: str) -> bool:
 class Table:
     df: DataFrame
     order: tuple = field(default=())  # ((column, ascending), ...), most significant first
+    lineage: Lineage | None = field(default=None, compare=False)  # set by a recipe; another frame has none
 
     # -- construction -------------------------------------------------------
     @staticmethod
@@ -49,7 +51,11 @@ class Table:
         return Table(with_row_id(df))
 
     def with_df(self, df: DataFrame, order: tuple | None = None) -> "Table":
-        return replace(self, df=df, order=self.order if order is None else order)
+        return replace(self, df=df, order=self.order if order is None else order, lineage=None)
+
+    def recall(self, name, columns, compute, ordered: bool = False):
+        """A statistic of these columns, remembered where the table belongs to a recipe."""
+        return compute() if self.lineage is None else self.lineage.recall(name, columns, compute, ordered)
 
     # -- schema ---------------------------------------------------------------
     @property

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrubjay.functions.exprs import round_half_away
-from scrubjay.plans.recipe import Recipe, Step, diff_cells, diff_counts
+from scrubjay.plans.recipe import Recipe, Step, diff_cells, diff_counts, diff_counts_tree
 from scrubjay.session import scratch_path
 from scrubjay.plans.table import RID
 from scrubjay.suite import sqlfrag as S
@@ -90,6 +90,19 @@ def recipe_diff_counts(spark, sf):
     return diff_counts(r.source, r.result)
 
 
+@query("recipe_diff_tree",
+       "SELECT * FROM (SELECT 'value' AS column, count(*) FILTER (WHERE value IS DISTINCT FROM 7.5) AS cells_changed FROM ev_dirty WHERE rid < 40 AND rid % 5 <> 0 "
+       "UNION ALL SELECT 'type_pad', count(*) FILTER (WHERE type_pad IS DISTINCT FROM 'seen') FROM ev_dirty WHERE rid < 40 AND rid % 5 <> 0) WHERE cells_changed > 0", EV)
+def recipe_diff_tree(spark, sf):
+    """A table against its copy with a few patched cells and dropped rows: hashes of row ranges lead to the unequal ones."""
+    r = Recipe(fixture(spark, sf, "ev_dirty"))
+    patches = r.source.df.where(F.col(RID) < 40).select(RID, F.explode(F.array(
+        F.struct(F.lit("value").alias("column"), F.lit("7.5").alias("value")),
+        F.struct(F.lit("type_pad").alias("column"), F.lit("seen").alias("value")))).alias("p")).select(RID, "p.*", F.lit(0).alias("seq"))
+    r = r.append(Step("apply_patches", None, {"patches": patches})).append(Step("drop_rows", None, {"rows": list(range(0, 40, 5))}))
+    return diff_counts_tree(r.source, r.result, leaf=64, fan=8)
+
+
 @query("recipe_diff_cells",
        f"SELECT 'num_text' AS column, 4 AS col_ord, rid, num_text AS before, CAST({S.num('num_text')} AS VARCHAR) AS after "
        f"FROM ev_dirty WHERE NOT (num_text IS NULL AND {S.num('num_text')} IS NULL)", EV)
@@ -109,6 +122,28 @@ def recipe_undo(spark, sf):
     return out(r.result, "value", "kind")
 
 
+INDEPENDENT = [Step("fill_missing", "value_sparse", {"method": "zero"}),
+               Step("fill_missing", "value", {"method": "median"}),
+               Step("fill_missing", "event_type", {"method": "mode"}),
+               Step("handle_outliers", "value", {"method": "cap"})]
+
+
+@query("recipe_undo_independent",
+       """WITH m AS (SELECT quantile_cont(value, 0.5) AS med FROM ev_dirty),
+k AS (SELECT event_type AS top FROM ev_dirty WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1),
+f AS (SELECT rid, value_sparse, coalesce(value, (SELECT med FROM m)) AS value, coalesce(event_type, (SELECT top FROM k)) AS event_type FROM ev_dirty),
+q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f)
+SELECT rid, value_sparse, round(least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)), 4) AS value, event_type,
+ CAST(0 AS BIGINT) AS n_statistics FROM f, q""", EV)
+def recipe_undo_independent(spark, sf):
+    """Undoing a fill that no later step depends on: ``n_statistics`` counts what the replay had to compute again."""
+    r = _build(spark, sf, INDEPENDENT)
+    before = len(r.source.lineage.computed)
+    undone, _ = r.undo(0)
+    return (out(undone.result, "value_sparse", "value", "event_type").withColumn("value", round_half_away(F.col("value"), 4))
+            .withColumn("n_statistics", F.lit(len(undone.source.lineage.computed) - before).cast("long")))
+
+
 @query("recipe_undo_dependent",
        "SELECT rid, coalesce(value, 0.0) AS value, event_type, CAST(1 AS BIGINT) AS n_failed FROM ev_dirty", EV)
 def recipe_undo_dependent(spark, sf):

@@ -13,7 +13,7 @@ from scrubjay.operators.steps import apply_step
 from scrubjay.plans.recipe import Recipe, Step, diff_cells
 from scrubjay.functions.exprs import round_half_away
 from scrubjay.plans.table import RID
-from scrubjay.sources.pages import slice_rows
+from scrubjay.sources.pages import fence_index, slice_rows
 from scrubjay.suite import sqlfrag as S
 from scrubjay.suite.base import fixture, fixture_df, out, query
 
@@ -389,6 +389,17 @@ def src_slice_deep(spark, sf):
     return slice_rows(t, page=6, size=50, pos="pos", top_k_max=0).select(F.col(RID).alias("rid"), "value", "ts", "pos")
 
 
+@query("src_slice_fence",
+       f"SELECT rid, value, {_TS_TEXT} AS ts, pos FROM (SELECT *, row_number() OVER (ORDER BY type_case DESC NULLS LAST, value NULLS LAST, rid) - 1 AS pos "
+       "FROM ev_dirty) WHERE pos >= 300 AND pos < 350 OR pos >= 600 AND pos < 650", EV)
+def src_slice_fence(spark, sf):
+    """Two deep pages of one order over two keys: positions are staged once as fences, each page reads its range."""
+    t = _sorted(spark, sf, [Step("sort_values", "value"), Step("sort_values", "type_case", {"direction": "desc"})])
+    fences = fence_index(t, every=128)
+    pages = [slice_rows(t, page=p, size=50, pos="pos", fences=fences).select(F.col(RID).alias("rid"), "value", "ts", "pos") for p in (6, 12)]
+    return pages[0].unionByName(pages[1])
+
+
 @query("src_slice_marks",
        f"SELECT rid, type_pad, CASE WHEN rid % 4 = 0 THEN 'type_pad' ELSE '' END AS changed FROM (SELECT rid, {S.strip('type_pad')} AS type_pad "
        "FROM ev_dirty) ORDER BY rid LIMIT 60 OFFSET 60", EV)
