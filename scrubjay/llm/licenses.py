@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from scrubjay.llm import textnum
 WORDS = 5
 #: Least share of a template's shingles that a window must hold.
 CONTAINMENT = 0.8
+#: Most words of a template that the words before it may deny.
+ONE_LINE = 16
 #: Greatest chance that the bands miss a window holding that share.
 MISS = 1e-6
 
@@ -77,25 +80,25 @@ TEMPLATES = {
 
 
 def _gnu(short: str, long: str, version: str) -> tuple[str, ...]:
-    """Without "GPL 2" and the like, which are also the end of a sentence and the number of a section."""
+    """A bare number counts after "GNU GPL" alone, and with one space before it: else it may be the number of a section."""
     whole = version if "." in version else f"{version}.0"
     said = {f"{name} {v}" for name in (long, f"GNU {short}", short) for n in (version, whole) for v in (f"version {n}", f"v{n}")}
-    return (*sorted(said), f"{short} {whole}", f"{short}v{version}")
+    return (*sorted(said), f"{short} {whole}", f"{short}v{version}", f"GNU {short} {version}", f"{long} {whole}")
 
 
-def _cc(code: str, long: str) -> tuple[str, ...]:
-    return (f"CC {code} 4.0", f"Creative Commons {long} 4.0")
+def _cc(code: str, *long: str) -> dict[str, tuple[str, ...]]:
+    return {f"CC-{code}-{v} statement": (f"CC {code} {v}", *(f"Creative Commons {name} {v}" for name in long)) for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
 
 
 # The distinctive words of short statements, whatever stands around them.
 STATEMENTS = {
     "Apache-2.0 statement": ("Apache License Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache License v2", "Apache 2.0", "Apache Software License 2.0",
                              "Apache Software License Version 2.0"),
-    "MIT statement": ("MIT License", "MIT Licence", "MIT licensed", "SPDX-License-Identifier: MIT"),
-    "BSD statement": ("BSD License", "BSD Licence", "BSD licensed"),
+    "MIT statement": ("MIT License", "MIT licensed", "SPDX-License-Identifier: MIT"),
+    "BSD statement": ("BSD License", "BSD licensed"),
     "BSD-2-Clause statement": ("BSD 2-Clause", "2-Clause BSD", "Two-Clause BSD", "Simplified BSD", "FreeBSD License"),
     "BSD-3-Clause statement": ("BSD 3-Clause", "3-Clause BSD", "Three-Clause BSD", "New BSD License", "Modified BSD", "Revised BSD"),
-    "ISC statement": ("ISC License", "ISC Licence", "SPDX-License-Identifier: ISC"),
+    "ISC statement": ("ISC License", "SPDX-License-Identifier: ISC"),
     "GPL-2.0 statement": _gnu("GPL", "GNU General Public License", "2"),
     "GPL-3.0 statement": _gnu("GPL", "GNU General Public License", "3"),
     "LGPL-2.1 statement": _gnu("LGPL", "GNU Lesser General Public License", "2.1"),
@@ -107,14 +110,21 @@ STATEMENTS = {
     "Zlib statement": ("zlib License", "SPDX-License-Identifier: Zlib"),
     "Unlicense statement": ("The Unlicense", "SPDX-License-Identifier: Unlicense"),
     "CC0-1.0 statement": ("CC0 1.0", "Creative Commons Zero"),
-    "CC-BY-4.0 statement": _cc("BY", "Attribution"),
-    "CC-BY-SA-4.0 statement": _cc("BY-SA", "Attribution-ShareAlike") + ("Creative Commons Attribution-Share Alike 4.0",),
-    "CC-BY-NC-4.0 statement": _cc("BY-NC", "Attribution-NonCommercial"),
-    "CC-BY-ND-4.0 statement": _cc("BY-ND", "Attribution-NoDerivatives"),
-    "CC-BY-NC-SA-4.0 statement": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
-    "CC-BY-NC-ND-4.0 statement": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "EUPL-1.2 statement": ("EUPL 1.2", "EUPL v1.2", "EUPL version 1.2", "European Union Public License 1.2", "European Union Public License v. 1.2",
+                           "European Union Public License version 1.2"),
+    **_cc("BY", "Attribution"),
+    **_cc("BY-SA", "Attribution-ShareAlike", "Attribution-Share Alike"),
+    **_cc("BY-NC", "Attribution-NonCommercial"),
+    **_cc("BY-ND", "Attribution-NoDerivatives", "Attribution-NoDerivs"),
+    **_cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    **_cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-NoDerivs"),
 }
 
+# A statement says nothing after one of DENIED, with only PASSED between, nor where one of OTHERWISE follows its last word.
+DENIED = "not never nor neither without cannot isn't aren't wasn't weren't"
+PASSED = "under the a an any of by as is are be been covered licensed licenced released distributed available published provided terms this our"
+OTHERWISE = "plate plates key keys number numbers server servers fee fees"
+
 
 def bands(similarity: float) -> int:
     """One-row bands so that sets of this Jaccard similarity miss all of them with a chance of ``MISS`` at most."""
@@ -131,11 +141,21 @@ def _shingles(text: str) -> np.ndarray:
 
 
 class Statements:
-    """Exact runs of a few words; of overlapping ones the longest counts."""
+    """Exact runs of a few words; of overlapping ones the longest counts.
+
+    "License" also matches "Licence". A run whose version goes on ("Apache
+    2.0.55"), that is denied ("not under the MIT License"), that another thing
+    follows ("license plate"), or whose bare number stands apart ("GNU GPL. 2."), is none."""
 
     def __init__(self, texts: dict[str, tuple[str, ...]], templates: dict[str, str]):
-        runs = {tuple(_words(p)[0].tolist()): name for name in sorted(texts) for p in texts[name]}
+        said = {p: name for name in sorted(texts) for p in texts[name]}
+        said |= {p.replace("License", "Licence"): name for p, name in said.items()}
+        runs = {tuple(_words(p)[0].tolist()): name for p, name in said.items()}
+        bare = {tuple(_words(p)[0].tolist()) for p in said if re.search(r"(?<!version) \d+$", p)}
         self.runs = sorted(((np.array(r, np.uint64), name) for r, name in runs.items()), key=lambda x: -len(x[0]))
+        self.bare = [tuple(r.tolist()) in bare for r, _ in self.runs]
+        self.denied, self.passed, self.otherwise = (frozenset(_words(w.replace("'", ""))[0].tolist()) for w in (DENIED.replace("n't", "n"), PASSED, OTHERWISE))
+        self.short = int(_words("t")[0][0])  # what is left of n't
         self.first = np.zeros(1 << 16, bool)
         self.first[[int(r[0] >> np.uint64(48)) for r, _ in self.runs]] = True
         # templates that hold a run's words tell of them when they are found themselves
@@ -143,8 +163,30 @@ class Statements:
                   for t, text in templates.items()}
         self.told = [{t for t, of in inside.items() if tuple(r.tolist()) in of} for r, _ in self.runs]
 
-    def scan(self, word: np.ndarray, count: np.ndarray):
-        """(document, run, first word, words) of every run, by document and place."""
+    def _said(self, k: int, at: int, low: int, high: int, word: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether run ``k`` at word ``at`` of a document of words ``low`` to ``high`` states a license."""
+        last = at + len(self.runs[k][0]) - 1
+        if self.bare[k] and bytes(data[end[last - 1]:start[last]]) != b" ":
+            return False
+        if last + 1 < high:
+            if int(word[last + 1]) in self.otherwise:
+                return False
+            if bytes(data[end[last]:start[last + 1]]) == b"." and bytes(data[[end[last] - 1, start[last + 1]]]).isdigit():
+                return False
+        return not self.denies(word, low, at)
+
+    def denies(self, word: np.ndarray, low: int, at: int) -> bool:
+        """Whether the words before ``at``, from ``low`` on, deny what follows."""
+        before = at - 1
+        while before >= low and int(word[before]) in self.passed:
+            before -= 1
+        if before > low and int(word[before]) == self.short:
+            before -= 1
+        return before >= low and int(word[before]) in self.denied
+
+    def scan(self, word: np.ndarray, count: np.ndarray, data: np.ndarray, places):
+        """(document, run, first word, words) of every run, by document and place;
+        ``places()`` gives where each word begins and ends in ``data``."""
         may = np.flatnonzero(self.first[word >> np.uint64(48)])
         if not len(may):
             return []
@@ -158,9 +200,13 @@ class Statements:
                 same = word[at + i] == run[i]
                 at, of = at[same], of[same]
             found += [(d, k, p, len(run)) for d, p in zip(of.tolist(), (at - (end - count)[of]).tolist(), strict=True)]
+        if not found:
+            return []
         out, taken = [], set()
+        start, stop = places()
         for d, k, p, n in found:  # longer ones first
-            if not any((d, i) in taken for i in range(p, p + n)):
+            low, high = int(end[d] - count[d]), int(end[d])
+            if not any((d, i) in taken for i in range(p, p + n)) and self._said(k, low + p, low, high, word, data, start, stop):
                 taken.update((d, i) for i in range(p, p + n))
                 out.append((d, k, p, n))
         return sorted(out)
@@ -172,6 +218,7 @@ class Templates:
         self.sets = [_shingles(texts[n]) for n in self.names]
         self.level = [max(0, math.ceil(math.log2(max(1, len(s))))) for s in self.sets]
         self.span = {n: 1 << k for n, k in zip(self.names, self.level, strict=True)}
+        self.one_line = [len(s) <= ONE_LINE - WORDS + 1 for s in self.sets]
         # the least similarity of a template to a window that holds CONTAINMENT of it
         least = min(CONTAINMENT * len(s) / (2 * 2 ** k + (1 - CONTAINMENT) * len(s)) for s, k in zip(self.sets, self.level, strict=True))
         self.bands = bands(least)
@@ -179,7 +226,7 @@ class Templates:
         self.marks = [[int(((s * r) >> np.uint64(32)).min()) for r in self.rows] for s in self.sets]
 
     def scan(self, shingle: np.ndarray, runs: np.ndarray):
-        """(document, template, containment, first shingle) of every verified window of these documents."""
+        """(document, template, containment, first shingle, first one that is the template's) of every verified window of these documents."""
         n = len(shingle)
         if not n:
             return []
@@ -211,7 +258,7 @@ class Templates:
             window = shingle[a:min(a + 2 * step, first[d] + runs[d])]
             share = np.isin(self.sets[t], window).mean()
             if share >= CONTAINMENT:
-                out.append((d, t, float(share), w * step))
+                out.append((d, t, float(share), w * step, w * step + int(np.isin(window, self.sets[t]).argmax())))
         return out
 
 
@@ -224,7 +271,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     1 for a statement); ``windows`` one (template, containment, first word) per
     verified window or statement. Of overlapping statements the longest is
     named, and one inside the window of a template that holds its words is not
-    named again. With other ``templates`` there are no statements but those given.
+    named again. Templates of one line, like statements, say nothing where the
+    words before deny them. With other ``templates`` there are no statements but those given.
 
     Texts that are null, empty or without words hold none; a text of fewer
     words than a shingle is one shingle. Repeated rows and null ids give a row
@@ -243,10 +291,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             found: list[list] = [[] for _ in range(batch.num_rows)]
             for a, b in textnum.chunks(offsets):
                 word, count = textnum.words(data, offsets, a, b, textnum.ALNUM)
-                for d, k, share, at in t.scan(*textnum.sequences(word, count, WORDS)):
-                    found[a + d].append({"template": t.names[k], "containment": share, "first_word": at})
+                low = (np.cumsum(count) - count).tolist()
+                for d, k, share, at, begin in t.scan(*textnum.sequences(word, count, WORDS)):
+                    if not (t.one_line[k] and few.denies(word, low[d], low[d] + begin)):
+                        found[a + d].append({"template": t.names[k], "containment": share, "first_word": at})
                 spans = {d: [(w["template"], w["first_word"], w["first_word"] + 2 * t.span[w["template"]] + WORDS) for w in found[a + d]] for d in range(b - a) if found[a + d]}
-                for d, k, at, n in few.scan(word, count):
+                for d, k, at, n in few.scan(word, count, data, lambda a=a, b=b: textnum.places(data, offsets, a, b, textnum.ALNUM)):
                     if not any(name in few.told[k] and x < at + n and at < y for name, x, y in spans.get(d, ())):
                         found[a + d].append({"template": few.runs[k][1], "containment": 1.0, "first_word": at})
             names = [sorted({w["template"] for w in f}) for f in found]

@@ -132,6 +132,23 @@ def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int, classes: np.nda
         none = np.empty(0, _U)
         return none, np.zeros(docs, np.int64), *(none for _ in stems)
     value = classes[data[lo:hi]]
+    start, end = _bounds(value, offsets, a, b)
+    count = np.diff(np.searchsorted(start, offsets[a:b + 1] - lo))
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = (value - _U(1)).astype(np.uint8)
+    size = end - start
+    return _word_hashes(low, start, size), count, *(_word_hashes(low, start, np.minimum(size, k)) for k in stems)
+
+
+def places(data: np.ndarray, offsets: np.ndarray, a: int, b: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) in ``data`` of every word of documents a to b."""
+    lo, hi = int(offsets[a]), int(offsets[b])
+    start, end = _bounds(classes[data[lo:hi]], offsets, a, b) if hi > lo else (np.empty(0, np.int64),) * 2
+    return start + lo, end + lo
+
+
+def _bounds(value: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    lo, n = int(offsets[a]), len(value)
     inside = np.empty(n + 1, bool)
     np.not_equal(value, 0, out=inside[:n])
     inside[n] = False
@@ -141,12 +158,7 @@ def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int, classes: np.nda
     begins = inside[:n].copy()
     begins[1:] &= ~inside[:n - 1] | edge[1:n]
     ends = inside[:n] & (~inside[1:] | edge[1:])
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    count = np.diff(np.searchsorted(start, offsets[a:b + 1] - lo))
-    low = np.zeros(n + 8, np.uint8)
-    low[:n] = (value - _U(1)).astype(np.uint8)
-    size = end - start
-    return _word_hashes(low, start, size), count, *(_word_hashes(low, start, np.minimum(size, k)) for k in stems)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 def sequences(word: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,20 @@ SAID = [
     ("subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "MPL-2.0"),
 ]
 
+SAID += [("released under the GNU GPL 3", "GPL-3.0"), ("the Apache Licence, version 2.0", "Apache-2.0"), ("photo: CC BY 3.0", "CC-BY-3.0"), ("text is CC-BY-SA 3.0.", "CC-BY-SA-3.0"),
+         ("under the EUPL 1.2", "EUPL-1.2"), ("not only a toy: it is under the MIT License", "MIT"), ("Apache 2.0. 55 people use it", "Apache-2.0"),
+         ("GNU General Public License version 3", "GPL-3.0"), ("the MIT licence", "MIT"), ("if not, see the MIT License", "MIT")]
+UNSAID = ["it is not under the MIT License", "this isn't licensed under the MIT License", "server: Apache 2.0.55 (Unix)", "a FreeBSD license plate", "it runs on GNU GPL. 2. Install it",
+          "never released under the GNU GPL 3", "permit license to commit under the terms", "CC BY 4.0.1"]
+
+
+@pytest.mark.parametrize("around", [0, 20])
+def test_words_that_state_no_license(spark, around):
+    rng = random.Random(3)
+    given = [(i, f"{prose(rng, around)} {s} {prose(rng, around)}".strip(), None, "s") for i, s in enumerate(UNSAID)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(documents(spark, given)).collect()}
+    assert got == {i: "" for i in range(len(UNSAID))}
+
 
 def test_statements_in_other_words(spark):
     rng = random.Random(1)
