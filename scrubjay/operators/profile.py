@@ -7,6 +7,8 @@ aggregates, quantiles and histogram bounds travel through the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, prou
                                       round_half_away, type_family)
 from scrubjay.functions.moments import agg_dict, moments, skew_from, std_from
 from scrubjay.functions.quantiles import quantiles, summaries, value_stats
+from scrubjay.operators.patches import small_side
 from scrubjay.plans.table import RID, Table
 from scrubjay.session import staged
 
@@ -201,11 +204,60 @@ def top_values(t: Table, columns=None, k: int = 5) -> DataFrame:
     columns = list(columns or categorical_columns(t))
     spark = t.df.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column string, value string, count long, rank int")
+        return spark.createDataFrame([], TOP_SCHEMA)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]))
     counts = (t.df.select(cells.alias("e")).select("e.column", "e.value").where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count("*").alias("count")))
-    # the limit is applied in every task before the column's values meet
+    return _ranked(counts, k)
+
+
+def top_values_by_hash(t: Table, columns=None, k: int = 5, hash_of=F.xxhash64) -> DataFrame:
+    """``top_values`` for columns of long or near-unique values, whose texts it does not shuffle.
+
+    Counts by 64-bit hash come first, and the k-th largest of a column is its
+    bound: a value is counted by its hash at least, so no winner's hash counts
+    less.  Only values of hashes that reach the bound are counted as text.
+    Where the bound is 1, under k hashes are repeated at all; all other rows
+    are single values, and a top-k of rows finds the smallest of them.  A bound
+    raised by values that share a hash is lowered to the counts found, and the
+    values are counted again: the result is exact."""
+    columns = list(columns or categorical_columns(t))
+    spark = t.df.sparkSession
+    if not columns or k < 1:
+        return spark.createDataFrame([], TOP_SCHEMA)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]))
+    rows = t.df.select(cells.alias("e")).select("e.column", "e.value").where(F.col("value").isNotNull()).withColumn("h", hash_of("value"))
+    hashed = staged(rows.groupBy("column", "h").agg(F.count("*").alias("n")), "hashes")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "h"))
+    best = hashed.withColumn("r", place).where(F.col("r") <= k).collect()  # k rows a column
+    leaders: dict = {}
+    for r in best:
+        leaders.setdefault(r["column"], []).append((r["n"], r["h"]))
+    bound = {c: min(n for n, _ in found) if len(found) == k else 1 for c, found in leaders.items()}
+    parts = []
+    for c in [c for c in columns if bound.get(c) == 1]:  # under k repeated hashes, or all values are winners
+        repeated = [h for n, h in leaders[c] if n > 1]
+        mine = rows.where(F.col("column") == c)
+        single = mine.where(~F.col("h").isin(repeated)).select("column", "value", F.lit(1).cast("long").alias("count"))
+        parts.append(single.orderBy("value").limit(k))
+        parts.append(mine.where(F.col("h").isin(repeated)).groupBy("column", "value").agg(F.count("*").alias("count")))
+    todo = {c: n for c, n in bound.items() if n > 1}
+    while todo:
+        reach = F.coalesce(*[F.when((F.col("column") == c) & (F.col("n") >= n), True) for c, n in todo.items()], F.lit(False))
+        wanted = small_side(hashed.where(reach).select("column", "h"))
+        counted = staged(rows.join(wanted, ["column", "h"], "left_semi").groupBy("column", "value").agg(F.count("*").alias("count")), "candidates")
+        kth = {r["column"]: r["count"] for r in _ranked(counted, k).where(F.col("rank") == k).collect()}
+        short = {c: kth.get(c, 1) for c, n in todo.items() if kth.get(c, 1) < n}
+        parts.append(counted.where(~F.col("column").isin(list(short))))
+        todo = short
+    return _ranked(reduce(DataFrame.unionByName, parts), k) if parts else spark.createDataFrame([], TOP_SCHEMA)
+
+
+TOP_SCHEMA = "column string, value string, count long, rank int"
+
+
+def _ranked(counts: DataFrame, k: int) -> DataFrame:
+    """The k most frequent values per column, ties by value; the limit is applied in every task before the column's values meet."""
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -439,7 +491,6 @@ def _repeat_ids(found: _Repeats) -> DataFrame:
 def without_repeats(t: Table, hashed=row_hash) -> DataFrame:
     """``t.df`` without the rows of ``repeated_rows``: few shared hashes are a
     filter of the scan by broadcast; of many, the repeats' row ids leave by an anti join."""
-    from scrubjay.operators.patches import small_side
     found = _Repeats(t, hashed)
     if not found.hashes:
         return t.df

@@ -11,7 +11,7 @@ from scrubjay.operators import quality as Q
 from scrubjay.plans.recipe import Recipe
 from scrubjay.plans.table import RID, Table
 from scrubjay.suite import sqlgen as G
-from scrubjay.suite.base import fixture, fixture_df, query, table
+from scrubjay.suite.base import fixture, fixture_df, loaded, query, table
 from scrubjay.suite.q_steps import EV_COLS
 
 EV = ("ev_dirty",)
@@ -77,6 +77,14 @@ def prof_top_values_all(spark, sf):
     return P.top_values(fixture(spark, sf, "ev_dirty"), EV_STR).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("prof_top_values_unique", " UNION ALL ".join(
+       f"SELECT * FROM (SELECT '{c}' AS column, {c} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank "
+       f"FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5" for c in ("text", "lang", "source")))
+def prof_top_values_unique(spark, sf):
+    """Top values of long texts that seldom repeat (and of two short columns): counts by hash first."""
+    return P.top_values_by_hash(loaded(spark, sf, "documents"), ["text", "lang", "source"]).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("prof_histogram_discrete", G.histogram("lineitem", "l_discount", "greatest(1, least(24, d))"))
 def prof_histogram_discrete(spark, sf):
     li = table(spark, sf, "lineitem").select("l_discount").withColumn(RID, F.lit(0).cast("long"))
