@@ -102,12 +102,26 @@ def reinfer_types(df: DataFrame, columns=None, allow_bool: bool = True) -> DataF
 
 
 # -- S1: CSV ------------------------------------------------------------------------
-def read_table_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True) -> Table:
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a CSV may hold a field over several lines: a line with an odd
+    number of quotes, or a carriage return elsewhere than at a line's end.
+    Lines are read by as many tasks as the files have splits."""
+    line = F.regexp_replace("value", "\r$", "")
+    odd = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.where((odd % 2 == 1) | line.contains("\r")).limit(1).isEmpty()
+
+
+def read_table_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool | None = None) -> Table:
     """Headered CSV -> Table with load-order row ids and inferred types.
 
-    ``multiline=False`` promises fields without line breaks, so a large file
-    is read by many tasks; otherwise a file is one task.  The text is parsed
-    once and staged (``with_load_order_id``); ids and types come from there."""
+    A file is read by many tasks if no field may break a line, which one pass
+    over the lines finds out (``has_line_breaks``); ``multiline`` spares that
+    pass: ``False`` promises such fields away, ``True`` reads a file in one
+    task.  The text is parsed once and staged (``with_load_order_id``); ids and
+    types come from there."""
+    if multiline is None:
+        multiline = has_line_breaks(spark, path)
     raw = (spark.read.option("header", True).option("multiLine", multiline)
            .option("quote", '"').option("escape", '"')
            .option("inferSchema", False).csv(path))
