@@ -48,6 +48,16 @@ PARSE_GUARDS = {
 }
 
 
+#: Longest text that any format reads (``September 30, 2024`` has 18 characters, a date with a time 19).
+LONGEST = 19
+# How every format's text begins: other text is turned away by one look.
+_ANY_SHAPE = r"^([0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]|[0-9]{8}$|[A-Za-z]{3,9} [0-9])"
+# Formats that read the same text with month and day exchanged.
+_EXCHANGED = {"M/d/yyyy": "d/M/yyyy", "M-d-yyyy": "d-M-yyyy"}
+# Both parts can be a month.
+_BOTH_MONTHS = rf"^{_M}[-/]{_M}[-/]"
+
+
 def try_parse(c: Column, java: str) -> Column:
     """``try_to_timestamp`` behind the format's shape check."""
     guard = PARSE_GUARDS.get(java)
@@ -55,6 +65,60 @@ def try_parse(c: Column, java: str) -> Column:
     return F.when(c.rlike(guard), parsed) if guard else parsed
 
 
+def _shapes() -> list:
+    """(format, shape) such that the first shape a text has decides its format.
+
+    A text with the shape of two formats either reads the same under both
+    (``May 5, 2024``; other words of three letters are no full month names), or
+    is month-first where it can be: then, if the month has no such day, the day
+    is over 12 and day-first fails, too."""
+    order = [java for java, _ in PARSE_FORMATS if java != "MMMM d, yyyy"] + ["MMMM d, yyyy"]
+    return [(java, PARSE_GUARDS[java]) for java in order]
+
+
+def _by_shape(c: Column, value) -> Column:
+    """``value(format)`` of the one format that the text's shape allows, else null."""
+    (first, shape), *others = _shapes()
+    chosen = F.when(c.rlike(shape), value(first))
+    for java, shape in others:
+        chosen = chosen.when(c.rlike(shape), value(java))
+    return F.when((F.length(c) <= LONGEST) & c.rlike(_ANY_SHAPE), chosen)
+
+
+def date_class(c: Column) -> Column:
+    """Which formats read a text, as one small integer (null: none): the place
+    of its format in ``PARSE_FORMATS``, plus their number where a second format
+    reads it as well.  A text is parsed at most once; ``class_counts`` gives the
+    count of each format from counts of classes."""
+    places = {java: i for i, (java, _) in enumerate(PARSE_FORMATS)}
+
+    def place(java: str) -> Column:
+        i, n = places[java], len(places)
+        both = c.rlike(_BOTH_MONTHS) if java in _EXCHANGED else F.lower(F.substring(c, 1, 3)) == "may" if java == "MMM d, yyyy" else None
+        known = F.lit(i) if both is None else F.when(both, F.lit(i + n)).otherwise(F.lit(i))
+        return F.when(F.try_to_timestamp(c, F.lit(java)).isNotNull(), known)
+
+    return _by_shape(c, place)
+
+
+#: Classes that ``date_class`` can give.
+DATE_CLASSES = tuple(range(len(PARSE_FORMATS))) + tuple(
+    len(PARSE_FORMATS) + i for i, (java, _) in enumerate(PARSE_FORMATS) if java in _EXCHANGED or java == "MMM d, yyyy")
+
+
+def class_counts(counts: dict) -> list:
+    """Values that each of ``PARSE_FORMATS`` reads, from the number of values of each class."""
+    n = len(PARSE_FORMATS)
+    places = {java: i for i, (java, _) in enumerate(PARSE_FORMATS)}
+    out = [0] * n
+    for k, count in counts.items():
+        out[k % n] += count
+        if k >= n:
+            java = PARSE_FORMATS[k - n][0]
+            out[places[_EXCHANGED.get(java, "MMMM d, yyyy")]] += count
+    return out
+
+
 # Strftime directive -> Java DateTimeFormatter letters.
 STRFTIME_TO_JAVA = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%B": "MMMM", "%b": "MMM",
@@ -71,6 +135,10 @@ DATE_TEXT_PATTERNS = (
 
 
 def parse_text(c: Column, formats=PARSE_FORMATS) -> Column:
+    """The first of ``formats`` that reads the text; of the standard ones only
+    that which the text's shape allows is tried."""
+    if formats is PARSE_FORMATS:
+        return _by_shape(c, lambda java: F.try_to_timestamp(c, F.lit(java))).cast("timestamp_ntz")
     tried = [try_parse(c, java) for java, _ in formats]
     return F.coalesce(*tried).cast("timestamp_ntz")
 

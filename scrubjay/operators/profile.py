@@ -22,6 +22,10 @@ from scrubjay.plans.table import RID, Table
 from scrubjay.session import staged
 
 
+#: Bytes up to which a text is compared as it is; below the 32 of its digest.
+DIGEST_OVER = 31
+
+
 def typed_cells(df: DataFrame, columns, text: bool = False) -> DataFrame:
     """Every non-null cell as ``(k, s, l, d)``: the column's place and the value
     in a typed slot (integers, booleans, dates and instants as a long; floats
@@ -61,13 +65,19 @@ def typed_cells(df: DataFrame, columns, text: bool = False) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns) -> dict:
-    """Exact distinct counts of many columns in one pass: typed cells, a hash
+    """Distinct counts of many columns in one pass: typed cells, a hash
     aggregate that removes repeats (map-side first, so a hot value costs
-    nothing), then one that counts per column."""
+    nothing), then one that counts per column.
+
+    Text over ``DIGEST_OVER`` bytes takes part by its SHA-256, whose 32 bytes no
+    shorter text equals, so what is shuffled is bounded by distinct values, not
+    by their lengths. Counts are exact unless two texts share a SHA-256."""
     columns = list(columns)
     if not columns:
         return {}
-    counted = typed_cells(df, columns).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()
+    s = F.encode("s", "utf-8")
+    short = F.when(F.octet_length("s") > DIGEST_OVER, F.unhex(F.sha2(s, 256))).otherwise(s)
+    counted = typed_cells(df, columns).withColumn("s", short).distinct().groupBy("k").agg(F.count("*").alias("n")).collect()
     out = {c: 0 for c in columns}
     out.update({columns[r["k"]]: r["n"] for r in counted})
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubjay.functions.dates import DATE_TEXT_PATTERNS, PARSE_FORMATS, try_parse
+from scrubjay.functions.dates import DATE_CLASSES, DATE_TEXT_PATTERNS, class_counts, date_class
 from scrubjay.functions.moments import agg_dict, power_sums, skew_from
 from scrubjay.functions.exprs import (col, is_numeric_type, is_string_type, is_lower, is_title,
                                       is_upper, pround, to_num)
@@ -84,9 +84,9 @@ def scan(t: Table, text: bool = True) -> Scan:
              if row[f"nn{t.columns.index(c)}"]
              and row[f"num{i}"] / row[f"nn{t.columns.index(c)}"] < TYPE_RATIO
              and row[f"dig{i}"] / row[f"nn{t.columns.index(c)}"] >= TYPE_RATIO]
-    dt_items = [(f"dt{i}_{j}", F.count(try_parse(col(c), java)), 1)
-                for i, c in dated for j, (java, _) in enumerate(PARSE_FORMATS)]
-    dts = agg_dict(t.df, dt_items) if dt_items else {}
+    # a value is classed and parsed once, below the counts of its class
+    classed = t.df.select(*[date_class(col(c)).alias(f"c{i}") for i, c in dated])
+    dts = agg_dict(classed, [(f"dt{i}_{k}", F.count(F.when(F.col(f"c{i}") == k, 1)), 1) for i, _ in dated for k in DATE_CLASSES]) if dated else {}
     sc = Scan(rows=row["rows"], columns=list(t.columns))
     for i, c in enumerate(t.columns):
         sc.nonnull[c] = row[f"nn{i}"]
@@ -97,7 +97,7 @@ def scan(t: Table, text: bool = True) -> Scan:
         sc.skew[c] = skew_from({"n": s.n, "min": s.lo, "max": s.hi, **powers[c]})
     for i, c in enumerate(txt):
         sc.numeric_ok[c] = row[f"num{i}"]
-        sc.date_ok[c] = max((dts.get(f"dt{i}_{j}", 0) for j in range(len(PARSE_FORMATS))), default=0)
+        sc.date_ok[c] = max(class_counts({k: dts.get(f"dt{i}_{k}", 0) for k in DATE_CLASSES}))
         sc.patterns[c] = {name: row[f"p{i}_{k}"] for k, (name, _) in enumerate(DATE_TEXT_PATTERNS)}
         sc.casing[c] = (row[f"lo{i}"], row[f"up{i}"], row[f"ti{i}"])
     return sc

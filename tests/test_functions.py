@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubjay.functions.dates import parse_text, strftime_to_java
+from scrubjay.functions.dates import DATE_CLASSES, PARSE_FORMATS, class_counts, date_class, parse_text, strftime_to_java, try_parse
 from scrubjay.functions.exprs import is_title, pround, strip, title, to_num, to_str
 from scrubjay.functions.moments import correlations, moments, skew_from
 from scrubjay.functions.quantiles import exact_quantiles
@@ -152,3 +152,35 @@ def test_distinct_counts_one_pass_matches_count_distinct(spark):
     got = distinct_counts(df, cols)
     want = df.agg(*[F.countDistinct(c).alias(c) for c in cols]).first().asDict()
     assert got == want
+
+
+SHAPED_TEXT = [f"{a}{s}{b}{s}{y}" for s in "-/" for a in ("1", "02", "12", "13", "30", "31", "00", "32") for b in ("2", "05", "12", "13", "29", "31") for y in ("2023", "2024", "0000", "24")]
+SHAPED_TEXT += [f"{y}{s}{m}{s}{d}{t}" for s in ("-", "") for y in ("2023", "2024", "0000") for m in ("1", "02", "13") for d in ("9", "29", "30", "32")
+              for t in ("", " 1:2:3", " 23:59:59", "T23:59:59", "T24:00:00", "\n", " ")]
+SHAPED_TEXT += [f"{m} {d}, {y}" for m in ("May", "may", "MAY", "Jan", "January", "Sept", "Sep", "September", "febr", "Feb", "Foo", "Februaryy")
+              for d in ("1", "05", "29", "30", "31", "32") for y in ("2023", "2024", "0000", "202")]
+SHAPED_TEXT += ["", " ", "2024", "x" * 50, "2024-01-05 and more words", "20240105x", "1-2-3", None, "12/13/2024/2", "１２/11/2024"]
+
+
+def test_one_parse_by_shape_is_all_formats_in_turn(spark):
+    df = one_col(spark, SHAPED_TEXT)
+    tried = [try_parse(F.col("c"), java).cast("timestamp_ntz") for java, _ in PARSE_FORMATS]
+    rows = df.select("c", parse_text(F.col("c")).cast("string").alias("one"), F.coalesce(*tried).cast("string").alias("all")).collect()
+    assert [(r["c"], r["one"]) for r in rows] == [(r["c"], r["all"]) for r in rows]
+    assert sum(r["one"] is not None for r in rows) > 150
+
+
+def test_counts_of_classes_are_counts_of_formats(spark):
+    df = one_col(spark, SHAPED_TEXT)
+    want = list(df.agg(*[F.count(try_parse(F.col("c"), java)).alias(f"f{i}") for i, (java, _) in enumerate(PARSE_FORMATS)]).first())
+    classes = {r[0]: r[1] for r in df.groupBy(date_class(F.col("c"))).count().collect() if r[0] is not None}
+    assert set(classes) <= set(DATE_CLASSES)
+    assert class_counts(classes) == want and min(want) > 0
+
+
+def test_distinct_long_texts_by_digest(spark):
+    from scrubjay.operators.profile import distinct_counts
+    long = "y" * 31
+    vals = [long, long + "a", long + "b", long + "a", "", None, "é" * 16, "é" * 15 + "e", long[:-1], "z" * 5000, "z" * 5000]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(vals)], "c string, k int")
+    assert distinct_counts(df, ["c", "k"]) == {"c": len(set(vals) - {None}), "k": 3}
