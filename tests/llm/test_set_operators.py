@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,12 +105,22 @@ def test_topk_is_brute_force(spark, monkeypatch):
     want = []
     for n, (i, q) in enumerate(ok):
         if i % 20 == 0:
-            scored = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:6]
+            scored = sorted((-int(q @ v), j) for m, (j, v) in enumerate(ok) if m != n and len(v) == len(q))[:6]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
-    # an id that occurs twice asks twice and its answers are ranked together
-    single = [w for w in want if w[0] != 20]
-    assert [g for g in got if g[0] != 20] == sorted(single)
-    assert len([g for g in got if g[0] == 20]) == 6
+    assert got == sorted(want)
+    # an id on three rows asks three times, each time with a list of its own
+    assert len([g for g in got if g[0] == 20]) == 18
+
+
+def test_topk_sql_is_by_rows(spark):
+    import duckdb
+    rng = np.random.default_rng(8)
+    rows = cloud(rng, 60)[:-2] + [(40, [float(x) for x in rng.normal(size=8)]), *[(7, [0.5] * 8)] * 30, *[(20, [9.0] * 8)] * 25]
+    got = topk.search(vectors(spark, rows), F.col("id") % 20 == 0).collect()
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841  the table of the SQL
+    want = duckdb.sql(topk.ORACLE).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20 * 25
+    assert len([r for r in got if r["query_id"] == r["vec_id"] == 20]) == 20 * 25  # rows of the query's id, but itself
 
 
 def test_segment_bounds_hold():
