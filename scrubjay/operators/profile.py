@@ -177,9 +177,19 @@ def column_profile(t: Table, method: str = "exact", approx_distinct: bool = Fals
     Null counts ride in the first pass, squared deviations in that of the quantiles.
     ``approx_distinct`` replaces the exact distinct counts, which shuffle every
     distinct cell, by HyperLogLog sketches."""
+    rows, _, _ = _profiled(t, t.columns, method, approx_distinct)
+    return t.df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+
+
+PROFILE_SCHEMA = ("column string, dtype string, null_count long, null_pct double, unique_count long, "
+                  "distinct_pct double, mean double, std double, min double, max double, q25 double, "
+                  "median double, q75 double")
+
+
+def _profiled(t: Table, cols, method: str, approx_distinct: bool) -> tuple:
+    """(rows of ``PROFILE_SCHEMA``, summaries of the numeric columns, distinct counts)."""
     from concurrent.futures import ThreadPoolExecutor
-    cols = t.columns
-    nums = numeric_columns(t)
+    nums = [c for c in cols if is_numeric_type(t.dtype(c))]
 
     def numeric_chain():
         extra = {"__rows": F.lit(1)} | {f"__nn{i}": col(c) for i, c in enumerate(cols)}
@@ -201,10 +211,35 @@ def column_profile(t: Table, method: str = "exact", approx_distinct: bool = Fals
         base = (c, type_family(t.dtype(c)), nulls, pround(nulls / rows_n * 100, 2) if rows_n else 0.0,
                 d[c], pround(d[c] / rows_n * 100, 0) if rows_n else 0.0)
         rows.append(base + (_numeric(found[c]) if c in found else (None,) * 7))
+    return rows, found, d
+
+
+def column_panel(t: Table, columns=None, k: int = 5, max_bins: int = 24, method: str = "exact", approx_distinct: bool = False) -> DataFrame:
+    """The whole panel of every column in one call: ``column_profile`` plus
+    ``bins`` (P5, numeric columns; null where a column has no value) and ``top``
+    (P4, the k most frequent values of the others).
+
+    Bounds and bin counts come from the profile's own passes, so the histograms
+    cost one more pass of bin counts and the top values one grouped count.
+    ``approx_distinct`` sketches distinct counts; only columns that may be under
+    ``max_bins`` are then counted exactly, for their bins."""
+    cols = list(columns or t.columns)
+    rows, found, d = _profiled(t, cols, method, approx_distinct)
+    v = {c: col(c).cast("double") for c, (st, _, _) in found.items() if st.n}
+    if approx_distinct and v:
+        vals = t.df.select(*[x.alias(f"__sj_v{i}") for i, x in enumerate(v.values())])
+        d = dict(d, **dict(zip(v, capped_distinct(vals, vals.columns, max_bins).values(), strict=True)))
+    edges, counts = _binned(t.df, v, {c: (found[c][0].lo, found[c][0].hi) for c in v}, {c: max(1, min(max_bins, d[c])) for c in v})
+    bins = {c: [(b, lo + b * width, lo + (b + 1) * width, counts.get((c, b), 0)) for b in range(n)] for c, (lo, width, n) in edges.items()}
+    texts = [c for c in cols if not is_numeric_type(t.dtype(c))]
+    top: dict = {}
+    if texts:
+        for r in top_values(t, texts, k).orderBy("column", "rank").collect():  # k rows a column
+            top.setdefault(r["column"], []).append((r["value"], r["count"], r["rank"]))
     return t.df.sparkSession.createDataFrame(
-        rows, "column string, dtype string, null_count long, null_pct double, unique_count long, "
-              "distinct_pct double, mean double, std double, min double, max double, q25 double, "
-              "median double, q75 double")
+        [(*r, bins.get(r[0]), top.get(r[0], []) if r[0] in texts else None) for r in rows],
+        PROFILE_SCHEMA + ", bins array<struct<bin: int, bin_lo: double, bin_hi: double, count: bigint>>"
+                         ", top array<struct<value: string, count: bigint, rank: int>>")
 
 
 # -- P4 ------------------------------------------------------------------------------------------
@@ -306,20 +341,28 @@ def histograms(t: Table, columns=None, max_bins: int = 24, bins: int | None = No
         n_bins = {c: max(1, min(max_bins, distinct[f"__sj_v{i}"])) for i, c in enumerate(stats)}
     else:
         n_bins = {c: bins or min(50, max(10, n // 20)) for c, (n, _, _) in stats.items()}
+    edges, found = _binned(t.df, v, {c: (lo, hi) for c, (_, lo, hi) in stats.items()}, n_bins)
+    mean = {c: st[f"mean{i}"] for i, c in enumerate(columns)}
+    rows = [(c, b, lo + b * width, lo + (b + 1) * width, found.get((c, b), 0), _r4(mean[c]), _r4(medians[c][0]))
+            for c, (lo, width, n) in edges.items() for b in range(n)]
+    return spark.createDataFrame(rows, HISTOGRAM_SCHEMA)
+
+
+def _binned(df: DataFrame, v: dict, bounds: dict, n_bins: dict) -> tuple:
+    """({column: (lowest edge, width, bins)}, {(column, bin): count}) of equal bins
+    between each column's bounds, of all columns in one pass."""
     edges, cells = {}, []
-    for c, (_, lo, hi) in stats.items():
+    for c, (lo, hi) in bounds.items():
         lo, hi = (float(lo) - 0.5, float(hi) + 0.5) if lo == hi else (float(lo), float(hi))
-        edges[c] = (lo, (hi - lo) / n_bins[c])
+        edges[c] = (lo, (hi - lo) / n_bins[c], n_bins[c])
         b = F.when(v[c].isNotNull(),  # ``least`` passes over nulls
                    F.least(F.floor((v[c] - F.lit(lo)) * F.lit(n_bins[c] / (hi - lo))), F.lit(n_bins[c] - 1))).cast("int")
         cells.append(F.struct(F.lit(c).alias("column"), b.alias("bin")))
-    counted = (t.df.select(F.explode(F.array(*cells)).alias("e")).select("e.column", "e.bin").where(F.col("bin").isNotNull())
+    if not cells:
+        return {}, {}
+    counted = (df.select(F.explode(F.array(*cells)).alias("e")).select("e.column", "e.bin").where(F.col("bin").isNotNull())
                .groupBy("column", "bin").count().collect())  # at most the bins of each column
-    found = {(r["column"], r["bin"]): r["count"] for r in counted}
-    mean = {c: st[f"mean{i}"] for i, c in enumerate(columns)}
-    rows = [(c, b, lo + b * width, lo + (b + 1) * width, found.get((c, b), 0), _r4(mean[c]), _r4(medians[c][0]))
-            for c, (lo, width) in edges.items() for b in range(n_bins[c])]
-    return spark.createDataFrame(rows, HISTOGRAM_SCHEMA)
+    return edges, {(r["column"], r["bin"]): r["count"] for r in counted}
 
 
 def trim_bins(hist: DataFrame) -> DataFrame:

@@ -335,3 +335,25 @@ def _profile_sql(c):
 @query("prof_column_profile", G.union([_profile_sql(c) for c in EV_COLS]), EV)
 def prof_column_profile(spark, sf):
     return P.column_profile(fixture(spark, sf, "ev_dirty"))
+
+
+# -- P1 to P5 in one call: stats, bins and top values as rows -----------------------------------------
+@query("prof_panel", " UNION ALL ".join(
+    [f"SELECT column, 'stats' AS part, 0 AS place, CAST(NULL AS VARCHAR) AS label, median AS lo, q75 AS hi, unique_count AS count FROM ({_profile_sql(c)})"
+     for c in EV_NUM + EV_STR]
+    + [f"SELECT column, 'bin' AS part, bin AS place, CAST(NULL AS VARCHAR) AS label, bin_lo AS lo, bin_hi AS hi, count "
+       f"FROM ({G.histogram('ev_dirty', c, 'greatest(1, least(24, d))')})" for c in EV_NUM]
+    + ["SELECT column, 'top' AS part, CAST(rank AS INTEGER) AS place, value AS label, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, count FROM ("
+       "SELECT column, value, count, row_number() OVER (PARTITION BY column ORDER BY count DESC, value) AS rank "
+       "FROM (" + G.union([f"SELECT '{c}' AS column, {c} AS value, count(*) AS count FROM ev_dirty "
+                           f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in EV_STR]) + ")) WHERE rank <= 5"]), EV)
+def prof_panel(spark, sf):
+    panel = P.column_panel(fixture(spark, sf, "ev_dirty"), EV_NUM + EV_STR)
+    none = F.lit(None)
+    stats = panel.select("column", F.lit("stats").alias("part"), F.lit(0).alias("place"), none.cast("string").alias("label"),
+                         F.col("median").alias("lo"), F.col("q75").alias("hi"), F.col("unique_count").alias("count"))
+    bins = (panel.select("column", F.explode("bins").alias("b"))
+            .select("column", F.lit("bin"), "b.bin", none.cast("string"), "b.bin_lo", "b.bin_hi", "b.count"))
+    top = (panel.select("column", F.explode("top").alias("v"))
+           .select("column", F.lit("top"), "v.rank", "v.value", none.cast("double"), none.cast("double"), "v.count"))
+    return stats.unionAll(bins).unionAll(top)

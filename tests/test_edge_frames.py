@@ -57,3 +57,16 @@ def test_degenerate_answers(spark):
     assert miss["nul"] == "zero" and miss["s"] == "mode"
     slots = {x["column"]: (x["is_num"], x["is_cat"]) for x in C.chart_slots(t).collect()}
     assert slots["b"] == (False, True) and slots["k"] == (True, True)
+
+
+def test_panel_of_awkward_columns(spark):
+    schema = "x double, n int, s string, e double, b boolean, rid long"
+    rows = [(1.0, 5, "a", None, True, 1), (2.0, 5, "a", None, None, 2), (None, 5, None, None, False, 3), (9.0, 5, "b", None, True, 4)]
+    for approx in (False, True):
+        got = {r["column"]: r for r in P.column_panel(Table.from_df(spark.createDataFrame(rows, schema), rid="rid"), approx_distinct=approx).collect()}
+        assert [(b["bin"], b["count"]) for b in got["x"]["bins"]] == [(0, 2), (1, 0), (2, 1)] and got["x"]["top"] is None
+        assert [tuple(b) for b in got["n"]["bins"]] == [(0, 4.5, 5.5, 4)]
+        assert [(v["value"], v["count"]) for v in got["s"]["top"]] == [("a", 2), ("b", 1)] and got["s"]["bins"] is None
+        assert got["e"]["bins"] is None and got["e"]["null_count"] == 4 and [v["value"] for v in got["b"]["top"]] == ["true", "false"]
+    empty = P.column_panel(Table.from_df(spark.createDataFrame([], schema), rid="rid")).collect()
+    assert [(r["column"], r["null_pct"], r["bins"], r["top"]) for r in empty if r["column"] in "xs"] == [("x", 0.0, None, None), ("s", 0.0, None, [])]
